@@ -29,9 +29,31 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.mixing import mix_counts, quality_weights
+
+    counts = mix_counts(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
+    return counts.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.language import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op5_token_counts)}
+    return {f.__name__: f for f in (op2_token_files, op3_mixing, op5_token_counts, op8_secrets, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from factloom.llm.mixing import OP3_SQL
+
+    return {"op3_mixing": OP3_SQL}
