@@ -97,7 +97,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     repeats = F.array_repeat(F.lit(False), F.expr("cast(c.epochs as int)"))
     times = F.concat(repeats, F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
     cut = F.regexp_extract("r.text", r"^[\x20\x09-\x0D]*", 0)
-    joined = joined.where(F.expr("c.taken > 0")).withColumn("_part", F.explode(times)).withColumn("_n", F.when(F.col("_part"), part))
+    joined = joined.where(F.expr("c.taken > 0")).withColumn("_part", F.explode_outer(times)).withColumn("_n", F.when(F.col("_part"), part))
     words = F.slice(F.split("r.text", r"[\x20\x09-\x0D]+"), F.lit(1), F.col("_n").cast("int") + F.when(F.length(cut) > 0, 1).otherwise(0))
     text = F.when(F.col("_part") & F.expr("c.taken - c.epochs * c.size < c.size"), F.array_join(words, " ")).otherwise(F.col("r.text"))
     return joined.select(*[text.alias("text") if x == "text" else F.col(f"r.`{x}`") for x in docs.columns])

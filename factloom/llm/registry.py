@@ -23,6 +23,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.decontaminate import scan
+
+    return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.token_counts import token_counts
 
@@ -50,10 +56,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_mixing, op5_token_counts, op8_secrets, op9_language)}
+    return {f.__name__: f for f in (op2_token_files, op3_mixing, op4_decontamination, op5_token_counts, op8_secrets, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from factloom.llm.decontaminate import OP4_SQL
     from factloom.llm.mixing import OP3_SQL
 
-    return {"op3_mixing": OP3_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL}
