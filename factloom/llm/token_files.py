@@ -6,7 +6,7 @@ statistics skip shards), dict_hash must equal the dictionary's, and the arrays d
 short document is read without decoding its neighbours. `start` of a document counts the ids of all documents before it.
 
 Defined results: a null or empty text has the end id alone; documents that share a doc_id stand together, shorter first, then by
-their ids; an empty table gives empty files; extra columns are ignored.
+their texts; an empty table gives empty files; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,19 +36,15 @@ SHARDS = "part int, seq int, first_doc long, last_doc long, n_docs long, n_token
 
 
 def _id_bytes(texts: list[str], memo: WordIds, end_id: int) -> list[bytes]:
-    split = [t.split(" ") for t in texts]
-    known = memo.look_up([c for chunks in split for c in chunks])
     end = np.array([end_id], memo.dtype).tobytes()
-    return [b"".join([known[c] for c in chunks]) + end for chunks in split]
+    return [ids + end for ids in memo.packed(texts)]
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> bytes:
     """A dictionary of serialized id arrays; empty where there are too few of them."""
-    sample = (
-        docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(SAMPLE_DOCS)
-    )
+    first = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
+    text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")
+    sample = docs.where(F.col("doc_id").isin([r.doc_id for r in first])).select(text).limit(SAMPLE_DOCS)
     arrays = _id_bytes([r.text for r in sample.collect()], WordIds(tokenizer_path), end_id)
     try:
         return zstandard.train_dictionary(DICT_BYTES, arrays, level=LEVEL).as_bytes()
@@ -69,17 +65,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark.createDataFrame([(name, bytearray(raw), width, end_id)], "dict_hash string, dictionary binary, width int, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(raw)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = opened(WordIds, tokenizer_path)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value), write_checksum=True)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = _id_bytes([t or "" for t in part.column("text").to_pylist()], memo, end_id)
-                counts = pa.array([len(x) // width for x in ids], pa.int64())
-                frames = pa.array([packer.compress(x) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), counts, frames], ["doc_id", "n", "frame"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq = TaskContext.get().partitionId(), 0
         held: list[tuple[int, int, bytes]] = []
         size = 0
@@ -90,18 +78,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return pa.RecordBatch.from_pylist([row], schema=_ARROW_SHARDS)
 
         for batch in batches:
-            for d, n, f in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "frame")), strict=True):
-                if held and size + len(f) > SHARD_BYTES:
-                    yield shard()
-                    held, size, seq = [], 0, seq + 1
-                held.append((d, n, f))
-                size += len(f)
+            for part in slices(batch, "text", 1 << 20):
+                ids = _id_bytes([t or "" for t in part.column("text").to_pylist()], memo, end_id)
+                for d, x in zip(part.column("doc_id").to_pylist(), ids, strict=True):
+                    f = packer.compress(x)
+                    if held and size + len(f) > SHARD_BYTES:
+                        yield shard()
+                        held, size, seq = [], 0, seq + 1
+                    held.append((d, len(x) // width, f))
+                    size += len(f)
         if held:
             yield shard()
 
     # Ranges of doc_id are dealt out before the costly encoding: finding them reads the rows twice.
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").mapInArrow(encode, "doc_id long, n long, frame binary")
-    ranged.sortWithinPartitions("doc_id", "n", "frame").mapInArrow(pack, SHARDS).write.parquet(f"{path}/shards")
+    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")
+    ranged.sortWithinPartitions("doc_id", F.length("text"), "text").mapInArrow(pack, SHARDS).write.parquet(f"{path}/shards")
 
 
 _ARROW_SHARDS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())])
