@@ -42,6 +42,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.secrets import scan
 
@@ -56,7 +62,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_mixing, op4_decontamination, op5_token_counts, op8_secrets, op9_language)}
+    return {f.__name__: f for f in (op2_token_files, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op8_secrets, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
