@@ -7,8 +7,10 @@ import re
 
 import numpy as np
 
-#: Chunks that a worker remembers; beyond this the memo starts anew.
-MEMO_CHUNKS = 500_000
+from factloom.llm.words import span_hashes
+
+#: Chunks in each of the two generations that a worker remembers: a full one becomes the old one, and what is still used moves on.
+MEMO_CHUNKS = 600_000
 
 _open: dict[str, ChunkMemo] = {}
 
@@ -17,18 +19,24 @@ class ChunkMemo:
     """Neither vocabulary joins text across a space that follows a non-space, so chunks encode on their own."""
 
     def __init__(self) -> None:
-        self.known: dict[str, object] = {}
-
-    def look_up(self, chunks: list[str]) -> dict[str, object]:
-        missing = set(chunks).difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > MEMO_CHUNKS:
-                self.known.clear()
-                missing = set(chunks)
-            self.known.update(self.encode(list(missing)))
-        return self.known
-
-    def encode(self, chunks: list[str]) -> dict[str, object]:
+        self.known: dict = {}
+        self.old: dict = {}
+
+    def values(self, chunks: list) -> list:
+        """What encode() gives for each chunk."""
+        if len(self.known) > MEMO_CHUNKS:
+            self.known, self.old = {}, self.known
+        out = list(map(self.known.get, chunks))
+        if None in out:
+            missing = {c for c, v in zip(chunks, out, strict=True) if v is None}
+            found = {c: v for c in missing if (v := self.old.get(c)) is not None}
+            self.known.update(found)
+            if new := list(missing.difference(found)):
+                self.known.update(zip(new, self.encode(new), strict=True))
+            out = [self.known[c] if v is None else v for c, v in zip(chunks, out, strict=True)]
+        return out
+
+    def encode(self, chunks: list) -> list:
         raise NotImplementedError
 
 
@@ -41,8 +49,8 @@ class PieceCounts(ChunkMemo):
         super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def encode(self, chunks: list[str]) -> dict[str, object]:
-        return dict(zip(chunks, map(len, self.model.encode(chunks, num_threads=1)), strict=True))
+    def encode(self, chunks: list[str]) -> list[int]:
+        return list(map(len, self.model.encode(chunks, num_threads=1)))
 
     @staticmethod
     def chunks(text: str) -> tuple[list[str], int]:
@@ -69,14 +77,17 @@ class PieceCounts(ChunkMemo):
 class WordIds(ChunkMemo):
     """Ids of a tokenizers file, as packed little-endian integers.
 
-    Most texts use Latin letters and common marks alone. There the file's own normalizer and pre-tokenizer do no more than lower-case,
-    drop white space and match WORD, so the memo holds such words, of which there are far fewer than chunks between spaces. Any other
-    text, and any with the mark of a special token, is encoded by chunks.
+    Most texts use Latin letters and ASCII marks alone. There the file's own normalizer and pre-tokenizer do no more than lower-case,
+    drop white space, and split into runs of letters, single digits and runs of marks. Those are found with numpy and encoded once
+    for each distinct one. Any other text, and any with a contraction or the mark of a special token, goes chunk by chunk.
     """
 
-    # The pre-tokenizer's pattern, with its letters and digits spelled out for the range in question.
-    WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
-    OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]|<\\|")
+    OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]|<\\||'[a-zA-Z]")
+    #: 0 white space, 1 letters, 2 digits, 3 marks.
+    KIND = np.full(256, 3, np.uint8)
+    KIND[[9, 10, 13, 32]] = 0
+    KIND[97:123] = KIND[128:] = 1
+    KIND[48:58] = 2
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,15 +97,38 @@ class WordIds(ChunkMemo):
         self.model = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def encode(self, chunks: list[str]) -> dict[str, object]:
-        found = self.model.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, self.dtype).tobytes() for c, e in zip(chunks, found, strict=True)}
+    def encode(self, chunks: list[bytes]) -> list[bytes]:
+        found = self.model.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [t.split(" ") if self.OTHER.search(t) else self.WORD.findall(t.lower()) for t in texts]
-        known = self.look_up([c for chunks in split for c in chunks])
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        other = [bool(self.OTHER.search(t)) for t in texts]
+        plain = iter(self._plain([t for t, x in zip(texts, other, strict=True) if not x]))
+        return [b"".join(self.values(t.encode().split(b" "))) if x else next(plain) for t, x in zip(texts, other, strict=True)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        data = "\n".join(texts).lower().encode() + b"\n"
+        raw = np.frombuffer(data, np.uint8)
+        kind = self.KIND[raw]
+        edge = np.ones(len(raw), bool)
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        s = np.flatnonzero(edge & (kind > 0))
+        if not len(s):
+            return [b""] * len(texts)
+        ends = np.flatnonzero(edge)
+        e = ends[np.searchsorted(ends, s, "right")]
+        _, first, at = np.unique(span_hashes(raw, s, e), return_index=True, return_inverse=True)
+        ids = self.values([data[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        begin, n = (np.cumsum(size) - size)[at], size[at]
+        total = np.cumsum(n)
+        out = flat[np.repeat(begin - (total - n), n) + np.arange(total[-1])]
+        sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)) + 1
+        words = np.searchsorted(s, np.concatenate([[0], np.cumsum(sizes)]))
+        cuts = np.concatenate([[0], total])[words]
+        return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def opened(kind: type, path: str) -> ChunkMemo:

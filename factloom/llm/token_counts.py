@@ -32,10 +32,9 @@ class PrefixTable:
     def __init__(self, text: str, memo: PieceCounts) -> None:
         self.text, self.memo = text, memo
         chunks, self.marks = memo.chunks(text)
-        known = memo.look_up(chunks)
         sizes = np.fromiter((len(c) for c in chunks), np.int64, len(chunks))
         self.ends = np.cumsum(sizes + 1) - 1  # one space stands before each chunk but the first
-        self.totals = np.cumsum(np.fromiter((known[c] for c in chunks), np.int64, len(chunks)))
+        self.totals = np.cumsum(np.array(memo.values(chunks), np.int64))
 
     def total(self) -> int:
         return int(self.totals[-1] if len(self.totals) else 0) + self.memo.trailing(self.marks)
@@ -58,8 +57,7 @@ class PrefixTable:
     @staticmethod
     def count(text: str, memo: PieceCounts) -> int:
         chunks, marks = memo.chunks(text)
-        known = memo.look_up(chunks)
-        return sum(known[c] for c in chunks) + memo.trailing(marks)
+        return sum(memo.values(chunks)) + memo.trailing(marks)
 
 
 def prefix_tables(docs: DataFrame, model_path: str, budget: int = LIMIT) -> DataFrame:
@@ -92,8 +90,7 @@ def _tables(batches: Iterator[pa.RecordBatch], path: str, budget: int, keep: boo
             texts = [t or "" for t in part.column("text").to_pylist()]
             split = [memo.chunks(t) for t in texts]
             flat = [c for chunks, _ in split for c in chunks]
-            known = memo.look_up(flat)
-            counts = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+            counts = np.array(memo.values(flat), np.int64)
             sizes = np.fromiter(map(len, flat), np.int64, len(flat)) + 1
             starts = np.cumsum([0, *(len(chunks) for chunks, _ in split)])
             totals, ends = np.cumsum(counts), np.cumsum(sizes)

@@ -31,6 +31,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes, equal wherever the span stands; A-Z count as a-z."""
+    up, down = _tables(len(raw))
+    total = np.cumsum(_BYTE[raw] * up[: len(raw)])
+    return mixed((total[e - 1] - np.where(s > 0, total[s - 1], np.uint64(0))) * down[s])
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, text and hash of each word."""
     if not len(raw):
@@ -43,10 +50,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     begins[1:] &= space[:-1] | edge[1:-1]
     ends[:-1] &= space[1:] | edge[1:-1]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _tables(len(raw))
-    total = np.cumsum(_BYTE[raw] * up[: len(raw)])
-    h = total[e - 1] - np.where(s > 0, total[s - 1], np.uint64(0))
-    return s, e, np.searchsorted(offsets, s, "right") - 1, mixed(h * down[s])
+    return s, e, np.searchsorted(offsets, s, "right") - 1, span_hashes(raw, s, e)
 
 
 def shingles(text: np.ndarray, h: np.ndarray, n_texts: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
