@@ -15,6 +15,12 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.token_files import read_tokens, write_tokens
 
@@ -62,7 +68,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op8_secrets, op9_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op8_secrets, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:

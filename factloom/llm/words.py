@@ -16,7 +16,7 @@ _PLACES = _random.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def place_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_STEP, _BACK)):
             p = np.full(n, base, np.uint64)
@@ -33,7 +33,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Hash of each span of bytes, equal wherever the span stands; A-Z count as a-z."""
-    up, down = _tables(len(raw))
+    up, down = place_tables(len(raw))
     total = np.cumsum(_BYTE[raw] * up[: len(raw)])
     return mixed((total[e - 1] - np.where(s > 0, total[s - 1], np.uint64(0))) * down[s])
 
