@@ -16,6 +16,7 @@ rows get the same result each; extra columns are ignored by scan() and kept by d
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,22 +34,29 @@ def _words(text: str) -> Column:
     return F.regexp_extract_all(F.when(F.col(text).rlike(r"[^\x00-\x7F]"), exact).otherwise(plain), F.lit(WORD), F.lit(0))
 
 
-def _fingerprints(hashes: str, length: int) -> Column:
-    """array<struct<length, pos, hash>> of windows of `length` words, from a column with the words' hashes."""
-    k = min(GRAM, length)
-    run = length - k + 1
-    h = F.col(hashes)
-    grams = F.transform(h, lambda x, i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-    grams = F.slice(grams, 1, F.greatest(F.size(h) - (k - 1), F.lit(0)))
-    least = lambda g: F.slice(F.transform(g, lambda x, i: F.least(x, *[F.get(g, i + j) for j in range(1, run)]) if run > 1 else x), 1, F.greatest(F.size(g) - (run - 1), F.lit(0)))
+def _slid(df: DataFrame, source: str, width: int, op: Callable[[Column, Column], Column], to: str) -> DataFrame:
+    """df with `to`: op over each `width` neighbours of the array `source`, by doubling. Each step is a column of its own, used twice."""
+    df, have = df.withColumn(to, F.col(source)), 1
+    while have < width:
+        step = min(have, width - have)
+        rest = F.greatest(F.size(to) - step, F.lit(0))
+        df = df.withColumn(to, F.zip_with(F.slice(to, F.lit(1), rest), F.slice(to, F.lit(step + 1), rest), op))
+        have += step
+    return df
 
-    def chosen(g: Column, m: Column) -> Column:
-        # A gram is chosen if one of the runs that hold it has it as its least.
-        marked = F.transform(g, lambda x, i: F.when((F.greatest(*[F.get(m, i - j) for j in range(run)]) if run > 1 else F.get(m, i)) == x, F.struct(F.lit(length).alias("length"), i.alias("pos"), x.alias("hash"))))
-        return F.filter(marked, lambda s: s.isNotNull())
 
-    one = F.transform(F.array(F.struct(grams.alias("g"))), lambda s: F.struct(s["g"].alias("g"), least(s["g"]).alias("m")))
-    return F.flatten(F.transform(one, lambda s: chosen(s["g"], s["m"])))
+def _with_fingerprints(df: DataFrame, length: int, to: str) -> DataFrame:
+    """df with `to`: array<struct<length, pos, hash>> of windows of `length` words, from the hashes of the words in h."""
+    k = min(GRAM, length)
+    run = length - k + 1
+    df = _slid(df, "h", k, lambda x, y: F.xxhash64(x, y), "_grams")
+    df = _slid(df, "_grams", run, lambda x, y: F.least(x, y), "_least")
+    # A gram is chosen if one of the runs that hold it has it as its least, so if it is the greatest of their leasts.
+    edge = F.array_repeat(F.lit(None).cast("long"), run - 1)
+    df = _slid(df.withColumn("_least", F.concat(edge, "_least", edge)), "_least", run, lambda x, y: F.greatest(x, y), "_most")
+    marked = F.transform(F.zip_with("_grams", "_most", lambda x, y: F.when(x == y, x)), lambda x, i: F.when(x.isNotNull(), F.struct(F.lit(length).alias("length"), i.alias("pos"), x.alias("hash"))))
+    enough = F.when(F.size("h") >= length, F.filter(marked, lambda s: s.isNotNull())).otherwise(F.array().cast("array<struct<length:int,pos:int,hash:bigint>>"))
+    return df.withColumn(to, enough).drop("_grams", "_least", "_most")
 
 
 def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -58,7 +66,8 @@ def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
     found = F.array().cast("array<struct<length:int,pos:int,hash:bigint>>")
     for n in lengths:
-        found = F.when(F.col("length") == n, _fingerprints("h", n)).otherwise(found)
+        items = _with_fingerprints(items, n, f"f{n}")
+        found = F.when(F.col("length") == n, F.col(f"f{n}")).otherwise(found)
     exploded = items.select("item_id", "item", F.explode_outer(found).alias("f"))
     return exploded.select("item_id", "item", F.col("f.length").alias("length"), F.col("f.pos").alias("q"), F.col("f.hash").alias("hash")), lengths
 
@@ -83,7 +92,9 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n = items.count()
     base = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), _words("text").alias("w"))
     hashed = base.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    prints = F.concat(*[_fingerprints("h", x) for x in lengths]) if lengths else F.array().cast("array<struct<length:int,pos:int,hash:bigint>>")
+    for x in lengths:
+        hashed = _with_fingerprints(hashed, x, f"f{x}")
+    prints = F.concat(*[f"f{x}" for x in lengths]) if lengths else F.array().cast("array<struct<length:int,pos:int,hash:bigint>>")
     if n <= BROADCAST_ROWS:
         exploded = hashed.select("doc_id", "text_hash", "w", prints.alias("prints")).select("doc_id", "text_hash", "w", F.explode_outer("prints").alias("f"))
         exploded = exploded.select("doc_id", "text_hash", "w", F.col("f.length").alias("length"), F.col("f.pos").alias("pos"), F.col("f.hash").alias("hash"))
