@@ -4,8 +4,9 @@
 2. All documents use one order of shingles: by a sketch of their frequency (a fixed number of counters over the whole corpus), then by
    hash. Two sets as similar as that share one of their first n - ceil(0.8 n) + 1 shingles, in any order; this order keeps shingles of
    passages that many documents share out of those prefixes.
-3. Representatives that share a prefix shingle meet in the group of that shingle's smallest document (its centre). Each document
-   is in few groups, however many shingles it shares.
+3. Representatives whose sizes allow a link and that share a prefix shingle meet in the group of the smallest of them (its centre).
+   Each document is in few groups, however many shingles it shares. Shingles that one document alone has are sorted out first, as
+   packed hashes.
 4. In a group a T-occurrence search (DivideSkip) finds the partners: the long inverted lists are set aside, the short ones are
    merged, what occurs often enough there is binary-probed in the long ones, and the exact overlap decides.
 5. A group of more than BLOCK documents is split into blocks, each with the same few pivots. What is not in the group's largest
@@ -24,10 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.blobs import key_rows, packed, shared_keys, unpacked
 from factloom.llm.components import components
 from factloom.llm.shared import slices, text_bytes, written
 from factloom.llm.words import mixed, shingle_sets
@@ -35,6 +39,8 @@ from factloom.llm.words import mixed, shingle_sets
 #: Counters of the frequency sketch, over all documents at every size, and the parts that it is summed in.
 COUNTERS, PARTS = 1 << 21, 32
 BLOCK, PIVOTS = 1500, 16
+#: Candidates whose ids are broadcast, once counted; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Documents that one task call searches at least: small groups are dealt together.
 TOGETHER = 2000
 
@@ -211,23 +217,75 @@ def _searched(members: DataFrame, sets: DataFrame, second: bool) -> DataFrame:
     return dealt.withColumn("second", F.lit(second)).groupBy("deal").applyInPandas(_search, "a long, b long")
 
 
+def _banded(tokens: np.ndarray, n: np.ndarray, down: int) -> np.ndarray:
+    """Keys of prefix shingles by their set's size band: sets that can be similar are in one band or in neighbouring ones."""
+    band = np.floor(np.log(np.maximum(n, 1)) / np.log(1.2500001)).astype(np.int64) - down
+    return mixed(tokens ^ mixed((band + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, seq = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            prefix = part.column("prefix")
+            tokens = prefix.flatten().to_numpy().view(np.uint64)
+            sizes = pc.list_value_length(prefix).to_numpy().astype(np.int64)
+            data = packed(part.column("doc_id").to_numpy(), part.column("n").to_numpy(), sizes, tokens)
+            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([data], pa.binary())], ["blob", "data"])
+            seq += 1
+
+
+def _keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    docs, n, sizes, tokens = unpacked(data)
+    docs, n = np.repeat(docs, sizes), np.repeat(n, sizes)
+    return np.concatenate([_banded(tokens, n, 0), _banded(tokens, n, 1)]), np.concatenate([docs, docs])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, doc of the keys that several documents have."""
+    for batch in batches:
+        for data, shared in zip(batch.column("data"), batch.column("shared"), strict=True):
+            keys, docs = _keys(data.as_py())
+            known = np.sort(np.concatenate([unpacked(x)[0] for x in shared.as_py()]))
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            found = known[at] == keys
+            yield pa.RecordBatch.from_arrays([pa.array(keys[found].view(np.int64)), pa.array(docs[found])], ["key", "doc"])
+
+
+def _pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """center, doc: the representatives that share a key, with the smallest of them."""
+    n_parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, data in zip(batch.column("blob").to_pylist(), batch.column("data"), strict=True):
+                yield from key_rows(blob, *_keys(data.as_py()), n_parts)
+
+    ours = rows.select("doc_id", "n", "prefix").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    blobs = written(ours.mapInArrow(_pack, "blob long, data binary"), "blobs")
+    shared = blobs.mapInArrow(dealt, "part long, blob long, data binary").groupBy("part").applyInArrow(shared_keys, "blob long, data binary").groupBy("blob").agg(F.collect_list("data").alias("shared"))
+    entries = written(blobs.join(shared, "blob").select("data", "shared").mapInArrow(_entries, "key long, doc long"), "entries")
+    centers = entries.groupBy("key").agg(F.min("doc").alias("center"))
+    return written(entries.join(centers, "key").select("center", "doc").distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     rows = written(prefixes(docs), "prefixes")
-    classes = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    entries = classes.select("rep", F.explode_outer("prefix").alias("token"))
-    shared = entries.groupBy("token").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where(F.col("center") < F.col("last")).drop("last")
-    pairs = written(entries.join(shared, "token").select("center", F.col("rep").alias("doc")).distinct(), "pairs")
-    links = _links(docs, pairs)
-    groups = components(links)
-    reps = classes.select("n", "s1", "s2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
+    reps = written(rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
+    pairs = _pairs(rows, reps)
+    groups = components(_links(docs, pairs)).withColumnRenamed("node", "rep")
+    named = reps.join(groups, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("doc").alias("doc_id")).distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     sets = written(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc"]), "sets")
     size = pairs.groupBy("center").agg(F.count("*").alias("m"))
     sized = pairs.join(size, "center")

@@ -25,40 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.blobs import dealt_rows, key_rows, packed, part_of, shared_keys, unpacked
 from factloom.llm.shared import slices, text_bytes, written
 from factloom.llm.words import mixed, place_tables
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 BLOB = 2 << 20
-HOT = 64
 #: Bytes of segments that are sorted together; an anchor's segments are never parted.
 TOGETHER = 2 << 20
 _VALUE = np.random.default_rng(77001).integers(1, 1 << 63, 256, dtype=np.uint64)
 _NONE = np.iinfo(np.int64).max
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """The arrays, each with its type and length, as one zstandard frame."""
-    head = np.array([x for a in arrays for x in (ord(a.dtype.char), a.dtype.itemsize, len(a))], np.int64)
-    return zstandard.compress(np.int64(len(arrays)).tobytes() + head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
-
-
-def unpacked(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(data)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head, at, out = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(n, 3), 8 + 24 * n, []
-    for char, size, length in head.tolist():
-        out.append(np.frombuffer(raw, np.dtype(chr(char)), length, at))
-        at += size * length
-    return out
-
-
 class Segments:
     """Segments of a blob's texts: start, run (windows), anchor (hash), own (hash of the bytes), doc (row of its text)."""
 
@@ -113,19 +96,6 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seq += 1
 
 
-def _rows(blob: int, parts: np.ndarray, order: np.ndarray, n_parts: int, make) -> Iterator[pa.RecordBatch]:
-    """A row for each part that has some of the items; make(items of the part) gives its payload."""
-    cuts = np.searchsorted(parts[order], np.arange(n_parts + 1))
-    keys = [p for p in range(n_parts) if cuts[p + 1] > cuts[p]]
-    data = [make(order[cuts[p] : cuts[p + 1]]) for p in keys]
-    if keys:
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([blob] * len(keys), pa.int64()), pa.array(data, pa.binary())], ["part", "blob", "data"])
-
-
-def _part(h: np.ndarray, n_parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
-
-
 def _anchors(n_parts: int):
     """part, blob, data: the distinct anchors of a blob, and whether two of its documents have them."""
 
@@ -134,41 +104,11 @@ def _anchors(n_parts: int):
             for blob, texts in zip(batch.column("blob").to_pylist(), batch.column("texts"), strict=True):
                 docs, _, offsets, raw = unpacked(texts.as_py())
                 seg = Segments(raw, offsets)
-                order = np.lexsort((docs[seg.doc], seg.anchor))
-                h, d = seg.anchor[order], docs[seg.doc[order]]
-                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                last = np.concatenate([first[1:], [len(h)]]) - 1
-                h, several = h[first], d[first] != d[last] if len(h) else np.zeros(0, bool)
-                yield from _rows(blob, _part(h, n_parts), np.arange(len(h)), n_parts, lambda i, h=h, several=several: packed(np.diff(h[i], prepend=np.uint64(0)), several[i]))
+                yield from key_rows(blob, seg.anchor, docs[seg.doc], n_parts)
 
     return run
 
 
-def _shared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """blob, data: its anchors that occur in several documents, and those that occur in many blobs."""
-    blobs, hashes, several = [], [], []
-    for batch in batches:
-        for blob, data in zip(batch.column("blob").to_pylist(), batch.column("data"), strict=True):
-            d, s = unpacked(data.as_py())
-            blobs.append(blob)
-            hashes.append(np.cumsum(d))
-            several.append(s)
-    of = np.repeat(np.arange(len(blobs)), [len(h) for h in hashes])
-    h, s = np.concatenate(hashes), np.concatenate(several)
-    order = np.argsort(h, kind="stable")
-    h, s, of = h[order], s[order], of[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    count = np.diff(np.concatenate([first, [len(h)]]))
-    keep = np.repeat((count > 1) | np.logical_or.reduceat(s, first), count)
-    hot = np.repeat(count > HOT, count)[keep]
-    h, of = h[keep], of[keep]
-    order = np.argsort(of, kind="stable")
-    h, of, hot = h[order], of[order], hot[order]
-    cuts = np.searchsorted(of, np.arange(len(blobs) + 1))
-    rows = [(b, packed(h[x:y], hot[x:y])) for b, x, y in zip(blobs, cuts, cuts[1:], strict=False) if y > x]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["blob", "data"])
-
-
 def _gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
@@ -199,9 +139,9 @@ def _segments(n_parts: int):
                 last = np.concatenate([first[1:], [len(order)]]) - 1
                 low, high, one = doc[order[first]], doc[order[last]] if len(order) else doc, order[first]
                 start, size, own, meet = start[one], size[one], own[one], meet[one]
-                parts = _part(meet, n_parts)
+                parts = part_of(meet, n_parts)
                 make = lambda i, start=start, size=size, own=own, meet=meet, low=low, high=high, raw=raw: packed(meet[i], own[i], low[i], high[i], size[i].astype(np.uint8), _gathered(raw, start[i], size[i]))
-                yield from _rows(blob, parts, np.lexsort((meet, parts)), n_parts, make)
+                yield from dealt_rows(blob, parts, np.lexsort((meet, parts)), n_parts, make)
 
     return run
 
@@ -411,7 +351,7 @@ def remove_repeats(docs: DataFrame, texts_too: bool = False) -> DataFrame:
     blobs = written(docs.select("doc_id", "text").mapInArrow(_pack, "blob long, texts binary"), "blobs")
     dealt = "part long, blob long, data binary"
     back = "blob long, data binary"
-    shared = blobs.mapInArrow(_anchors(n_parts), dealt).groupBy("part").applyInArrow(_shared, back).groupBy("blob").agg(F.collect_list("data").alias("shared"))
+    shared = blobs.mapInArrow(_anchors(n_parts), dealt).groupBy("part").applyInArrow(shared_keys, back).groupBy("blob").agg(F.collect_list("data").alias("shared"))
     shared = written(shared, "anchors")
     met = blobs.join(shared, "blob").select("blob", "texts", "shared")
     found = met.mapInArrow(_segments(n_parts), dealt).groupBy("part").applyInArrow(_found, back).groupBy("blob").agg(F.collect_list("data").alias("found"))
