@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS = 200_000
-# What makes up words after and before A-Z are lower-cased.
+# Fixed value: what makes up words once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: str) -> Column:
@@ -86,46 +85,54 @@ def _span() -> Column:
     return F.when(gram & (b - a >= F.col("length")), F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text_hash, spans (hit words, may overlap), items: documents with hits alone."""
+def _met(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_words (on one row of each row of docs), item_id, span (on rows of hits)."""
     items, lengths = item_fingerprints(benchmark)
-    n = items.count()
-    base = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), _words("text").alias("w"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), _words("text").alias("w"))
     hashed = base.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     for x in lengths:
         hashed = _with_fingerprints(hashed, x, f"f{x}")
-    prints = F.concat(*[f"f{x}" for x in lengths]) if lengths else F.array().cast("array<struct<length:int,pos:int,hash:bigint>>")
-    if n <= BROADCAST_ROWS:
+    # The mark tells the number of words; it passes the join by a row of its own, so that texts are read and split once.
+    mark = F.array(F.struct(F.lit(0).alias("length"), F.size("w").alias("pos"), F.lit(0).cast("long").alias("hash")))
+    prints = F.concat(*[f"f{x}" for x in lengths], mark)
+    parts = [F.col("f.length").alias("length"), F.col("f.pos").alias("pos"), F.col("f.hash").alias("hash")]
+    if items.count() <= BROADCAST_ROWS:
+        own = items.sparkSession.range(1).select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.array().cast("array<string>").alias("item"), F.lit(0).alias("length"), F.lit(0).alias("q"), F.lit(0).cast("long").alias("hash"))
         exploded = hashed.select("doc_id", "text_hash", "w", prints.alias("prints")).select("doc_id", "text_hash", "w", F.explode_outer("prints").alias("f"))
-        exploded = exploded.select("doc_id", "text_hash", "w", F.col("f.length").alias("length"), F.col("f.pos").alias("pos"), F.col("f.hash").alias("hash"))
-        met = exploded.join(F.broadcast(items), ["length", "hash"])
+        met = exploded.select("doc_id", "text_hash", "w", *parts).join(F.broadcast(items.union(own)), ["length", "hash"])
     else:
-        exploded = hashed.select("doc_id", "text_hash", F.explode_outer(prints).alias("f")).select("doc_id", "text_hash", F.col("f.length").alias("length"), F.col("f.pos").alias("pos"), F.col("f.hash").alias("hash"))
-        found = exploded.join(items, ["length", "hash"])
-        met = found.alias("f").join(base.dropDuplicates(["doc_id", "text_hash"]).alias("b"), F.expr("f.doc_id <=> b.doc_id and f.text_hash = b.text_hash")).select("f.*", "w")
+        exploded = hashed.select("doc_id", "text_hash", F.explode_outer(prints).alias("f")).select("doc_id", "text_hash", *parts)
+        found = exploded.where(F.col("length") > 0).join(items, ["length", "hash"])
+        found = found.alias("f").join(base.dropDuplicates(["doc_id", "text_hash"]).alias("b"), F.expr("f.doc_id <=> b.doc_id and f.text_hash = b.text_hash")).select("f.*", "w")
+        met = found.unionByName(exploded.where(F.col("length") == 0), allowMissingColumns=True)
     # explode_outer, here and above: explode would add a filter on its array, which moves down and computes the array again (inside
     # the join, or word by word inside the lambdas).
-    spans = met.select("doc_id", "text_hash", "item_id", F.explode_outer(F.array(_span())).alias("span")).where(F.col("span").isNotNull())
-    return spans.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    span = F.when(F.col("length") > 0, _span())
+    met = met.select("doc_id", "text_hash", "item_id", F.when(F.col("length") == 0, F.col("pos")).alias("n_words"), F.explode_outer(F.array(span)).alias("span"))
+    return met.where(F.col("span").isNotNull() | F.col("n_words").isNotNull())
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, text_hash, copies, n_words, spans (hit words, may overlap), items: a row for each distinct row of docs."""
+    item = F.when(F.col("span").isNotNull(), F.col("item_id").cast("string"))
+    return _met(docs, benchmark).groupBy("doc_id", "text_hash").agg(F.count("n_words").alias("copies"), F.max("n_words").cast("long").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set(item).alias("items"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    sizes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"] - 1))))
-    counted = hits(docs, benchmark).select("doc_id", "text_hash", F.size(covered).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("list"))
-    joined = sizes.alias("s").join(counted.alias("c"), F.expr("s.doc_id <=> c.doc_id and s.text_hash = c.text_hash"), "left")
-    zero = F.lit(0).cast("long")
-    return joined.select(
-        "s.doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
-        F.sha2(F.encode(F.coalesce("list", F.lit("")), "UTF-8"), 256).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
+    found = hits(docs, benchmark).withColumn("n_hit", F.size(covered).cast("long"))
+    rows = found.withColumn("copy", F.explode_outer(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join(F.array_sort("items"), ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without hits, with all their columns."""
-    found = hits(docs, benchmark).select("doc_id", "text_hash")
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    found = hits(docs, benchmark).where(F.size("spans") > 0).select("doc_id", "text_hash")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     return keyed.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d._text_hash = f.text_hash"), "left_anti").drop("_text_hash")
 
 
