@@ -54,6 +54,13 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.secrets import scan
 
@@ -67,12 +74,19 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs))
 
 
+def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.hamming import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op8_secrets, op9_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op7_quality, op8_secrets, op9_language, op10_hamming)}
 
 
 def oracle_sql() -> dict[str, str]:
     from factloom.llm.decontaminate import OP4_SQL
+    from factloom.llm.hamming import OP10_SQL
     from factloom.llm.mixing import OP3_SQL
 
-    return {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op10_hamming": OP10_SQL}

@@ -7,6 +7,8 @@ import numpy as np
 # Words are runs without these bytes; A-Z count as a-z.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII bytes but letters and digits.
+MARKS = np.array([x < 128 and not chr(x).isalnum() for x in range(256)])
 _random = np.random.default_rng(20240607)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
@@ -38,12 +40,12 @@ def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mixed((total[e - 1] - np.where(s > 0, total[s - 1], np.uint64(0))) * down[s])
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, text and hash of each word."""
+def words(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, text and hash of each word; between: the bytes that part words, if not white space."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    space = SPACE[raw]
+    space = (SPACE if between is None else between)[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets[:-1]] = True
     begins, ends = ~space, ~space
