@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.llm.shared import table, work_path
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -25,7 +25,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.token_files import read_tokens, write_tokens
 
     path = work_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"))
+    write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
     return read_tokens(spark, path)
 
 
@@ -38,7 +38,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
