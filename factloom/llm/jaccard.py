@@ -2,11 +2,12 @@
 
 1. Documents with equal sets become one class; its representative is the smallest doc_id.
 2. All documents use one order of shingles: by a sketch of their frequency (a fixed number of counters over the whole corpus), then by
-   hash. Two sets as similar as that share one of their first n - ceil(0.8 n) + 1 shingles, in any order; this order keeps shingles of
+   hash. Two sets as similar as that share k of their first n - ceil(0.8 n) + k shingles, in any order; this order keeps shingles of
    passages that many documents share out of those prefixes.
 3. Representatives whose sizes allow a link and that share a prefix shingle meet in the group of the smallest of them (its centre).
    Each document is in few groups, however many shingles it shares. Shingles that one document alone has are sorted out first, as
-   packed hashes.
+   packed hashes. With prefixes longer by n / 20, two similar sets share at least min(n) / 20 + 1 of those shingles, so a document
+   that shares fewer with all others together, as one with a common passage does, is in no group.
 4. In a group a T-occurrence search (DivideSkip) finds the partners: the long inverted lists are set aside, the short ones are
    merged, what occurs often enough there is binary-probed in the long ones, and the exact overlap decides.
 5. A group of more than BLOCK documents is split into blocks, each with the same few pivots. What is not in the group's largest
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,6 +39,7 @@ from factloom.llm.words import mixed, shingle_sets
 #: Counters of the frequency sketch, over all documents at every size, and the parts that it is summed in.
 COUNTERS, PARTS = 1 << 21, 32
 BLOCK, PIVOTS = 1500, 16
+SLICE = 2 << 20
 #: Candidates whose ids are broadcast, once counted; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Documents that one task call searches at least: small groups are dealt together.
@@ -56,7 +57,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 _, h = shingle_sets(*text_bytes(part.column("text")))
                 at, n = np.unique((h & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
                 counts[at] += n.astype(np.uint32)
@@ -80,16 +81,22 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, s1, s2 (together they name the set), prefix: the first shingles in the common order."""
+def more_shared(n: np.ndarray) -> np.ndarray:
+    """How many prefix shingles a set of n shares at least with a similar one of its size, given prefixes longer by as many."""
+    return n // 20 + 1
+
+
+def prefix_blobs(docs: DataFrame) -> DataFrame:
+    """blob, data: doc_ids, n, s1, s2 (with n they name a set), lengths of the prefixes and their shingles, in the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(zstandard.compress(sketch(docs).tobytes(), 1))
     opened: list[np.ndarray] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not opened:
             opened.append(np.frombuffer(zstandard.decompress(shared.value), np.uint32))
+        task, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 text, h = shingle_sets(*text_bytes(part.column("text")))
                 n = np.bincount(text, minlength=part.num_rows)
                 first = np.cumsum(n) - n
@@ -98,13 +105,22 @@ def prefixes(docs: DataFrame) -> DataFrame:
                     total = np.concatenate([[np.uint64(0)], np.cumsum(x)])
                     sums.append((total[first + n] - total[first]).view(np.int64))
                 order = np.lexsort((h, opened[0][(h & np.uint64(COUNTERS - 1)).astype(np.int64)], text))
-                keep = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+                keep = np.minimum(n, n - (4 * n + 4) // 5 + more_shared(n))
                 inside = np.arange(len(h)) - np.repeat(first, n) < np.repeat(keep, n)
-                offsets = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[order][inside].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), prefix], ["doc_id", "n", "s1", "s2", "prefix"])
+                ids = part.column("doc_id").cast(pa.int64())
+                data = packed(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), n, *sums, keep, h[order][inside])
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([data], pa.binary())], ["blob", "data"])
+                seq += 1
+
+    return docs.select("doc_id", "text").mapInArrow(run, "blob long, data binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, s1, s2, blob, place of every document."""
+    for batch in batches:
+        for blob, data in zip(batch.column("blob").to_pylist(), batch.column("data"), strict=True):
+            docs, nulls, n, s1, s2, _, _ = unpacked(data.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=nulls), pa.array(n), pa.array(s1), pa.array(s2), pa.array(np.full(len(n), blob)), pa.array(np.arange(len(n)))], ["doc_id", "n", "s1", "s2", "blob", "place"])
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -112,7 +128,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 text, h = shingle_sets(*text_bytes(part.column("text")))
                 n = np.bincount(text, minlength=part.num_rows)
                 ends = np.cumsum(n)
@@ -223,59 +239,56 @@ def _banded(tokens: np.ndarray, n: np.ndarray, down: int) -> np.ndarray:
     return mixed(tokens ^ mixed((band + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, seq = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            prefix = part.column("prefix")
-            tokens = prefix.flatten().to_numpy().view(np.uint64)
-            sizes = pc.list_value_length(prefix).to_numpy().astype(np.int64)
-            data = packed(part.column("doc_id").to_numpy(), part.column("n").to_numpy(), sizes, tokens)
-            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([data], pa.binary())], ["blob", "data"])
-            seq += 1
-
-
-def _keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    docs, n, sizes, tokens = unpacked(data)
-    docs, n = np.repeat(docs, sizes), np.repeat(n, sizes)
-    return np.concatenate([_banded(tokens, n, 0), _banded(tokens, n, 1)]), np.concatenate([docs, docs])
+def _keys(data: bytes, places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, document, size and side (own band, band below) of the prefix shingles of the documents at some places."""
+    docs, _, n, _, _, sizes, tokens = unpacked(data)
+    chosen = np.zeros(len(docs), bool)
+    chosen[places] = True
+    inside = np.repeat(chosen, sizes)
+    docs, n, tokens = np.repeat(docs, sizes)[inside], np.repeat(n, sizes)[inside], tokens[inside]
+    side = np.repeat([0, 1], len(docs))
+    return np.concatenate([_banded(tokens, n, 0), _banded(tokens, n, 1)]), np.concatenate([docs, docs]), np.concatenate([n, n]), side
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, doc of the keys that several documents have."""
+    """key, doc of the keys that several documents have, of documents that share as many as a partner would."""
     for batch in batches:
-        for data, shared in zip(batch.column("data"), batch.column("shared"), strict=True):
-            keys, docs = _keys(data.as_py())
+        for data, places, shared in zip(batch.column("data"), batch.column("places"), batch.column("shared"), strict=True):
+            keys, docs, n, side = _keys(data.as_py(), places.as_py())
             known = np.sort(np.concatenate([unpacked(x)[0] for x in shared.as_py()]))
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             found = known[at] == keys
-            yield pa.RecordBatch.from_arrays([pa.array(keys[found].view(np.int64)), pa.array(docs[found])], ["key", "doc"])
+            keys, docs, n, side = keys[found], docs[found], n[found], side[found]
+            _, who, count = np.unique(np.stack([docs, side]), axis=1, return_inverse=True, return_counts=True)
+            enough = count[who.ravel()] >= more_shared((4 * n + 4) // 5)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[enough].view(np.int64)), pa.array(docs[enough])], ["key", "doc"])
 
 
-def _pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
+def _pairs(blobs: DataFrame, reps: DataFrame) -> DataFrame:
     """center, doc: the representatives that share a key, with the smallest of them."""
-    n_parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_parts = max(8, int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, data in zip(batch.column("blob").to_pylist(), batch.column("data"), strict=True):
-                yield from key_rows(blob, *_keys(data.as_py()), n_parts)
-
-    ours = rows.select("doc_id", "n", "prefix").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    blobs = written(ours.mapInArrow(_pack, "blob long, data binary"), "blobs")
-    shared = blobs.mapInArrow(dealt, "part long, blob long, data binary").groupBy("part").applyInArrow(shared_keys, "blob long, data binary").groupBy("blob").agg(F.collect_list("data").alias("shared"))
-    entries = written(blobs.join(shared, "blob").select("data", "shared").mapInArrow(_entries, "key long, doc long"), "entries")
-    centers = entries.groupBy("key").agg(F.min("doc").alias("center"))
+            for blob, data, places in zip(batch.column("blob").to_pylist(), batch.column("data"), batch.column("places"), strict=True):
+                keys, docs, _, _ = _keys(data.as_py(), places.as_py())
+                yield from key_rows(blob, keys, docs, n_parts)
+
+    ours = blobs.join(reps.groupBy("blob").agg(F.collect_list("place").alias("places")), "blob").select("blob", "data", "places")
+    shared = ours.mapInArrow(dealt, "part long, blob long, data binary").groupBy("part").applyInArrow(shared_keys, "blob long, data binary").groupBy("blob").agg(F.collect_list("data").alias("shared"))
+    entries = written(ours.join(shared, "blob").select("data", "places", "shared").mapInArrow(_entries, "key long, doc long"), "entries")
+    centers = entries.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("last")).where(F.col("center") < F.col("last")).drop("last")
     return written(entries.join(centers, "key").select("center", "doc").distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    rows = written(prefixes(docs), "prefixes")
-    reps = written(rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
-    pairs = _pairs(rows, reps)
-    groups = components(_links(docs, pairs)).withColumnRenamed("node", "rep")
+    blobs = written(prefix_blobs(docs), "blobs")
+    rows = blobs.mapInArrow(_named, "doc_id long, n long, s1 long, s2 long, blob long, place long")
+    first = F.min_by(F.struct("doc_id", "blob", "place"), F.struct("doc_id", "blob", "place"))
+    reps = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "s1", "s2").agg(first.alias("r"))
+    reps = written(reps.select("n", "s1", "s2", F.col("r.doc_id").alias("rep"), "r.blob", "r.place"), "reps")
+    groups = components(_links(docs, _pairs(blobs, reps))).withColumnRenamed("node", "rep")
     named = reps.join(groups, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
@@ -286,7 +299,7 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("doc").alias("doc_id")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    sets = written(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc"]), "sets")
+    sets = written(full_sets(docs.join(wanted, "doc_id", "left_semi")), "sets")
     size = pairs.groupBy("center").agg(F.count("*").alias("m"))
     sized = pairs.join(size, "center")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -312,4 +325,4 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with the smallest doc_id of their component, with all columns; rows that repeat it stay once."""
     groups = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(groups, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
