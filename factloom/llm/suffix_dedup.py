@@ -13,7 +13,7 @@ so windows meet by anchor. Neighbouring windows with one anchor are one segment,
    such class goes back to the blobs.
 5. Blobs mark and count what is removed.
 
-Candidates are found by 64-bit hashes and compared as bytes where they meet; blobs find their own segments again by hash.
+Anchors and whole segments are known by 64-bit hashes with their length; what is searched is compared as bytes.
 Defined results: a null text is empty; a null doc_id counts as larger than any; rows that share a doc_id do not remove each
 other's bytes; an empty table gives no rows; extra columns are ignored.
 """
@@ -35,7 +35,7 @@ from factloom.llm.words import mixed, place_tables
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
-BLOB = 2 << 20
+BLOB = 1 << 20
 #: Bytes of segments that are sorted together; an anchor's segments are never parted.
 TOGETHER = 2 << 20
 _VALUE = np.random.default_rng(77001).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -53,15 +53,18 @@ class Segments:
             return
         up, self.down = place_tables(n + 1)
         self.total = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[raw] * up[:n])])
-        grams = self.hashes(np.arange(n - GRAM + 1), GRAM)
-        least, place = grams, np.arange(len(grams), dtype=np.int32)
+        grams = (self.total[GRAM:] - self.total[:-GRAM]) * self.down[: n - GRAM + 1]
+        grams ^= grams >> np.uint64(29)
+        grams *= np.uint64(0xBF58476D1CE4E5B9)
+        # The hash's upper bits and the place in one number, so that the least is the leftmost of the least.
+        low = np.uint64((1 << n.bit_length()) - 1)
+        least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         width = 1
-        while width < WINDOW:  # leftmost least of `width` grams from each place on
+        while width < WINDOW:
             step = min(width, WINDOW - width)
-            left, right = least[:-step], least[step:]
-            keep = left <= right
-            least, place = np.where(keep, left, right), np.where(keep, place[:-step], place[step:])
+            least = np.minimum(least[:-step], least[step:])
             width += step
+        place = (least & low).astype(np.int64)
         ends = np.repeat(offsets[1:], np.diff(offsets))[: len(place)]
         starts = np.flatnonzero(np.arange(len(place)) + LENGTH <= ends)
         if not len(starts):
@@ -195,17 +198,21 @@ def classes(text: np.ndarray, end: np.ndarray, longest: int, length: int = LENGT
     follow = place[np.minimum(sa + 1, n - 1)]
     parted = np.ones(n, bool)
     parted[1:] = (byte[1:] != byte[:-1]) | (byte[1:] == 0)
-    fresh = parted
+    fresh = np.flatnonzero(parted)
     open_ = np.flatnonzero(~parted)
+    before, here = follow[open_ - 1].astype(np.int32), follow[open_].astype(np.int32)
+    count = np.zeros(n, np.int32)
     for _ in range(length - 1):
-        if not len(open_) or not fresh.any():
+        if not len(open_) or not len(fresh):
             break
-        seen = np.cumsum(fresh)
-        split = seen[follow[open_]] != seen[follow[open_ - 1]]
-        fresh = np.zeros(n, bool)
-        fresh[open_[split]] = True
-        parted = parted | fresh
-        open_ = open_[~split]
+        count[:] = 0
+        count[fresh] = 1
+        seen = np.cumsum(count, dtype=np.int32)
+        split = seen[here] != seen[before]
+        fresh = open_[split]
+        parted[fresh] = True
+        rest = ~split
+        open_, before, here = open_[rest], before[rest], here[rest]
     return sa, np.cumsum(parted) - 1
 
 
@@ -228,69 +235,58 @@ def least_docs(segments: list[bytes], low: np.ndarray) -> list[np.ndarray]:
 
 def _found(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """blob, data: own hash, whether it is a single window, number of windows and their least doc_ids, where they remove something."""
-    blobs, cols, texts = [], [], []
+    blobs, cols = [], []
     for batch in batches:
         for blob, data in zip(batch.column("blob").to_pylist(), batch.column("data"), strict=True):
-            *c, raw = unpacked(data.as_py())
             blobs.append(blob)
-            cols.append(c)
-            cut = np.concatenate([[0], np.cumsum(c[4].astype(np.int64))]).tolist()
-            held = raw.tobytes()
-            texts.extend(held[a:b] for a, b in zip(cut, cut[1:], strict=False))
-    of = np.repeat(np.arange(len(blobs)), [len(c[0]) for c in cols])
-    meet, own, low, high, size = (np.concatenate(x) for x in zip(*cols, strict=True))
+            cols.append(unpacked(data.as_py()))
+    meet, own, low, high, size, raw = (np.concatenate(x) for x in zip(*cols, strict=True))
+    size = size.astype(np.int64)
+    place = np.cumsum(size) - size
+    run = size - LENGTH + 1
+    at = np.cumsum(run) - run
     order = np.lexsort((own, meet))
-    best: list[np.ndarray | int] = [0] * len(order)
-    first = np.concatenate([[True], (meet[order][1:] != meet[order][:-1])])
-    cuts = np.concatenate([np.flatnonzero(first), [len(order)]])
-    least = np.minimum.reduceat(low[order], cuts[:-1])
-    same = np.logical_and.reduceat(np.concatenate([[True], own[order][1:] == own[order][:-1]]) | first, cuts[:-1])
-    waiting: dict[bytes, int] = {}
-    chunk: list[tuple[int, int]] = []
+    change = np.concatenate([[True], meet[order][1:] != meet[order][:-1]])
+    first = np.flatnonzero(change)
+    ends = np.concatenate([first[1:], [len(order)]])
+    least = np.minimum.reduceat(low[order], first)
+    # An anchor with one segment alone, however often, needs no search: its windows are their own classes.
+    alone = np.logical_and.reduceat(np.concatenate([[True], own[order][1:] == own[order][:-1]]) | change, first)
+    value = np.empty(len(order), np.int64)
+    value[order] = np.repeat(least, ends - first)
+    best = np.repeat(value, run)
+    waiting: list[np.ndarray] = []
     total = 0
 
     def search() -> None:
         """Expand the intervals of the different segments that wait, and hand their values to all equal segments."""
-        lows = np.full(len(waiting), _NONE, np.int64)
-        items = [int(i) for a, b in chunk for i in order[a:b]]
-        at = np.array([waiting[texts[i]] for i in items])
-        np.minimum.at(lows, at, low[items])
-        values = least_docs(list(waiting), lows)
-        for i, k in zip(items, at, strict=True):
-            best[i] = values[k]
+        items = np.concatenate(waiting)
+        texts = [raw[place[i] : place[i] + size[i]].tobytes() for i in items]
+        known = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+        which = np.array([known[t] for t in texts])
+        lows = np.full(len(known), _NONE, np.int64)
+        np.minimum.at(lows, which, low[items])
+        values = least_docs(list(known), lows)
+        for i, k in zip(items.tolist(), which.tolist(), strict=True):
+            best[at[i] : at[i] + run[i]] = values[k]
         waiting.clear()
-        chunk.clear()
-
-    for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if same[g] and all(texts[i] == texts[order[a]] for i in order[a + 1 : b]):  # one text alone: its windows are its class
-            for i in order[a:b]:
-                best[i] = int(least[g])
-            continue
-        for i in order[a:b]:
-            if texts[i] not in waiting:
-                waiting[texts[i]] = len(waiting)
-                total += len(texts[i])
-        chunk.append((int(a), int(b)))
+
+    for a, b in zip(first[~alone].tolist(), ends[~alone].tolist(), strict=True):
+        waiting.append(order[a:b])
+        total += int(size[order[a:b]].sum())
         if total > TOGETHER:
             search()
             total = 0
-    if chunk:
+    if waiting:
         search()
-    starts = np.concatenate([[0], np.cumsum([len(c[0]) for c in cols])])
+    removes = np.minimum.reduceat(best, at) < high
+    of = np.repeat(np.arange(len(blobs)), [len(c[0]) for c in cols])
     for k, blob in enumerate(blobs):
-        keep, runs = [], []
-        for i in range(starts[k], starts[k + 1]):
-            v = best[i]
-            if isinstance(v, int):
-                if v < high[i]:
-                    keep.append(i)
-                    runs.append(np.full(int(size[i]) - LENGTH + 1, v, np.int64))
-            elif v.min() < high[i]:
-                keep.append(i)
-                runs.append(v)
-        if keep:
-            single = (size[keep] == LENGTH) & (meet[keep] == own[keep])
-            data = packed(own[keep], single, size[keep] - np.uint8(LENGTH - 1), np.concatenate(runs))
+        start, stop = np.searchsorted(of, [k, k + 1])
+        items = np.flatnonzero(removes[start:stop]) + start
+        if len(items):
+            single = (size[items] == LENGTH) & (meet[items] == own[items])
+            data = packed(own[items], single, run[items].astype(np.uint8), _gathered(best, at[items], run[items]))
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.int64()), pa.array([data], pa.binary())], ["blob", "data"])
 
 
