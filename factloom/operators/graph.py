@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.checkpoints import cut
 
-#: Base strength of each kind of connascence, and what raises it. Fixed values.
-CONNASCENCE = {"Name": 1, "Type": 2, "Meaning": 3, "Position": 3, "Algorithm": 4}
+#: Strengths, weakest first. Fixed values, as are the bands in strength().
+STRENGTHS = ("VeryLow", "Low", "Medium", "High", "VeryHigh")
 
 
 def distances(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -92,8 +92,7 @@ def connascence(entities: DataFrame, column: str, kind: str) -> DataFrame:
 
 
 def strength(kind: Column, entities: Column, frequency: Column) -> Column:
-    """1 (trivial) to 5 (critical): the kind's base, one more from five entities on, and one more from twenty uses on."""
-    base = F.lit(1)
-    for name, n in CONNASCENCE.items():
-        base = F.when(kind == name, n).otherwise(base)
-    return F.least(base + (entities >= 5).cast("int") + (frequency >= 20).cast("int"), F.lit(5))
+    """1 (very low) to 5 (very high): by entities, raised for kinds that are hard to see and lowered for easy ones, raised by frequent use."""
+    base = F.when(entities <= 1, 1).when(entities <= 3, 2).when(entities <= 6, 3).when(entities <= 10, 4).otherwise(5)
+    by_kind = F.when(kind.isin("Algorithm", "Meaning") & base.isin(2, 3), base + 1).when(kind.isin("Name", "Position"), F.least(base, F.lit(4))).otherwise(base)
+    return F.when((frequency > 10) & by_kind.between(2, 4), by_kind + 1).otherwise(by_kind)
