@@ -10,7 +10,7 @@ import numpy as np
 from factloom.llm.words import span_hashes
 
 #: Chunks in each of the two generations that a worker remembers: a full one becomes the old one, and what is still used moves on.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 450_000
 
 _open: dict[str, ChunkMemo] = {}
 
