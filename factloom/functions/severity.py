@@ -12,7 +12,6 @@ FROM_RULES = {"Critical": "Critical", "High": "Major", "Medium": "Minor", "Low":
 FROM_REPORT_LEVEL = {"error": "Critical", "warning": "Major", "note": "Minor", "none": "Minor"}
 FROM_LINTER = {"error": "Critical", "warning": "Major", "info": "Minor"}
 FROM_PATTERN_RULE = {"error": "Critical", "warning": "Major", "info": "Info"}
-STRENGTH_RANK = {"Trivial": 1, "Low": 2, "Medium": 3, "High": 4, "Critical": 5}
 
 
 def mapped(column: Column | str, table: dict, otherwise=None) -> Column:

@@ -69,7 +69,7 @@ def exists_all(facts: DataFrame, first: str, *others: str, on: tuple[str, ...] =
 def owners(facts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Facts with each owner whose path prefix starts the file. The prefix's own text is the key: files are cut at each slash."""
     depth = F.size(F.split("file", "/"))
-    prefixes = F.transform(F.sequence(F.lit(1), depth), lambda n: F.substring_index("file", "/", n))
+    prefixes = F.transform(F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice(F.split("file", "/"), 1, n), "/"))
     return facts.withColumn("prefix", F.explode(prefixes)).join(patterns, "prefix")
 
 
