@@ -1,0 +1,305 @@
+"""The rule language: text to syntax tree, checks, and compilation to DataFrames.
+
+    rule "uncovered weakness" {
+      severity: High  message: "{fact.type} at {location.file}"  tags: [security]
+      match { v: Vulnerability where severity == "Critical"; u: UncoveredLine }
+      on file, start_line
+      where v.confidence > 0.8 and not (v.start_line < 2)
+    }
+
+Patterns of one rule are joined on the variables after `on`, by equality; with one pattern no join is needed. Operators bind as usual:
+not, comparison, and, or.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from factloom.functions.severity import FROM_RULES
+from factloom.operators.rules import findings
+
+#: Fact types and limits that rules are checked against. Fixed values.
+TYPES = ("TaintSource", "TaintSink", "Sanitization", "UnsafeCall", "CryptographicOperation", "Vulnerability", "Function", "Variable", "CodeSmell", "ComplexityViolation", "Dependency", "DependencyVulnerability", "License", "UncoveredLine", "LowTestCoverage", "CoverageStats", "Custom")
+FUNCTIONS = ("contains", "matches", "starts_with", "ends_with", "exists", "length_gt", "length_lt", "equals")
+MOST_RULES, MOST_NAME, MOST_DEPTH, MOST_TEXT = 1000, 100, 10, 1000
+_TOKEN = re.compile(r"""\s*(?:(?P<comment>//[^\n]*|\#[^\n]*)|(?P<number>-?\d+(?:\.\d+)?)|(?P<string>"(?:[^"\\]|\\.)*"|/(?:[^/\\]|\\.)+/)|(?P<op>==|!=|>=|<=|=~|~=|!~|&&|\|\||[<>!(){}\[\]:;,.])|(?P<word>[A-Za-z_$][\w$]*))""")
+
+
+class RuleError(ValueError):
+    pass
+
+
+@dataclass
+class Pattern:
+    name: str
+    kind: str
+    where: tuple | None = None
+
+
+@dataclass
+class Rule:
+    name: str
+    patterns: list[Pattern] = field(default_factory=list)
+    on: list[str] = field(default_factory=list)
+    where: tuple | None = None
+    severity: str = "Medium"
+    message: str = "{fact.type} at {location.file}:{location.start_line}"
+    confidence: float | None = None
+    tags: list[str] = field(default_factory=list)
+
+
+class _Parser:
+    def __init__(self, text: str) -> None:
+        self.tokens, at = [], 0
+        while text[at:].strip():
+            m = _TOKEN.match(text, at)
+            if not m:
+                raise RuleError(f"cannot read: {text[at : at + 20].strip()!r}")
+            at = m.end()
+            if m.lastgroup != "comment":
+                self.tokens.append((m.lastgroup, m[m.lastgroup]))
+        self.at = 0
+
+    def peek(self) -> tuple[str, str]:
+        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+
+    def take(self, *wanted: str) -> str:
+        kind, text = self.peek()
+        if wanted and text not in wanted:
+            raise RuleError(f"expected {' or '.join(wanted)}, found {text or 'the end'}")
+        self.at += 1
+        return text
+
+    def skip(self, *texts: str) -> bool:
+        if self.peek()[1] in texts:
+            self.at += 1
+            return True
+        return False
+
+    def rules(self) -> list[Rule]:
+        out = []
+        while self.peek()[0] != "end":
+            self.take("rule")
+            rule = Rule(_plain(self.take()))
+            self.take("{")
+            while not self.skip("}"):
+                self.part(rule)
+            out.append(rule)
+        return out
+
+    def part(self, rule: Rule) -> None:
+        key = self.take()
+        if key == "match":
+            self.take("{")
+            while not self.skip("}"):
+                name = self.take()
+                kind = self.take() if self.skip(":") else name
+                while self.skip(":"):
+                    kind += ":" + self.take()
+                rule.patterns.append(Pattern(name, _plain(kind), self.either() if self.skip("where") else None))
+                self.skip(";", ",")
+        elif key == "on":
+            rule.on.append(self.take())
+            while self.skip(","):
+                rule.on.append(self.take())
+        elif key == "where":
+            rule.where = self.either()
+        elif key in ("severity", "message", "confidence", "tags"):
+            self.take(":")
+            if self.skip("["):
+                values = []
+                while not self.skip("]"):
+                    values.append(_plain(self.take()))
+                    self.skip(",")
+                rule.tags = values
+            else:
+                value = _plain(self.take())
+                setattr(rule, key, float(value) if key == "confidence" else value)
+            self.skip(";", ",")
+        else:
+            raise RuleError(f"unknown part: {key}")
+
+    def either(self) -> tuple:
+        left = self.both()
+        while self.skip("or", "||"):
+            left = ("or", left, self.both())
+        return left
+
+    def both(self) -> tuple:
+        left = self.single()
+        while self.skip("and", "&&"):
+            left = ("and", left, self.single())
+        return left
+
+    def single(self) -> tuple:
+        if self.skip("not", "!"):
+            return ("not", self.single())
+        if self.skip("("):
+            inner = self.either()
+            self.take(")")
+            return inner
+        left = self.value()
+        if self.peek()[1] in ("==", "!=", ">", "<", ">=", "<=", "=~", "~=", "!~", "contains", "matches"):
+            return ("compare", self.take(), left, self.value())
+        return ("truth", left)
+
+    def value(self) -> tuple:
+        kind, text = self.peek()
+        self.at += 1
+        if kind == "number":
+            return ("literal", float(text))
+        if kind == "string":
+            return ("literal", _plain(text))
+        if kind != "word":
+            raise RuleError(f"expected a value, found {text or 'the end'}")
+        if text in ("true", "false", "null"):
+            return ("literal", {"true": True, "false": False, "null": None}[text])
+        if self.skip("("):
+            args = []
+            while not self.skip(")"):
+                args.append(self.value())
+                self.skip(",")
+            return ("call", text, args)
+        path = [text]
+        while self.skip("."):
+            path.append(self.take())
+        return ("path", path)
+
+
+def _plain(text: str) -> str:
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"/":
+        return re.sub(r"\\(.)", r"\1", text[1:-1]) if text[0] == '"' else text[1:-1]
+    return text
+
+
+def parse(text: str) -> list[Rule]:
+    return _Parser(text).rules()
+
+
+def check(rules: list[Rule]) -> list[str]:
+    """What is wrong with rules, before any data is read."""
+    out = [f"more than {MOST_RULES} rules"] if len(rules) > MOST_RULES else []
+    names = [r.name for r in rules]
+    out += [f"{n}: the name is used twice" for n in sorted({n for n in names if names.count(n) > 1})]
+    for r in rules:
+        if not r.patterns:
+            out.append(f"{r.name}: no pattern")
+        if len(r.name) > MOST_NAME:
+            out.append(f"{r.name}: the name is too long")
+        if r.severity not in FROM_RULES:
+            out.append(f"{r.name}: unknown severity {r.severity}")
+        if r.confidence is not None and not 0 <= r.confidence <= 1:
+            out.append(f"{r.name}: confidence is outside 0 to 1")
+        if len(r.patterns) > 1 and not r.on:
+            out.append(f"{r.name}: several patterns share no variable")
+        for p in r.patterns:
+            if p.kind.split(":")[0] not in TYPES:
+                out.append(f"{r.name}: unknown fact type {p.kind}")
+        for tree in [r.where, *[p.where for p in r.patterns]]:
+            out += [f"{r.name}: {x}" for x in _wrong(tree, {p.name for p in r.patterns})]
+    return out
+
+
+def _wrong(tree: tuple | None, names: set[str], depth: int = 0) -> list[str]:
+    if tree is None:
+        return []
+    if depth > MOST_DEPTH:
+        return ["the condition is nested too deeply"]
+    kind = tree[0]
+    if kind in ("and", "or", "not", "truth"):
+        return [x for t in tree[1:] for x in _wrong(t, names, depth + 1)]
+    if kind == "compare":
+        bad = [x for t in tree[2:] for x in _wrong(t, names, depth + 1)]
+        if tree[1] in ("=~", "~=", "!~", "matches") and tree[3][0] == "literal":
+            try:
+                re.compile(str(tree[3][1]))
+            except re.error:
+                bad.append("not a regular expression")
+        return bad
+    if kind == "call":
+        known = [] if tree[1] in FUNCTIONS else [f"unknown function {tree[1]}"]
+        return known + [x for t in tree[2] for x in _wrong(t, names, depth + 1)]
+    if kind == "literal" and isinstance(tree[1], str) and len(tree[1]) > MOST_TEXT:
+        return ["a text is too long"]
+    return []
+
+
+def complexity(rule: Rule, facts: int = 10_000) -> float:
+    """0 to 100: ten points for each factor of ten in the rows that the patterns may pair, a tenth of them where there is a condition."""
+    size = float(facts) ** max(1, len(rule.patterns)) * (0.1 if rule.where else 1.0)
+    digits = 0
+    while size >= 10 and digits < 10:
+        size, digits = size / 10, digits + 1
+    return min(100.0, 10.0 * digits)
+
+
+def condition(tree: tuple | None, column) -> Column:
+    """A tree as a Column; column(path) gives a path's Column. A missing value meets no condition."""
+    if tree is None:
+        return F.lit(True)
+    kind = tree[0]
+    if kind == "and":
+        return condition(tree[1], column) & condition(tree[2], column)
+    if kind == "or":
+        return condition(tree[1], column) | condition(tree[2], column)
+    if kind == "not":
+        return ~condition(tree[1], column)
+    if kind == "truth":
+        return _truth(tree[1], column)
+    op, a, b = tree[1], tree[2], tree[3]
+    x, y = _value(a, column), _value(b, column)
+    if op in ("=~", "~=", "matches"):
+        out = F.regexp_like(x, y)
+    elif op == "!~":
+        out = ~F.regexp_like(x, y)
+    else:
+        out = {"==": lambda: x == y, "!=": lambda: x != y, ">": lambda: x > y, "<": lambda: x < y, ">=": lambda: x >= y, "<=": lambda: x <= y, "contains": lambda: F.contains(x, y)}[op]()
+    return F.coalesce(out, F.lit(False))
+
+
+def _truth(value: tuple, column) -> Column:
+    if value[0] == "literal":
+        v = value[1]
+        return F.lit(v if isinstance(v, bool) else v.lower() == "true" if isinstance(v, str) else v is not None and v > 0)
+    if value[0] == "path":
+        return column(value[1]).isNotNull()
+    args = [_value(a, column) for a in value[2]]
+    made = {"contains": F.contains, "matches": F.regexp_like, "starts_with": F.startswith, "ends_with": F.endswith, "exists": lambda a: a.isNotNull(), "length_gt": lambda a, n: F.length(a) > n, "length_lt": lambda a, n: F.length(a) < n, "equals": lambda a, b: a == b}[value[1]](*args)
+    return F.coalesce(made, F.lit(False))
+
+
+def _value(value: tuple, column) -> Column:
+    return column(value[1]) if value[0] == "path" else F.lit(value[1])
+
+
+def _matched(facts: DataFrame, p: Pattern) -> DataFrame:
+    own = lambda path: F.col(path[-1] if path[0] in (p.name, "fact", "location") else ".".join(path))
+    return facts.where((F.col("fact_type") == p.kind.split(":")[0]) & condition(p.where, own))
+
+
+def compile_rule(rule: Rule, facts: DataFrame) -> DataFrame:
+    """Findings of a rule: the first pattern's facts, once for each match of the others."""
+    problems = check([rule])
+    if problems:
+        raise RuleError("; ".join(problems))
+    first, *others = rule.patterns
+    joined = _matched(facts, first).alias(first.name)
+    for p in others:
+        on = [F.col(f"{first.name}.{v}") == F.col(f"{p.name}.{v}") for v in rule.on]
+        joined = joined.join(_matched(facts, p).alias(p.name), on)
+    names = {p.name for p in rule.patterns}
+    column = lambda path: F.col(".".join(path)) if path[0] in names else F.col(f"{first.name}.{path[-1]}")
+    matched = joined.where(condition(rule.where, column)).select(f"{first.name}.*")
+    confidence = F.col("confidence") if rule.confidence is None else F.lit(rule.confidence)
+    return findings(matched, rule.name, rule.message, F.lit(FROM_RULES[rule.severity]), confidence)
+
+
+def evaluate(rules: list[Rule], facts: DataFrame) -> DataFrame:
+    """Findings of all rules in one plan; those of one pattern share a single scan."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [compile_rule(r, facts) for r in rules])

@@ -43,13 +43,13 @@ def query(name: str, run: Callable[[Views], DataFrame], sql: str | None = None,
 
 
 def queries() -> dict[str, Query]:
-    from factloom import more_queries  # noqa: F401  (registers itself)
+    from factloom import more_queries, source_queries  # noqa: F401  (they register themselves)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from factloom import more_queries  # noqa: F401
+    from factloom import more_queries, source_queries  # noqa: F401
 
     return dict(_SQL)
 

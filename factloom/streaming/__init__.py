@@ -1 +1,60 @@
-"""Streaming of the engine."""
+"""Structured Streaming: daily trends, publishing, rate limits."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def read_events(spark: SparkSession, path: str, schema: str = EVENTS, name: str = "*") -> DataFrame:
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(path)
+
+
+def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """day, event_type, n: tumbling days; a day is final once the watermark has passed it."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
+
+
+def publish(requests: DataFrame, path: str, checkpoint: str, valid) -> StreamingQuery:
+    """Append the valid requests of each batch to a table and the others beside it; a batch that runs again replaces its own files."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        marked = batch.withColumn("_ok", F.coalesce(valid, F.lit(False)))
+        marked.where("_ok").drop("_ok").write.mode("overwrite").parquet(f"{path}/accepted/batch={number}")
+        marked.where("NOT _ok").drop("_ok").write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+
+    return requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rate_limited(requests: DataFrame, key: str, capacity: int, per_minute: int) -> DataFrame:
+    """key, ts, allowed: a token bucket a key that refills on whole minutes since its last refill; requests count in time order."""
+    schema = f"{key} long, ts timestamp, allowed boolean"
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        tokens, filled = state.get if state.exists else (capacity, None)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        out = []
+        for ts in rows["ts"]:
+            now = int(ts.timestamp())
+            filled = now if filled is None else filled
+            if (minutes := max(0, (now - filled) // 60)) > 0:
+                tokens, filled = min(capacity, tokens + minutes * per_minute), now
+            out.append((name[0], ts, tokens > 0))
+            tokens -= tokens > 0
+        state.update((tokens, filled))
+        yield pd.DataFrame(out, columns=[key, "ts", "allowed"])
+
+    return requests.groupBy(key).applyInPandasWithState(run, schema, "tokens long, filled long", "append", "NoTimeout")
+
+
+def requests_per_minute(requests: DataFrame, key: str, capacity: int) -> DataFrame:
+    """The batch proxy of a limit: requests of each key and minute, and how many are over the capacity."""
+    n = F.count("*")
+    return requests.groupBy(key, F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(n.alias("n"), F.greatest(n - capacity, F.lit(0)).alias("over"))
