@@ -37,7 +37,7 @@ LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 BLOB = 1 << 20
 #: Bytes of segments that are sorted together; an anchor's segments are never parted.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 19
 _VALUE = np.random.default_rng(77001).integers(1, 1 << 63, 256, dtype=np.uint64)
 _NONE = np.iinfo(np.int64).max
 
@@ -73,7 +73,7 @@ class Segments:
         first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         self.start = starts[first]
         self.run = np.diff(np.concatenate([first, [len(starts)]]))
-        self.anchor = grams[at[first]]
+        self.anchor = mixed(grams[at[first]])  # leasts are small numbers; mixed, they deal evenly
         self.own = self.hashes(self.start, self.run + LENGTH - 1)
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
 
