@@ -69,8 +69,8 @@ class _Parser:
 
     def take(self, *wanted: str) -> str:
         kind, text = self.peek()
-        if wanted and text not in wanted:
-            raise RuleError(f"expected {' or '.join(wanted)}, found {text or 'the end'}")
+        if kind == "end" or wanted and text not in wanted:
+            raise RuleError(f"expected {' or '.join(wanted) or 'more'}, found {text or 'the end'}")
         self.at += 1
         return text
 
@@ -149,7 +149,7 @@ class _Parser:
 
     def value(self) -> tuple:
         kind, text = self.peek()
-        self.at += 1
+        self.take()
         if kind == "number":
             return ("literal", float(text))
         if kind == "string":

@@ -30,7 +30,7 @@ def _reports(v: Views) -> DataFrame:
 
 _FACTS = f"""SELECT CASE WHEN l_suppkey % 4 = 0 OR l_partkey % 7 = 0 OR l_partkey % 5 <> 2 THEN 'Vulnerability' ELSE 'CodeSmell' END AS fact_type, {_RULE} AS rule,
   CASE coalesce({_LEVEL}, 'warning') WHEN 'error' THEN 'Critical' WHEN 'warning' THEN 'Major' ELSE 'Minor' END AS severity, 'm' || l_orderkey AS message,
-  CASE WHEN l_partkey % 3 = 0 THEN 'CWE-' || (l_partkey % 90) END AS cwe_id, round(coalesce(least(greatest({_SEVERITY} / 10, 0), 1), 0.5)::DOUBLE, 4) AS confidence,
+  CASE WHEN l_partkey % 3 = 0 THEN 'CWE-' || (l_partkey % 90) END AS cwe_id, round(CASE WHEN l_suppkey % 4 = 0 THEN least(greatest(l_quantity / 40, 0), 1) ELSE 0.5 END::DOUBLE, 4) AS confidence,
   {_FILE.format(text='varchar')} AS file, CASE WHEN l_suppkey % 10 = 0 THEN 1 ELSE l_linenumber END AS start_line, CASE WHEN l_suppkey % 10 <> 0 AND l_suppkey % 3 > 0 THEN (l_suppkey % 3)::INT END AS start_column,
   CASE WHEN l_suppkey % 10 = 0 THEN 1 WHEN l_linenumber % 2 = 0 THEN l_linenumber + 2 ELSE l_linenumber END AS end_line, 'scanner' AS extractor FROM lineitem"""
 query("src_09_report_facts", lambda v: reports.report_facts(_reports(v)).drop("owasp_category", "cvss_score", "end_column"), _FACTS)

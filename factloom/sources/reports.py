@@ -62,7 +62,7 @@ def report_facts(reports: DataFrame, least: str = "Info", excluded: tuple[str, .
         rows = rows.where(~F.col("rule").contains(part))
     given = F.col("props.security-severity")  # a number counts, a text does not
     number = F.when(F.schema_of_variant(given) != "STRING", F.try_variant_get(given, "$", "double"))
-    confidence = F.coalesce(F.least(F.greatest(number / 10, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    confidence = F.when(number.isNull(), 0.5).otherwise(F.least(F.greatest(number / 10, F.lit(0.0)), F.lit(1.0)))
     return rows.select(F.when(is_security(F.col("rule"), F.col("props")), "Vulnerability").otherwise("CodeSmell").alias("fact_type"), "rule", "severity", F.col("text").alias("message"), cwe_of(F.col("props")).alias("cwe_id"), F.col("props.owasp").alias("owasp_category"), F.col("props.cvss").alias("cvss_score"), F.round(confidence, 4).alias("confidence"), *location(F.col("place")), F.col("tool").alias("extractor"))
 
 
