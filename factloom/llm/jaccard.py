@@ -300,8 +300,9 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     sets = written(full_sets(docs.join(wanted, "doc_id", "left_semi")), "sets")
-    size = pairs.groupBy("center").agg(F.count("*").alias("m"))
-    sized = pairs.join(size, "center")
+    # Large groups alone are named, so that small tables of them can be broadcast and no group's rows move by their centre.
+    size = pairs.groupBy("center").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
+    sized = pairs.join(size, "center", "left")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     members = sized.select("center", "doc", "m", F.when(F.col("m") > BLOCK, F.pmod(F.xxhash64("doc"), blocks).cast("int")).otherwise(-1).alias("block"), F.lit(True).alias("asks"))
     hot = members.where(F.col("block") >= 0)
