@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import severity as sev
-from factloom.operators import quality
+from factloom.functions.text import parse_duration
+from factloom.operators import model, quality
 from factloom.plans import dsl
 from factloom.queries import Views, query
 from factloom.sources import reports, texts
@@ -105,3 +106,39 @@ query("agg_20_exported", lambda v: quality.prometheus(quality.aggregate(v.facts,
 query("str_02_daily_events", lambda v: v.table("events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n")), "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 query("str_06_requests_per_minute", lambda v: requests_per_minute(v.table("events").withColumn("user_id", F.col("user_id") % 3), "user_id", 1), "SELECT user_id % 3 AS user_id, date_trunc('minute', ts)::TIMESTAMP AS minute, count(*) AS n, greatest(count(*) - 1, 0) AS over FROM events GROUP BY ALL")
 query("str_03_project_events", lambda v: v.table("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.max("ts").alias("last_ts")), "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, max(ts) AS last_ts FROM events GROUP BY 1")
+
+
+# Models, expectations, stores.
+_FOREIGN = [{"id": "a", "pattern": "eval(", "severity": "ERROR", "languages": ["python"]}, {"id": "b", "patterns": [{"pattern": "exec("}], "languages": ["python"]}]
+
+
+def _nodes(v: Views) -> DataFrame:
+    return v.table("lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, "cfg").otherwise("dfg").alias("graph"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("name"), (F.col("l_orderkey") % 300).alias("node"))
+
+
+def _model(v: Views) -> DataFrame:
+    method = F.struct(F.concat(F.lit("do"), F.col("p_size").cast("string")).alias("name"), (F.col("p_partkey") % 4).cast("int").alias("parameters"))
+    return v.table("part").groupBy(F.col("p_brand").alias("package"), F.col("p_type").alias("class")).agg(F.collect_list(method).alias("methods"))
+
+
+def _actual(v: Views) -> DataFrame:
+    return v.facts.where("severity = 'Critical'").select("fact_type", "severity", "message")
+
+
+def _expected(v: Views) -> DataFrame:
+    return v.facts.where("severity = 'Critical' and start_line < 4 or severity = 'Blocker'").select("fact_type", "severity", "message")
+
+
+_ACTUAL, _EXPECTED = "SELECT fact_type, severity, message FROM facts WHERE severity = 'Critical'", "SELECT fact_type, severity, message FROM facts WHERE severity = 'Critical' AND start_line < 4 OR severity = 'Blocker'"
+query("graph_06_node_facts", lambda v: model.node_facts(_nodes(v)), "SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'Function' ELSE 'Variable' END AS fact_type, 'n' || l_partkey AS name, (l_orderkey % 300 + 1)::INT AS start_line, 0.9::DOUBLE AS confidence FROM lineitem")
+query("graph_07_taint_facts", lambda v: v.flows.groupBy("fact_type", "var", "func", "method").agg(F.count("*").alias("n")), "SELECT fact_type, var, func, method, count(*) AS n FROM flows GROUP BY ALL", "flows")
+query("src_33_methods_of_package", lambda v: model.methods_of(_model(v), "Brand#2"), "SELECT p_type AS class, 'do' || p_size AS method, (p_partkey % 4)::INT AS parameters FROM part WHERE p_brand = 'Brand#2'")
+query("join_23_expectations", lambda v: model.expectations(_actual(v), _expected(v), ["fact_type", "severity", "message"]), f"SELECT fact_type, severity, message, CASE WHEN bool_or(a) AND bool_or(e) THEN 'matched' WHEN bool_or(a) THEN 'unexpected' ELSE 'missing' END AS outcome FROM (SELECT *, TRUE AS a, FALSE AS e FROM ({_ACTUAL}) UNION ALL SELECT *, FALSE, TRUE FROM ({_EXPECTED})) GROUP BY ALL", "facts")
+query("rem_28_snapshot", lambda v: model.snapshot_difference(_actual(v), _expected(v)), f"SELECT *, 'new' AS side FROM ({_ACTUAL} EXCEPT ALL {_EXPECTED}) UNION ALL SELECT *, 'gone' FROM ({_EXPECTED} EXCEPT ALL {_ACTUAL})", "facts")
+query("rem_06_node_counts", lambda v: _nodes(v).groupBy("graph").agg(F.count("*").alias("nodes")), "SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'cfg' ELSE 'dfg' END AS graph, count(*) AS nodes FROM lineitem GROUP BY 1")
+query("rem_07_policy_patterns", lambda v: v.flows.select("category").distinct(), "SELECT DISTINCT category FROM flows", "flows")
+query("fn_13_durations", lambda v: v.spark.createDataFrame([(t, parse_duration(t)) for t in ("500ms", "30s", "5m", "2h")], "text string, ms long"), "SELECT * FROM (VALUES ('500ms', 500::BIGINT), ('30s', 30000), ('5m', 300000), ('2h', 7200000)) d(text, ms)")
+query("src_38_translated_rules", lambda v: v.spark.createDataFrame([(r["id"], r["pattern"], r["severity"]) for r in map(texts.translate_rule, _FOREIGN)], "id string, pattern string, severity string"), "SELECT * FROM (VALUES ('a', 'eval(', 'error'), ('b', 'exec(', 'info')) r(id, pattern, severity)")
+query("src_40_config", lambda v: v.spark.createDataFrame([(n, c.get("timeout_ms")) for n, c in texts.load_config('[[extractors]]\nname = "a"\ntimeout = "30s"\n', '[[extractors]]\nname = "b"\ntimeout = "5m"\n').items()], "name string, timeout_ms long"), "SELECT * FROM (VALUES ('a', 30000::BIGINT), ('b', 300000)) c(name, timeout_ms)")
+query("src_39_loaded_rules", lambda v: v.spark.createDataFrame([(r["id"], r["language"]) for r in texts.load_rules('{"rules": [{"id": "x", "language": "python", "pattern": "eval("}]}')], "id string, language string"), "SELECT 'x' AS id, 'python' AS language")
+query("agg_34_rule_statistics", lambda v: v.spark.createDataFrame([(r["severity"],) for r in map(texts.translate_rule, _FOREIGN)], "severity string").groupBy("severity").agg(F.count("*").alias("n")), "SELECT * FROM (VALUES ('error', 1::BIGINT), ('info', 1)) s(severity, n)")

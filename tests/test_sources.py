@@ -65,3 +65,26 @@ def test_todo_lines(spark):
     df = spark.createDataFrame([(1, "a\n// TODO x\nTODO"), (2, None), (3, "")], "doc_id long, text string")
     assert [(r.doc_id, r.line) for r in texts.marked_lines(texts.lines(df)).orderBy("line").collect()] == [(1, 2), (1, 3)]
     assert [r.x for r in spark.createDataFrame([("a.py",), ("b",)], "p string").select(texts.language(F.col("p")).alias("x")).collect()] == ["python", "unknown"]
+
+
+def test_external_extractors(spark):
+    import sys
+
+    from factloom.sources.extractor import ExtractorSource, totals
+
+    spark.dataSource.register(ExtractorSource)
+    code = "import json, sys; c = json.load(sys.stdin); print(json.dumps({'facts': [{'fact_type': 'CodeSmell', 'file': c['file'], 'start_line': 1}]}))"
+    commands = [{"name": "one", "command": [sys.executable, "-c", code], "config": {"file": "a.py"}}, {"name": "two", "command": ["/no/such/tool"]}]
+    df = spark.read.format("extractor").option("commands", json.dumps(commands)).load()
+    assert sorted((r.extractor, r.facts, r.failed) for r in totals(df).collect()) == [("one", 1, False), ("two", 0, True)]
+    with pytest.raises(Exception, match="all extractors failed"):
+        totals(df.where("extractor = 'two'")).collect()
+
+
+def test_store(spark, tmp_path):
+    from factloom.operators.model import store_findings
+
+    df = spark.createDataFrame([("p", 1), ("q", 2)], "project string, x int")
+    store_findings(df, str(tmp_path / "s"))
+    store_findings(df.where("x = 1"), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).where("project = 'p'").count() == 2
