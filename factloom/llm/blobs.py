@@ -13,13 +13,13 @@ import pyarrow as pa
 import zstandard
 
 #: A key in more blobs than this is marked as hot.
-HOT = 64
+HOT = 512
 
 
-def packed(*arrays: np.ndarray) -> bytes:
+def packed(*arrays: np.ndarray, level: int = 1) -> bytes:
     """The arrays, each with its type and length, as one zstandard frame."""
     head = np.array([x for a in arrays for x in (ord(a.dtype.char), a.dtype.itemsize, len(a))], np.int64)
-    return zstandard.compress(np.int64(len(arrays)).tobytes() + head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    return zstandard.compress(np.int64(len(arrays)).tobytes() + head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), level)
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:

@@ -94,7 +94,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, offsets = text_bytes(part.column("text"))
             ids = part.column("doc_id").cast(pa.int64())
             docs = ids.fill_null(_NONE).to_numpy(zero_copy_only=False)
-            data = packed(docs, np.asarray(ids.is_null()), offsets, raw)
+            data = packed(docs, np.asarray(ids.is_null()), offsets, raw, level=6)
             yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([data], pa.binary())], ["blob", "texts"])
             seq += 1
 
@@ -143,7 +143,7 @@ def _segments(n_parts: int):
                 low, high, one = doc[order[first]], doc[order[last]] if len(order) else doc, order[first]
                 start, size, own, meet = start[one], size[one], own[one], meet[one]
                 parts = part_of(meet, n_parts)
-                make = lambda i, start=start, size=size, own=own, meet=meet, low=low, high=high, raw=raw: packed(meet[i], own[i], low[i], high[i], size[i].astype(np.uint8), _gathered(raw, start[i], size[i]))
+                make = lambda i, start=start, size=size, own=own, meet=meet, low=low, high=high, raw=raw: packed(np.diff(meet[i], prepend=np.uint64(0)), own[i], low[i], high[i] - low[i], size[i].astype(np.uint8), _gathered(raw, start[i], size[i]), level=3)
                 yield from dealt_rows(blob, parts, np.lexsort((meet, parts)), n_parts, make)
 
     return run
@@ -239,7 +239,8 @@ def _found(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         for blob, data in zip(batch.column("blob").to_pylist(), batch.column("data"), strict=True):
             blobs.append(blob)
-            cols.append(unpacked(data.as_py()))
+            steps, own, low, above, size, raw = unpacked(data.as_py())
+            cols.append((np.cumsum(steps), own, low, low + above, size, raw))
     meet, own, low, high, size, raw = (np.concatenate(x) for x in zip(*cols, strict=True))
     size = size.astype(np.int64)
     place = np.cumsum(size) - size
