@@ -39,7 +39,7 @@ from factloom.llm.words import mixed, shingle_sets
 #: Counters of the frequency sketch, over all documents at every size, and the parts that it is summed in.
 COUNTERS, PARTS = 1 << 21, 32
 BLOCK, PIVOTS = 1500, 16
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Candidates whose ids are broadcast, once counted; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Documents that one task call searches at least: small groups are dealt together.
