@@ -11,8 +11,9 @@
 4. In a group a T-occurrence search (DivideSkip) finds the partners: the long inverted lists are set aside, the short ones are
    merged, what occurs often enough there is binary-probed in the long ones, and the exact overlap decides.
 5. A group of more than BLOCK documents is split into blocks, each with the same few pivots. What is not in the group's largest
-   component afterwards is searched in every block; two documents of one component need no comparison. So no link between
-   components is lost, and no task holds a whole large group.
+   component afterwards is searched in every block; two documents of one component need no comparison. What asks is split into
+   blocks as well, and a task holds one of these and one block. So no link between components is lost, and no task holds a whole
+   large group.
 
 Shingles are 64-bit hashes. Defined results: without words or text a set is empty and the document is its own component; rows that
 repeat a doc_id share its component; a null doc_id has none; an empty table gives no rows; extra columns are ignored.
@@ -226,10 +227,10 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _searched(members: DataFrame, sets: DataFrame, second: bool) -> DataFrame:
-    """Edges from members (center, block, doc, asks), with sets joined to them."""
+    """Edges from members (center, asking, block, doc, asks), with sets joined to them."""
     n = members.count()
     tasks = max(1, n // TOGETHER)
-    dealt = members.join(sets, "doc").withColumn("deal", F.when(F.col("block") < 0, F.pmod(F.xxhash64("center"), F.lit(tasks))).otherwise(-1 - F.pmod(F.xxhash64("center", "block"), F.lit(1 << 40))))
+    dealt = members.join(sets, "doc").withColumn("deal", F.when(F.col("block") < 0, F.pmod(F.xxhash64("center"), F.lit(tasks))).otherwise(-1 - F.pmod(F.xxhash64("center", "asking", "block"), F.lit(1 << 40))))
     return dealt.withColumn("second", F.lit(second)).groupBy("deal").applyInPandas(_search, "a long, b long")
 
 
@@ -308,18 +309,20 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     hot = members.where(F.col("block") >= 0)
     pivots = hot.groupBy("center", "m").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), (F.col("m") / PIVOTS).cast("int"))) == 0, F.col("doc")))), 1, PIVOTS).alias("docs"))
     spread = pivots.select("center", "m", F.explode_outer("docs").alias("doc"), F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1).alias("all")).select("center", "doc", "m", F.explode_outer("all").alias("block"), F.lit(True).alias("asks"))
-    first = members.union(spread).select("center", "block", "doc", "asks").where(F.col("doc").isNotNull()).distinct()
+    first = members.union(spread).select("center", F.lit(0).alias("asking"), "block", "doc", "asks").where(F.col("doc").isNotNull()).distinct()
     links = written(_searched(first, sets, False), "links")
     if not hot.limit(1).count():
         return links
-    # Large groups: what is outside the largest component is searched in every block.
+    # Large groups: what is outside the largest component is searched in every block, a block of it at a time.
     at = components(links).withColumnRenamed("node", "doc")
     placed = hot.join(at, "doc", "left").select("center", "block", "doc", "m", F.coalesce("component", "doc").alias("component"))
     largest = placed.groupBy("center", "component").count().groupBy("center").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     rest = placed.join(largest, "center").where(F.col("component") != F.col("main"))
-    asking = rest.select("center", "doc", F.explode_outer(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)).alias("block")).withColumn("asks", F.lit(True))
-    held = placed.select("center", "doc", "block", F.lit(False).alias("asks")).join(rest.select("center").distinct(), "center", "left_semi")
-    again = asking.unionByName(held).groupBy("center", "block", "doc").agg(F.max("asks").alias("asks"))
+    n_asking = rest.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_asking"))
+    rest = rest.join(n_asking, "center").withColumn("asking", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("n_asking")).cast("int"))
+    asking = rest.select("center", "asking", "doc", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)).alias("block")).withColumn("asks", F.lit(True))
+    held = placed.join(n_asking, "center").select("center", F.explode(F.sequence(F.lit(0), F.col("n_asking") - 1)).alias("asking"), "doc", "block").withColumn("asks", F.lit(False))
+    again = asking.unionByName(held).groupBy("center", "asking", "block", "doc").agg(F.max("asks").alias("asks"))
     return written(links.union(_searched(again, sets, True)), "links")
 
 

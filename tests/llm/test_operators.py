@@ -258,6 +258,29 @@ def test_large_groups_are_split(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == plain_groups([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_no_task_holds_a_large_group_without_links(spark, monkeypatch):
+    from factloom.llm import jaccard
+
+    seen, run = [], jaccard._searched
+
+    def searched(members, sets, second):
+        groups = members.where("block >= 0").groupBy(*[c for c in members.columns if c not in ("doc", "asks")]).count()
+        seen.append((second, max((r["count"] for r in groups.collect()), default=0)))
+        return run(members, sets, second)
+
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "_searched", searched)
+    passage = " ".join(f"p{k}" for k in range(88))
+    texts = [f"{passage} " + " ".join(f"own{d}x{k}" for k in range(16)) for d in range(80)]
+    texts += [t + " more" for t in texts[::8]]  # found by the second pass, where the blocks differ
+    df = documents(spark, texts)
+    wanted = plain_groups([(r.doc_id, r.text) for r in df.collect()])
+    assert len({c for _, c in wanted.values()}) == 80
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == wanted
+    assert [s for s, _ in seen] == [False, True]
+    assert max(n for _, n in seen) <= 6 * jaccard.BLOCK < 80
+
+
 def test_divide_skip():
     from factloom.llm.jaccard import divide_skip
 
