@@ -1,6 +1,7 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a similarity of 0.8 or more, and the groups they form.
 
-1. Documents with equal sets become one class; its representative is the smallest doc_id.
+1. Documents with equal sets become one class, named by a 64-bit hash of the set; its representative is the row with the smallest
+   doc_id.
 2. All documents use one order of shingles: by a sketch of their frequency (a fixed number of counters over the whole corpus), then by
    hash. Two sets as similar as that share k of their first n - ceil(0.8 n) + k shingles, in any order; this order keeps shingles of
    passages that many documents share out of those prefixes.
@@ -16,7 +17,8 @@
    large group.
 
 Shingles are 64-bit hashes. Defined results: without words or text a set is empty and the document is its own component; rows that
-repeat a doc_id share its component; a null doc_id has none; an empty table gives no rows; extra columns are ignored.
+repeat a doc_id share its component, whatever their texts; a row with a null doc_id has none, but the documents that it links are in
+one; an empty table gives no rows; extra columns are ignored. keep_one goes by rows: see there.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.blobs import key_rows, packed, shared_keys, unpacked
@@ -87,8 +89,22 @@ def more_shared(n: np.ndarray) -> np.ndarray:
     return n // 20 + 1
 
 
+def set_keys(n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A name for each set of n shingles: a 64-bit hash of its size and two sums."""
+    first, out = np.cumsum(n) - n, n.astype(np.uint64)
+    for x in (h, mixed(h ^ np.uint64(0x5851F42D4C957F2D))):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(x)])
+        out = mixed(out ^ (total[first + n] - total[first]))
+    return out.view(np.int64)
+
+
+def text_mark() -> Column:
+    """With doc_id it tells rows apart that repeat a doc_id or have none."""
+    return F.xxhash64("text")
+
+
 def prefix_blobs(docs: DataFrame) -> DataFrame:
-    """blob, data: doc_ids, n, s1, s2 (with n they name a set), lengths of the prefixes and their shingles, in the common order."""
+    """blob, data: doc_ids, marks of the texts, n, names of the sets, lengths of the prefixes and their shingles, in the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(zstandard.compress(sketch(docs).tobytes(), 1))
     opened: list[np.ndarray] = []
 
@@ -101,42 +117,43 @@ def prefix_blobs(docs: DataFrame) -> DataFrame:
                 text, h = shingle_sets(*text_bytes(part.column("text")))
                 n = np.bincount(text, minlength=part.num_rows)
                 first = np.cumsum(n) - n
-                sums = []
-                for x in (h, mixed(h ^ np.uint64(0x5851F42D4C957F2D))):
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(x)])
-                    sums.append((total[first + n] - total[first]).view(np.int64))
                 order = np.lexsort((h, opened[0][(h & np.uint64(COUNTERS - 1)).astype(np.int64)], text))
                 keep = np.minimum(n, n - (4 * n + 4) // 5 + more_shared(n))
                 inside = np.arange(len(h)) - np.repeat(first, n) < np.repeat(keep, n)
                 ids = part.column("doc_id").cast(pa.int64())
-                data = packed(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), n, *sums, keep, h[order][inside])
+                data = packed(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), part.column("mark").to_numpy(), n, set_keys(n, h), keep, h[order][inside])
                 yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([data], pa.binary())], ["blob", "data"])
                 seq += 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, "blob long, data binary")
+    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, "blob long, data binary")
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, s1, s2, blob, place of every document."""
+    """doc_id, mark, n, doc, blob, place of every row."""
     for batch in batches:
         for blob, data in zip(batch.column("blob").to_pylist(), batch.column("data"), strict=True):
-            docs, nulls, n, s1, s2, _, _ = unpacked(data.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=nulls), pa.array(n), pa.array(s1), pa.array(s2), pa.array(np.full(len(n), blob)), pa.array(np.arange(len(n)))], ["doc_id", "n", "s1", "s2", "blob", "place"])
+            ids, nulls, marks, n, docs, _, _ = unpacked(data.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(marks), pa.array(n), pa.array(docs), pa.array(np.full(len(n), blob)), pa.array(np.arange(len(n)))], ["doc_id", "mark", "n", "doc", "blob", "place"])
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc, hashes: the whole sorted set."""
+    """doc, hashes: the name of each set and the whole sorted set; once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 text, h = shingle_sets(*text_bytes(part.column("text")))
                 n = np.bincount(text, minlength=part.num_rows)
-                ends = np.cumsum(n)
-                sets = pa.array([h[b - m : b].tobytes() for b, m in zip(ends, n, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), sets], ["doc", "hashes"])
+                ends, names, sets = np.cumsum(n), [], []
+                for doc, b, m in zip(set_keys(n, h).tolist(), ends, n, strict=True):
+                    if doc not in seen:
+                        seen.add(doc)
+                        names.append(doc)
+                        sets.append(h[b - m : b].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["doc", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, hashes binary")
+    return docs.select("text").mapInArrow(run, "doc long, hashes binary")
 
 
 class Union:
@@ -216,7 +233,7 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
     """Edges (a, b) within each centre's rows; rows with asks are queries where any row has."""
     out = []
     for _, g in rows.groupby("center", sort=False):
-        g = g.drop_duplicates("doc")
+        g = g.drop_duplicates("doc")  # rows with one name have one set
         docs = g["doc"].to_numpy()
         asks = g["asks"].to_numpy(bool)
         sets = [np.frombuffer(x, np.uint64) for x in g["hashes"]]
@@ -242,7 +259,7 @@ def _banded(tokens: np.ndarray, n: np.ndarray, down: int) -> np.ndarray:
 
 def _keys(data: bytes, places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Key, document, size and side (own band, band below) of the prefix shingles of the documents at some places."""
-    docs, _, n, _, _, sizes, tokens = unpacked(data)
+    _, _, _, n, docs, sizes, tokens = unpacked(data)
     chosen = np.zeros(len(docs), bool)
     chosen[places] = True
     inside = np.repeat(chosen, sizes)
@@ -282,25 +299,35 @@ def _pairs(blobs: DataFrame, reps: DataFrame) -> DataFrame:
     return written(entries.join(centers, "key").select("center", "doc").distinct(), "pairs")
 
 
+def _grouped(docs: DataFrame, by_id: bool) -> DataFrame:
+    """doc_id, mark, n, component of every row; components of sets, named by one of them. by_id: those of one doc_id are linked too."""
+    blobs = written(prefix_blobs(docs), "blobs")
+    rows = blobs.mapInArrow(_named, "doc_id long, mark long, n long, doc long, blob long, place long")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "blob", "place")
+    reps = rows.where(F.col("n") > 0).groupBy("doc").agg(F.min_by(row, row).alias("r"))
+    reps = written(reps.select("doc", "r.doc_id", "r.mark", "r.blob", "r.place"), "reps")
+    links = _links(docs, reps, _pairs(blobs, reps))
+    if by_id:
+        named = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "doc")
+        least = named.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where(F.col("b") < F.col("last")).drop("last")
+        links = links.union(named.join(least, "doc_id").where(F.col("doc") != F.col("b")).select(F.col("doc").alias("a"), "b"))
+    groups = components(links).withColumnRenamed("node", "doc")
+    return rows.join(groups, "doc", "left").select("doc_id", "mark", "n", F.coalesce("component", "doc").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    blobs = written(prefix_blobs(docs), "blobs")
-    rows = blobs.mapInArrow(_named, "doc_id long, n long, s1 long, s2 long, blob long, place long")
-    first = F.min_by(F.struct("doc_id", "blob", "place"), F.struct("doc_id", "blob", "place"))
-    reps = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "s1", "s2").agg(first.alias("r"))
-    reps = written(reps.select("n", "s1", "s2", F.col("r.doc_id").alias("rep"), "r.blob", "r.place"), "reps")
-    groups = components(_links(docs, _pairs(blobs, reps))).withColumnRenamed("node", "rep")
-    named = reps.join(groups, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
-
-
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.col("doc").alias("doc_id")).distinct()
+    rows = written(_grouped(docs, True), "rows")
+    named = rows.where(F.col("n") > 0).groupBy("component").agg(F.min("doc_id").alias("least"))
+    own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("least"))
+    return rows.join(named, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    wanted = pairs.select("doc").distinct().join(reps, "doc").select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    sets = written(full_sets(docs.join(wanted, "doc_id", "left_semi")), "sets")
+    sets = written(full_sets(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (text_mark() == F.col("w_mark")), "left_semi")), "sets")
     # Large groups alone are named, so that small tables of them can be broadcast and no group's rows move by their centre.
     size = pairs.groupBy("center").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
     sized = pairs.join(size, "center", "left")
@@ -327,6 +354,15 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their component, with all columns; rows that repeat it stay once."""
-    groups = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each component, with all columns: the one with the smallest doc_id, of several with it the one with the least mark of its
+    text; one without doc_id where the component has no other. Rows that repeat doc_id and text stay once. Unlike in near_duplicates,
+    a doc_id links nothing: its other texts stay if no row that is linked to them does. Rows without doc_id and words all stay."""
+    rows = written(_grouped(docs, False), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    least = rows.where(F.col("n") > 0).groupBy("component").agg(F.min_by(order, order).alias("r")).select(F.col("r.doc_id").alias("kept_id"), F.col("r.mark").alias("kept_mark"), F.lit(False).alias("each"))
+    empty = rows.where(F.col("n") == 0).select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"), F.col("doc_id").isNull().alias("each")).distinct()
+    kept = least.union(empty).select(F.struct("kept_id", "kept_mark", "each").alias("_kept"))
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), text_mark().alias("_mark"))
+    met = plain.join(kept, F.col("_id").eqNullSafe(F.col("_kept.kept_id")) & (F.col("_mark") == F.col("_kept.kept_mark")))
+    once = met.withColumn("_nth", F.when(F.col("_kept.each"), F.monotonically_increasing_id()).otherwise(-1)).dropDuplicates(["_id", "_mark", "_nth"])
+    return once.select("_row.*")

@@ -281,6 +281,22 @@ def test_no_task_holds_a_large_group_without_links(spark, monkeypatch):
     assert max(n for _, n in seen) <= 6 * jaccard.BLOCK < 80
 
 
+def test_rows_without_or_with_one_doc_id(spark):
+    from factloom.llm.jaccard import keep_one, near_duplicates
+
+    own = ["".join(f"{w}{k} " for k in range(40)) for w in "abcdefg"]
+    rows = [
+        (None, own[0]), (None, own[0]), (None, own[1] + "x"), (4, own[1]), (None, None), (None, None), (None, ""),
+        (5, own[2]), (5, own[3]), (5, own[3]), (6, own[3] + "x"), (3, own[4]), (7, own[4] + "x"), (7, own[5]), (8, None), (8, None), (9, own[6]), (None, "y " + own[6] + "x"),
+    ]
+    df = spark.createDataFrame([(d, t, "en", None, 1, 1, "w", 1) for d, t in rows], SCHEMA)
+    for n in (1, 7):
+        found = sorted((repr((r.doc_id, r.text)) for r in keep_one(df.repartition(n)).collect()))
+        assert found == sorted(map(repr, [(None, own[0]), (4, own[1]), (None, None), (None, None), (None, ""), (5, own[2]), (5, own[3]), (3, own[4]), (7, own[5]), (8, None), (9, own[6])]))
+    groups = {(r.doc_id, r.component_id) for r in near_duplicates(df).collect()}
+    assert groups == {(None, None), (4, 4), (5, 5), (6, 5), (3, 3), (7, 3), (8, 8), (9, 9)}
+
+
 def test_divide_skip():
     from factloom.llm.jaccard import divide_skip
 
