@@ -30,9 +30,18 @@ def count_if(condition: Column) -> Column:
 
 def score(facts: DataFrame) -> DataFrame:
     """100 less the penalties of all vulnerabilities and smells, 0 at least; a Blocker costs nothing, as specified."""
+    return facts.agg(_score().alias("score"))
+
+
+def score_by(facts: DataFrame, column: str) -> DataFrame:
+    """score() of the facts of each value of a column."""
+    return facts.groupBy(column).agg(_score().alias("score"))
+
+
+def _score() -> Column:
     rated = F.col("fact_type").isin("Vulnerability", "CodeSmell")
     cost = sum(points * count_if(rated & (F.col("severity") == name)) for name, points in PENALTY.items())
-    return facts.agg(F.greatest(F.lit(0.0), F.lit(100.0) - cost).alias("score"))
+    return F.greatest(F.lit(0.0), F.lit(100.0) - cost)
 
 
 METRICS = {
