@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import severity as sev
 from factloom.functions import text as tx
+from factloom.operators import governance as gov
 from factloom.operators import quality
-from factloom.queries import query
+from factloom.queries import _CHANGE, Views, query
 
 # Functions and scores.
 query("fn_04_normalized_whole", lambda v: v.table("documents").agg(F.count_distinct(F.sha2(tx.normalized(F.col("text")), 256)).alias("n")), "SELECT count(DISTINCT sha256(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'))) AS n FROM documents")
 _PENALTY = "greatest(0.0, 100.0 - 10 * count(*) FILTER (rated AND severity = 'Critical') - 5 * count(*) FILTER (rated AND severity = 'Major') - count(*) FILTER (rated AND severity = 'Minor'))::DOUBLE"
 query("agg_03_score_by_file", lambda v: quality.score_by(v.facts, "file"), f"SELECT file, {_PENALTY} AS score FROM (SELECT *, fact_type IN ('Vulnerability', 'CodeSmell') AS rated FROM facts) GROUP BY file", "facts")
+
+# Diffs of whole snapshots.
+_SNAPSHOTS = f"base AS (SELECT * FROM stored_findings WHERE analysis_id % 2 = 0), head AS (SELECT * FROM stored_findings WHERE analysis_id % 2 = 1), olds AS (SELECT fingerprint, arg_max(severity, seq) AS old FROM base GROUP BY 1), ranked AS (SELECT h.fingerprint, h.file, h.line, o.old, h.severity, {sev.sql_case('h.severity', sev.SERVER_RANK, '0')} - {sev.sql_case('o.old', sev.SERVER_RANK, '0')} AS steps, {sev.sql_case('h.severity', sev.SERVER_RANK, '0')} AS level FROM head h JOIN olds o USING (fingerprint)), changes AS ({_CHANGE}), n AS (SELECT count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'resolved') AS resolved, count(*) FILTER (change = 'increased') AS increased, count(*) FILTER (change = 'decreased') AS decreased FROM changes)"
+_TREND = "CASE WHEN new > resolved THEN 'Degrading' WHEN new < resolved THEN 'Improving' ELSE 'Stable' END"
+
+
+def _snapshots(v: Views) -> tuple[DataFrame, DataFrame]:
+    return v.stored_findings.where("analysis_id % 2 = 0"), v.stored_findings.where("analysis_id % 2 = 1")
+
+
+query("join_13_new_whole", lambda v: gov.new_findings(*_snapshots(v)).select("fingerprint", "file", "line"), f"WITH {_SNAPSHOTS} SELECT fingerprint, file, line FROM changes WHERE change = 'new'", "stored_findings")
+query("join_14_resolved_whole", lambda v: gov.resolved_findings(*_snapshots(v)).select("fingerprint", "file", "line"), f"WITH {_SNAPSHOTS} SELECT fingerprint, file, line FROM changes WHERE change = 'resolved'", "stored_findings")
+query("join_15_severity_changes_whole", lambda v: gov.severity_changes(*_snapshots(v)), f"WITH {_SNAPSHOTS} SELECT fingerprint, file, line, old, severity, CASE WHEN steps > 0 THEN 'increased' ELSE 'decreased' END AS change, steps FROM ranked WHERE steps <> 0", "stored_findings")
+query("join_16_diff_whole", lambda v: gov.diff(*_snapshots(v)), f"WITH {_SNAPSHOTS} SELECT * FROM changes", "stored_findings")
+query("agg_25_diff_summary_whole", lambda v: gov.diff_summary(*_snapshots(v)), f"WITH {_SNAPSHOTS} SELECT *, new - resolved AS net_change, (SELECT coalesce(sum(CASE WHEN steps > 0 THEN level ELSE -level END), 0)::BIGINT FROM ranked WHERE steps <> 0) AS severity_score, {_TREND} AS trend FROM n", "stored_findings")
+query("rem_25_summary_text_whole", lambda v: gov.summary_text(gov.diff_summary(*_snapshots(v))), f"WITH {_SNAPSHOTS} SELECT new || ' new, ' || resolved || ' resolved, ' || increased || ' more severe, ' || decreased || ' less severe: ' || {_TREND} AS text FROM n", "stored_findings")
+query("set_03_set_difference_whole", lambda v: gov.new_findings(*_snapshots(v)).select("fingerprint", F.lit("head").alias("side")).union(gov.resolved_findings(*_snapshots(v)).select("fingerprint", F.lit("base"))), f"WITH {_SNAPSHOTS} SELECT fingerprint, CASE change WHEN 'new' THEN 'head' ELSE 'base' END AS side FROM changes WHERE change IN ('new', 'resolved')", "stored_findings")

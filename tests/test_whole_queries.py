@@ -15,3 +15,12 @@ def test_normalized_reads_whole_texts_of_all_documents(spark, tmp_path):
 def test_every_file_has_a_score(spark):
     files = ALL["agg_05_file_statistics"](spark, SMALL).count()
     assert ALL["agg_03_score_by_file"](spark, SMALL).count() == files
+
+
+def test_diffs_reach_all_lines(spark):
+    found = spark.read.parquet(f"{SMALL}/lineitem.parquet").selectExpr("l_orderkey % 2 AS side", "l_linenumber AS line", "concat(l_partkey % 2000, '|', l_suppkey % 7) AS key").collect()
+    base, head = ({r.key for r in found if r.side == k} for k in (0, 1))
+    lines = lambda side, other: sorted(r.line for r in found if r.side == side and r.key not in other)
+    for name, wanted in (("join_13_new_whole", lines(1, base)), ("join_14_resolved_whole", lines(0, head))):
+        assert sorted(r.line for r in ALL[name](spark, SMALL).collect()) == wanted
+        assert max(wanted) > 2
