@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from factloom.functions import severity as sev
 from factloom.functions import text as tx
 from factloom.operators import governance as gov
-from factloom.operators import quality
-from factloom.queries import _CHANGE, Views, query
+from factloom.operators import graph, quality, rules
+from factloom.queries import _CHANGE, _T, PROJECT, Views, _now, query
 
 # Functions and scores.
 query("fn_04_normalized_whole", lambda v: v.table("documents").agg(F.count_distinct(F.sha2(tx.normalized(F.col("text")), 256)).alias("n")), "SELECT count(DISTINCT sha256(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'))) AS n FROM documents")
@@ -32,3 +32,27 @@ query("join_16_diff_whole", lambda v: gov.diff(*_snapshots(v)), f"WITH {_SNAPSHO
 query("agg_25_diff_summary_whole", lambda v: gov.diff_summary(*_snapshots(v)), f"WITH {_SNAPSHOTS} SELECT *, new - resolved AS net_change, (SELECT coalesce(sum(CASE WHEN steps > 0 THEN level ELSE -level END), 0)::BIGINT FROM ranked WHERE steps <> 0) AS severity_score, {_TREND} AS trend FROM n", "stored_findings")
 query("rem_25_summary_text_whole", lambda v: gov.summary_text(gov.diff_summary(*_snapshots(v))), f"WITH {_SNAPSHOTS} SELECT new || ' new, ' || resolved || ' resolved, ' || increased || ' more severe, ' || decreased || ' less severe: ' || {_TREND} AS text FROM n", "stored_findings")
 query("set_03_set_difference_whole", lambda v: gov.new_findings(*_snapshots(v)).select("fingerprint", F.lit("head").alias("side")).union(gov.resolved_findings(*_snapshots(v)).select("fingerprint", F.lit("base"))), f"WITH {_SNAPSHOTS} SELECT fingerprint, CASE change WHEN 'new' THEN 'head' ELSE 'base' END AS side FROM changes WHERE change IN ('new', 'resolved')", "stored_findings")
+
+# Flows, batches and the sort over all rows.
+query("join_05_flow_whole", lambda v: rules.flow_join(v.flows), "SELECT a.flow_id, a.node AS source, b.node AS sink FROM flows a JOIN flows b USING (flow_id) WHERE a.fact_type = 'TaintSource' AND b.fact_type = 'TaintSink'", "flows")
+query("graph_04_flow_edges_whole", lambda v: graph.flow_edges(v.flows), "SELECT a.node AS src, b.node AS dst FROM flows a JOIN flows b USING (flow_id) WHERE (a.fact_type = 'TaintSource' AND b.fact_type = 'Sanitization') OR (a.fact_type = 'Sanitization' AND b.fact_type = 'TaintSink') OR (a.fact_type = 'TaintSource' AND b.fact_type = 'TaintSink' AND a.flow_id NOT IN (SELECT flow_id FROM flows WHERE fact_type = 'Sanitization'))", "flows")
+query("srt_01_by_id_whole", lambda v: v.facts.orderBy("fact_id").select("fact_id", "file"), "SELECT fact_id, file FROM facts ORDER BY fact_id", "facts")
+
+
+def _upserted(v: Views) -> DataFrame:
+    new = v.stored_findings.select(F.lit(PROJECT).alias("project"), "fingerprint", F.when(F.col("severity") == "Info", "wontfix").otherwise("accepted").alias("status"), F.lit(None).cast("timestamp_ntz").alias("expires_at"), _now().alias("updated_at"), "seq", "analysis_id")
+    return gov.upsert(v.baseline_status, new, ["project", "fingerprint"], ["seq", "analysis_id"])
+
+
+_UPSERTED = f"WITH n AS (SELECT '{PROJECT}' AS project, fingerprint, arg_max(CASE WHEN severity = 'Info' THEN 'wontfix' ELSE 'accepted' END, (seq, analysis_id)) AS status, NULL::TIMESTAMP AS expires_at, {_T} AS updated_at FROM stored_findings GROUP BY fingerprint) SELECT * FROM n UNION ALL SELECT * FROM baseline_status b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.project = b.project AND n.fingerprint = b.fingerprint)"
+query("mut_01_upsert_whole", _upserted, _UPSERTED, "baseline_status", "stored_findings")
+query("mut_04_bulk_update_whole", lambda v: _upserted(v).groupBy("status").agg(F.count("*").alias("n")), f"SELECT status, count(*) AS n FROM ({_UPSERTED}) GROUP BY 1", "baseline_status", "stored_findings")
+
+
+def _restored(v: Views) -> DataFrame:
+    return gov.restored(v.baseline_status, *_snapshots(v), PROJECT, _now())
+
+
+_RESTORED = f"WITH s AS (SELECT DISTINCT fingerprint FROM stored_findings WHERE analysis_id % 2 = 0), t AS (SELECT DISTINCT fingerprint FROM stored_findings WHERE analysis_id % 2 = 1) SELECT '{PROJECT}' AS project, fingerprint, 'accepted' AS status, NULL::TIMESTAMP AS expires_at, {_T} AS updated_at FROM s UNION ALL SELECT * FROM baseline_status WHERE NOT (project = '{PROJECT}' AND (fingerprint IN (SELECT fingerprint FROM s) OR fingerprint IN (SELECT fingerprint FROM t)))"
+query("mut_03_restore_whole", lambda v: _restored(v).groupBy("project", "status").agg(F.count("*").alias("n")), f"SELECT project, status, count(*) AS n FROM ({_RESTORED}) GROUP BY ALL", "baseline_status", "stored_findings")
+query("set_08_restored_whole", _restored, _RESTORED, "baseline_status", "stored_findings")

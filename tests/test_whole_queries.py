@@ -24,3 +24,12 @@ def test_diffs_reach_all_lines(spark):
     for name, wanted in (("join_13_new_whole", lines(1, base)), ("join_14_resolved_whole", lines(0, head))):
         assert sorted(r.line for r in ALL[name](spark, SMALL).collect()) == wanted
         assert max(wanted) > 2
+
+
+def test_flows_batches_and_sort_take_all_rows(spark):
+    pairs = ALL["join_05_flow_pairs"](spark, SMALL).agg({"pairs": "sum"}).first()[0]
+    assert ALL["join_05_flow_whole"](spark, SMALL).count() == pairs
+    ids = [r.fact_id for r in ALL["srt_01_by_id_whole"](spark, SMALL).collect()]
+    assert len(ids) == ALL["src_02_fact_count"](spark, SMALL).first().n and ids == sorted(ids)
+    fingerprints = spark.read.parquet(f"{SMALL}/lineitem.parquet").selectExpr("concat(l_partkey % 2000, '|', l_suppkey % 7) AS k").distinct().count()
+    assert ALL["mut_01_upsert_whole"](spark, SMALL).where("project = 'project-3' AND updated_at = '2000-01-01 00:00:00'").count() == fingerprints
