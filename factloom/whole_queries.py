@@ -56,3 +56,19 @@ def _restored(v: Views) -> DataFrame:
 _RESTORED = f"WITH s AS (SELECT DISTINCT fingerprint FROM stored_findings WHERE analysis_id % 2 = 0), t AS (SELECT DISTINCT fingerprint FROM stored_findings WHERE analysis_id % 2 = 1) SELECT '{PROJECT}' AS project, fingerprint, 'accepted' AS status, NULL::TIMESTAMP AS expires_at, {_T} AS updated_at FROM s UNION ALL SELECT * FROM baseline_status WHERE NOT (project = '{PROJECT}' AND (fingerprint IN (SELECT fingerprint FROM s) OR fingerprint IN (SELECT fingerprint FROM t)))"
 query("mut_03_restore_whole", lambda v: _restored(v).groupBy("project", "status").agg(F.count("*").alias("n")), f"SELECT project, status, count(*) AS n FROM ({_RESTORED}) GROUP BY ALL", "baseline_status", "stored_findings")
 query("set_08_restored_whole", _restored, _RESTORED, "baseline_status", "stored_findings")
+
+# Graphs over the edges of all rows, by full keys.
+_EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey % n AS dst FROM lineitem, (SELECT count(*) AS n FROM supplier) WHERE l_suppkey <> l_partkey % n"
+_REACHED = f"WITH RECURSIVE e AS ({_EDGES}), r(node, depth) AS (SELECT src, 0::BIGINT FROM e WHERE src = 3 UNION SELECT dst, depth + 1 FROM e JOIN r ON src = node WHERE depth < (SELECT count(*) FROM supplier)) "
+
+
+def _edges(v: Views) -> DataFrame:
+    n = v.table("supplier").agg(F.count("*").alias("n"))
+    ends = v.table("lineitem").select("l_suppkey", "l_partkey").crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("n")).alias("dst"))
+    return ends.where("src <> dst").distinct()
+
+
+query("graph_01_reachable_whole", lambda v: graph.reachable(_edges(v), 3).select("node"), _REACHED + "SELECT DISTINCT node FROM r")
+query("graph_02_distances_whole", lambda v: graph.reachable(_edges(v), 3), _REACHED + "SELECT node, min(depth) AS depth FROM r GROUP BY node")
+query("graph_02_shortest_path_whole", lambda v: graph.shortest_path(_edges(v), 3, 8).agg(F.max("step").alias("steps")), _REACHED + "SELECT min(depth) AS steps FROM r WHERE node = 8")
+query("graph_03_size_whole", lambda v: _edges(v).agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources")), f"SELECT count(*) AS edges, count(DISTINCT src) AS sources FROM ({_EDGES})")

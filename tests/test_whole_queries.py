@@ -33,3 +33,18 @@ def test_flows_batches_and_sort_take_all_rows(spark):
     assert len(ids) == ALL["src_02_fact_count"](spark, SMALL).first().n and ids == sorted(ids)
     fingerprints = spark.read.parquet(f"{SMALL}/lineitem.parquet").selectExpr("concat(l_partkey % 2000, '|', l_suppkey % 7) AS k").distinct().count()
     assert ALL["mut_01_upsert_whole"](spark, SMALL).where("project = 'project-3' AND updated_at = '2000-01-01 00:00:00'").count() == fingerprints
+
+
+def test_graph_has_full_keys_of_all_rows(spark, tmp_path):
+    """A chain 3 -> 4 -> ... -> 59 and one edge back, against a breadth-first search; no row has l_orderkey % 40 = l_linenumber."""
+    ends = [(k, k + 1) for k in range(3, 59)] + [(20, 5), (70, 71)]
+    spark.createDataFrame([(k,) for k in range(100)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(39, 1, a, b + 100) for a, b in ends], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    depth, todo = {3: 0}, [3]
+    for a in todo:
+        for b in (y for x, y in ends if x == a and y not in depth):
+            depth[b] = depth[a] + 1
+            todo.append(b)
+    assert {r.node: r.depth for r in ALL["graph_02_distances_whole"](spark, str(tmp_path)).collect()} == depth
+    assert ALL["graph_02_shortest_path_whole"](spark, str(tmp_path)).first().steps == 5
+    assert tuple(ALL["graph_03_size_whole"](spark, str(tmp_path)).first()) == (len(ends), len({a for a, _ in ends}))
