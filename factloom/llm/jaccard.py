@@ -34,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.blobs import key_rows, packed, shared_keys, unpacked
+from factloom.llm.blobs import DEALT, REPLY, Parts, answers, key_rows, packed, shared_keys, unpacked
 from factloom.llm.components import components
-from factloom.llm.shared import slices, text_bytes, written
+from factloom.llm.shared import slices, text_bytes, whole_row, written
 from factloom.llm.words import mixed, shingle_sets
 
 #: Counters of the frequency sketch, over all documents at every size, and the parts that it is summed in.
@@ -104,7 +104,7 @@ def text_mark() -> Column:
 
 
 def prefix_blobs(docs: DataFrame) -> DataFrame:
-    """blob, data: doc_ids, marks of the texts, n, names of the sets, lengths of the prefixes and their shingles, in the common order."""
+    """blob, size (bytes of text), data: doc_ids, marks of the texts, n, names of the sets, lengths of the prefixes and their shingles, in the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(zstandard.compress(sketch(docs).tobytes(), 1))
     opened: list[np.ndarray] = []
 
@@ -114,7 +114,8 @@ def prefix_blobs(docs: DataFrame) -> DataFrame:
         task, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                text, h = shingle_sets(*text_bytes(part.column("text")))
+                raw, offsets = text_bytes(part.column("text"))
+                text, h = shingle_sets(raw, offsets)
                 n = np.bincount(text, minlength=part.num_rows)
                 first = np.cumsum(n) - n
                 order = np.lexsort((h, opened[0][(h & np.uint64(COUNTERS - 1)).astype(np.int64)], text))
@@ -122,10 +123,10 @@ def prefix_blobs(docs: DataFrame) -> DataFrame:
                 inside = np.arange(len(h)) - np.repeat(first, n) < np.repeat(keep, n)
                 ids = part.column("doc_id").cast(pa.int64())
                 data = packed(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), part.column("mark").to_numpy(), n, set_keys(n, h), keep, h[order][inside])
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([data], pa.binary())], ["blob", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([data], pa.binary())], ["blob", "size", "data"])
                 seq += 1
 
-    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, "blob long, data binary")
+    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, "blob long, size long, data binary")
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,33 +269,36 @@ def _keys(data: bytes, places: list[int]) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate([_banded(tokens, n, 0), _banded(tokens, n, 1)]), np.concatenate([docs, docs]), np.concatenate([n, n]), side
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(parts: Parts):
     """key, doc of the keys that several documents have, of documents that share as many as a partner would."""
-    for batch in batches:
-        for data, places, shared in zip(batch.column("data"), batch.column("places"), batch.column("shared"), strict=True):
-            keys, docs, n, side = _keys(data.as_py(), places.as_py())
-            known = np.sort(np.concatenate([unpacked(x)[0] for x in shared.as_py()]))
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            found = known[at] == keys
-            keys, docs, n, side = keys[found], docs[found], n[found], side[found]
-            _, who, count = np.unique(np.stack([docs, side]), axis=1, return_inverse=True, return_counts=True)
-            enough = count[who.ravel()] >= more_shared((4 * n + 4) // 5)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[enough].view(np.int64)), pa.array(docs[enough])], ["key", "doc"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, places, replies in zip(batch.column("data"), batch.column("places"), batch.column("replies"), strict=True):
+                keys, docs, n, side = _keys(data.as_py(), places.as_py())
+                _, at = np.unique(parts.short(keys), return_inverse=True)
+                found = answers(replies.as_py())[0][at]
+                keys, docs, n, side = keys[found], docs[found], n[found], side[found]
+                _, who, count = np.unique(np.stack([docs, side]), axis=1, return_inverse=True, return_counts=True)
+                enough = count[who.ravel()] >= more_shared((4 * n + 4) // 5)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[enough].view(np.int64)), pa.array(docs[enough])], ["key", "doc"])
+
+    return run
 
 
 def _pairs(blobs: DataFrame, reps: DataFrame) -> DataFrame:
     """center, doc: the representatives that share a key, with the smallest of them."""
-    n_parts = max(8, int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = Parts.of(blobs.agg(F.sum("size")).first()[0])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, data, places in zip(batch.column("blob").to_pylist(), batch.column("data"), batch.column("places"), strict=True):
                 keys, docs, _, _ = _keys(data.as_py(), places.as_py())
-                yield from key_rows(blob, keys, docs, n_parts)
+                yield from key_rows(blob, keys, docs, parts)
 
     ours = blobs.join(reps.groupBy("blob").agg(F.collect_list("place").alias("places")), "blob").select("blob", "data", "places")
-    shared = ours.mapInArrow(dealt, "part long, blob long, data binary").groupBy("part").applyInArrow(shared_keys, "blob long, data binary").groupBy("blob").agg(F.collect_list("data").alias("shared"))
-    entries = written(ours.join(shared, "blob").select("data", "places", "shared").mapInArrow(_entries, "key long, doc long"), "entries")
+    replies = ours.mapInArrow(dealt, DEALT).groupBy("part").applyInArrow(shared_keys(1 << 62), REPLY).groupBy("blob").agg(F.collect_list(F.struct("part", "data")).alias("replies"))
+    entries = written(ours.join(replies, "blob").select("data", "places", "replies").mapInArrow(_entries(parts), "key long, doc long"), "entries")
     centers = entries.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("last")).where(F.col("center") < F.col("last")).drop("last")
     return written(entries.join(centers, "key").select("center", "doc").distinct(), "pairs")
 
@@ -362,7 +366,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     least = rows.where(F.col("n") > 0).groupBy("component").agg(F.min_by(order, order).alias("r")).select(F.col("r.doc_id").alias("kept_id"), F.col("r.mark").alias("kept_mark"), F.lit(False).alias("each"))
     empty = rows.where(F.col("n") == 0).select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"), F.col("doc_id").isNull().alias("each")).distinct()
     kept = least.union(empty).select(F.struct("kept_id", "kept_mark", "each").alias("_kept"))
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), text_mark().alias("_mark"))
+    plain = docs.select(whole_row(docs), F.col("doc_id").alias("_id"), text_mark().alias("_mark"))
     met = plain.join(kept, F.col("_id").eqNullSafe(F.col("_kept.kept_id")) & (F.col("_mark") == F.col("_kept.kept_mark")))
     once = met.withColumn("_nth", F.when(F.col("_kept.each"), F.monotonically_increasing_id()).otherwise(-1)).dropDuplicates(["_id", "_mark", "_nth"])
-    return once.select("_row.*")
+    return once.select("row.*")

@@ -3,17 +3,22 @@
 Every LENGTH-byte window has an anchor: its leftmost GRAM-byte gram of least hash. Equal windows have equal anchors at equal places,
 so windows meet by anchor. Neighbouring windows with one anchor are one segment, LENGTH - 1 bytes longer than their number.
 
-1. Texts are packed into blobs of about BLOB bytes, once, in a table.
-2. Anchors that occur in two documents or more are found from the anchors' hashes alone, dealt by hash.
-3. A blob sends each distinct segment with such an anchor once, with its least and largest doc_id. An anchor in more than HOT blobs is
-   not met in one task: its segments are sent as single windows, dealt by the window's own hash.
-4. Where an anchor has several different segments, they are concatenated, their suffixes sorted, and intervals of suffixes with
-   a common prefix are expanded breadth first: extending the intervals of value v backward, by the Burrows-Wheeler transform's bytes,
-   gives those of value v + 1. It stops at LENGTH; suffixes that are then still together share that much. The least doc_id of each
-   such class goes back to the blobs.
+1. Texts are packed into blobs of about BLOB bytes, once, in a table; each text has a SHA-256 of its own. Of equal texts only those
+   with the least doc_id go on: the others are removed whole, if they have a window at all, and could remove nothing more.
+2. Anchors that occur in two documents or more are found from short hashes of the anchors, dealt by hash.
+3. A blob sends each distinct segment with such an anchor once, with its least doc_id, to the anchor's part. The windows of an anchor
+   in more than HOT blobs are dealt by a longer string around the anchor instead, of which each window holds one: the anchor with the
+   13 bytes after it, or with the 14 before it. So a common phrase is parted by what stands beside it.
+4. A part compares the bytes of an anchor's segments. Different ones are concatenated, their suffixes sorted, and intervals of
+   suffixes with a common prefix are expanded breadth first: extending the intervals of value v backward, by the Burrows-Wheeler
+   transform's bytes, gives those of value v + 1. It stops at LENGTH; suffixes that are then still together share that much. Equal
+   ones are one interval from the start. What has a smaller doc_id elsewhere goes back to the blobs.
 5. Blobs mark and count what is removed.
 
-Anchors and whole segments are known by 64-bit hashes with their length; what is searched is compared as bytes.
+Hashes only deal: segments are compared as bytes within a blob and in a part. A whole equal text is known by its SHA-256. A task holds
+a blob, or one part: the segments of about PART_BYTES of text, at every size. An anchor's group holds a segment a blob at least where
+all blobs have it, so on a far larger corpus blobs (and executors) should be larger too.
+
 Defined results: a null text is empty; a null doc_id counts as larger than any; rows that share a doc_id do not remove each
 other's bytes; an empty table gives no rows; extra columns are ignored.
 """
@@ -29,13 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.blobs import dealt_rows, key_rows, packed, part_of, shared_keys, unpacked
+from factloom.llm.blobs import DEALT, REPLY, Parts, answers, coded, dealt_rows, decoded, key_rows, packed, shared_keys, unpacked
 from factloom.llm.shared import slices, text_bytes, written
 from factloom.llm.words import mixed, place_tables
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
-BLOB = 1 << 20
+#: Bytes beside a hot anchor: a window holds the anchor with AFTER bytes after it, or else with BEFORE bytes before it.
+AFTER = (LENGTH - GRAM) // 2
+BEFORE = LENGTH - GRAM - AFTER + 1
+BLOB = 2 << 20
+HOT = 512
 #: Bytes of segments that are sorted together; an anchor's segments are never parted.
 TOGETHER = 1 << 19
 _VALUE = np.random.default_rng(77001).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -43,12 +52,12 @@ _NONE = np.iinfo(np.int64).max
 
 
 class Segments:
-    """Segments of a blob's texts: start, run (windows), anchor (hash), own (hash of the bytes), doc (row of its text)."""
+    """Segments of a blob's texts: start, run (windows), gram (place of the anchor), anchor (hash), doc (row of its text)."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
         self.raw, n = raw, len(raw)
         none = np.zeros(0, np.int64)
-        self.start, self.run, self.doc, self.anchor, self.own = none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        self.start, self.run, self.doc, self.gram, self.anchor = none, none, none, none, none.astype(np.uint64)
         if n < LENGTH:
             return
         up, self.down = place_tables(n + 1)
@@ -71,20 +80,74 @@ class Segments:
             return
         at = place[starts]
         first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-        self.start = starts[first]
+        self.start, self.gram = starts[first], at[first]
         self.run = np.diff(np.concatenate([first, [len(starts)]]))
-        self.anchor = mixed(grams[at[first]])  # leasts are small numbers; mixed, they deal evenly
-        self.own = self.hashes(self.start, self.run + LENGTH - 1)
+        self.anchor = mixed(grams[self.gram])  # leasts are small numbers; mixed, they deal evenly
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
 
     def hashes(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return mixed((self.total[at + size] - self.total[at]) * self.down[at] + np.asarray(size).astype(np.uint64))
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, document and hash of the single windows of some segments."""
-        run = self.run[which]
-        at = np.repeat(self.start[which] - (np.cumsum(run) - run), run) + np.arange(run.sum())
-        return at, np.repeat(self.doc[which], run), self.hashes(at, LENGTH)
+    def chosen(self, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """start, run, doc and key of the shared segments; a hot one is dealt as up to two, by what is before and after its anchor."""
+        whole, parted = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
+        start, stop, gram = self.start[parted], self.start[parted] + self.run[parted], self.gram[parted]
+        middle = np.clip(gram - BEFORE + 1, start, stop)  # windows from here on hold AFTER bytes after the anchor
+        left, right = np.flatnonzero(middle > start), np.flatnonzero(stop > middle)
+        starts = np.concatenate([self.start[whole], start[left], middle[right]])
+        runs = np.concatenate([self.run[whole], (middle - start)[left], (stop - middle)[right]])
+        docs = np.concatenate([self.doc[whole], self.doc[parted][left], self.doc[parted][right]])
+        keys = np.concatenate([self.anchor[whole], self.hashes(gram[left] - BEFORE, GRAM + BEFORE), self.hashes(gram[right], GRAM + AFTER)])
+        return starts, runs, docs, keys
+
+
+def gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def as_first(raw: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span are those of the span at first[k]."""
+    same = size == size[first]
+    where = np.flatnonzero(same & (first != np.arange(len(first))))
+    for some in np.array_split(where, max(1, int(size[where].sum()) >> 22)):
+        if len(some):
+            n = size[some]
+            equal = gathered(raw, start[some], n) == gathered(raw, start[first[some]], n)
+            same[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return same
+
+
+class Blob:
+    """An opened blob; its copies (texts that an earlier document has whole) are left out of raw, offsets and docs."""
+
+    def __init__(self, texts: bytes, copies: list[int] | None) -> None:
+        self.docs, self.nulls, self.offsets, self.all = unpacked(texts)
+        self.copy = np.zeros(len(self.docs), bool)
+        self.copy[copies or []] = True
+        sizes = np.diff(self.offsets)
+        self.raw = self.all[np.repeat(~self.copy, sizes)] if self.copy.any() else self.all
+        self.starts = np.concatenate([[0], np.cumsum(sizes[~self.copy])])
+        self.ids = self.docs[~self.copy]
+        self.segments = Segments(self.raw, self.starts)
+
+    def items(self, replies: list[dict], parts: Parts) -> None:
+        """Occurrences (start, doc, of: their item) and distinct items (first: an occurrence, run, key, low) sorted by key."""
+        seg = self.segments
+        shared, hot = answers(replies)
+        _, at = np.unique(parts.short(seg.anchor), return_inverse=True)
+        start, run, doc, key = seg.chosen(shared[at], hot[at])
+        size, doc_id = run + LENGTH - 1, self.ids[doc]
+        own, key = seg.hashes(start, size), parts.short(key)
+        order = np.lexsort((start, doc_id, own, key))
+        start, run, doc, key, own = start[order], run[order], doc[order], key[order], own[order]
+        fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])])[: len(own)]
+        # One hash, other bytes: an item of its own.
+        fresh |= ~as_first(self.raw, start, size[order], np.flatnonzero(fresh)[np.cumsum(fresh) - 1])
+        self.start, self.doc, self.of = start, doc, np.cumsum(fresh) - 1
+        self.first = np.flatnonzero(fresh)
+        self.run, self.key = run[self.first], key[self.first]
+        self.low = np.full(len(self.first), _NONE, np.int64)
+        np.minimum.at(self.low, self.of, self.ids[doc])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,57 +157,54 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, offsets = text_bytes(part.column("text"))
             ids = part.column("doc_id").cast(pa.int64())
             docs = ids.fill_null(_NONE).to_numpy(zero_copy_only=False)
-            data = packed(docs, np.asarray(ids.is_null()), offsets, raw, level=6)
-            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([data], pa.binary())], ["blob", "texts"])
+            data = packed(docs, np.asarray(ids.is_null()), offsets, raw, level=5)
+            places = np.flatnonzero(np.diff(offsets) >= LENGTH)
+            marks = b"".join(hashlib.sha256(raw[offsets[p] : offsets[p + 1]]).digest() for p in places.tolist())
+            names = packed(places, docs[places], np.frombuffer(marks, np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([len(raw)], pa.int64()), *(pa.array([x], pa.binary()) for x in (data, names))], ["blob", "size", "texts", "names"])
             seq += 1
 
 
-def _anchors(n_parts: int):
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """blob, place, doc, mark (SHA-256) of each text that is long enough for a window."""
+    for batch in batches:
+        for blob, names in zip(batch.column("blob").to_pylist(), batch.column("names"), strict=True):
+            places, docs, marks = unpacked(names.as_py())
+            marks = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(places), [None, pa.py_buffer(marks.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), blob)), pa.array(places), pa.array(docs), marks.cast(pa.binary())], ["blob", "place", "doc", "mark"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Values of some columns, one row in memory at a time."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield tuple(batch.column(c)[row].as_py() for c in columns)
+
+
+def _anchors(parts: Parts):
     """part, blob, data: the distinct anchors of a blob, and whether two of its documents have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, texts in zip(batch.column("blob").to_pylist(), batch.column("texts"), strict=True):
-                docs, _, offsets, raw = unpacked(texts.as_py())
-                seg = Segments(raw, offsets)
-                yield from key_rows(blob, seg.anchor, docs[seg.doc], n_parts)
+        for name, texts, copies in _rows(batches, "blob", "texts", "copies"):
+            blob = Blob(texts, copies)
+            yield from key_rows(name, blob.segments.anchor, blob.ids[blob.segments.doc], parts)
 
     return run
 
 
-def _gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-
-
-def _segments(n_parts: int):
-    """part, blob, data: anchor, own hash, least and largest doc_id, size and bytes of the blob's distinct shared segments."""
+def _segments(parts: Parts):
+    """part, blob, data: keys, least doc_ids, runs and bytes of the blob's distinct shared segments, in the order of Blob.items()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, texts, shared in zip(batch.column("blob").to_pylist(), batch.column("texts"), batch.column("shared"), strict=True):
-                docs, _, offsets, raw = unpacked(texts.as_py())
-                seg = Segments(raw, offsets)
-                lists = [unpacked(x) for x in shared.as_py()]
-                known, hot = np.concatenate([x[0] for x in lists]), np.concatenate([x[1] for x in lists])
-                order = np.argsort(known)
-                known, hot = known[order], hot[order]
-                at = np.minimum(np.searchsorted(known, seg.anchor), len(known) - 1)
-                found = known[at] == seg.anchor
-                whole, single = np.flatnonzero(found & ~hot[at]), np.flatnonzero(found & hot[at])
-                w_at, w_doc, w_own = seg.windows(single)
-                start = np.concatenate([seg.start[whole], w_at])
-                size = np.concatenate([seg.run[whole] + LENGTH - 1, np.full(len(w_at), LENGTH)])
-                own = np.concatenate([seg.own[whole], w_own])
-                meet = np.concatenate([seg.anchor[whole], w_own])
-                doc = docs[np.concatenate([seg.doc[whole], w_doc])]
-                order = np.lexsort((doc, own))
-                first = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-                last = np.concatenate([first[1:], [len(order)]]) - 1
-                low, high, one = doc[order[first]], doc[order[last]] if len(order) else doc, order[first]
-                start, size, own, meet = start[one], size[one], own[one], meet[one]
-                parts = part_of(meet, n_parts)
-                make = lambda i, start=start, size=size, own=own, meet=meet, low=low, high=high, raw=raw: packed(np.diff(meet[i], prepend=np.uint64(0)), own[i], low[i], high[i] - low[i], size[i].astype(np.uint8), _gathered(raw, start[i], size[i]), level=3)
-                yield from dealt_rows(blob, parts, np.lexsort((meet, parts)), n_parts, make)
+        for name, texts, copies, replies in _rows(batches, "blob", "texts", "copies", "replies"):
+            blob = Blob(texts, copies)
+            blob.items(replies, parts)
+            base = blob.low.min(initial=_NONE)
+            span = int(blob.low.max(initial=base)) - int(base)
+            low = (blob.low - base).astype(np.uint16 if span < 1 << 16 else np.uint32 if span < 1 << 32 else np.int64)
+            start = blob.start[blob.first]
+            make = lambda s: packed(*coded(blob.key[s]), np.array([base]), low[s], blob.run[s].astype(np.uint8), gathered(blob.raw, start[s], blob.run[s] + LENGTH - 1), level=3)  # noqa: B023, E731
+            yield from dealt_rows(name, parts.cuts(blob.key), make)
 
     return run
 
@@ -234,27 +294,29 @@ def least_docs(segments: list[bytes], low: np.ndarray) -> list[np.ndarray]:
 
 
 def _found(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """blob, data: own hash, whether it is a single window, number of windows and their least doc_ids, where they remove something."""
+    """blob, part, data: for the items sent that a smaller doc_id has elsewhere, their places and their windows' least doc_ids."""
     blobs, cols = [], []
     for batch in batches:
         for blob, data in zip(batch.column("blob").to_pylist(), batch.column("data"), strict=True):
             blobs.append(blob)
-            steps, own, low, above, size, raw = unpacked(data.as_py())
-            cols.append((np.cumsum(steps), own, low, low + above, size, raw))
-    meet, own, low, high, size, raw = (np.concatenate(x) for x in zip(*cols, strict=True))
-    size = size.astype(np.int64)
-    place = np.cumsum(size) - size
-    run = size - LENGTH + 1
-    at = np.cumsum(run) - run
-    order = np.lexsort((own, meet))
+            *code, base, low, run, raw = unpacked(data.as_py())
+            cols.append((decoded(*code), low.astype(np.int64) + base[0], run, raw))
+    meet, low, run, raw = (np.concatenate(x) for x in zip(*cols, strict=True))
+    ends = np.cumsum([len(c[0]) for c in cols])
+    del cols
+    run = run.astype(np.int64)
+    size = run + LENGTH - 1
+    place, at = np.cumsum(size) - size, np.cumsum(run) - run
+    order = np.argsort(meet, kind="stable")
     change = np.concatenate([[True], meet[order][1:] != meet[order][:-1]])
     first = np.flatnonzero(change)
-    ends = np.concatenate([first[1:], [len(order)]])
-    least = np.minimum.reduceat(low[order], first)
-    # An anchor with one segment alone, however often, needs no search: its windows are their own classes.
-    alone = np.logical_and.reduceat(np.concatenate([[True], own[order][1:] == own[order][:-1]]) | change, first)
+    stops = np.concatenate([first[1:], [len(order)]])
+    # Equal bytes under one key are one class, and so are their windows.
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[np.repeat(first, stops - first)]
+    alone = np.logical_and.reduceat(as_first(raw, place, size, leader)[order], first)
     value = np.empty(len(order), np.int64)
-    value[order] = np.repeat(least, ends - first)
+    value[order] = np.repeat(np.minimum.reduceat(low[order], first), stops - first)
     best = np.repeat(value, run)
     waiting: list[np.ndarray] = []
     total = 0
@@ -262,17 +324,16 @@ def _found(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     def search() -> None:
         """Expand the intervals of the different segments that wait, and hand their values to all equal segments."""
         items = np.concatenate(waiting)
-        texts = [raw[place[i] : place[i] + size[i]].tobytes() for i in items]
-        known = {t: k for k, t in enumerate(dict.fromkeys(texts))}
-        which = np.array([known[t] for t in texts])
+        known: dict[bytes, int] = {}
+        which = np.array([known.setdefault(raw[p : p + n].tobytes(), len(known)) for p, n in zip(place[items].tolist(), size[items].tolist(), strict=True)])
         lows = np.full(len(known), _NONE, np.int64)
         np.minimum.at(lows, which, low[items])
         values = least_docs(list(known), lows)
-        for i, k in zip(items.tolist(), which.tolist(), strict=True):
-            best[at[i] : at[i] + run[i]] = values[k]
+        for begin, n, k in zip(at[items].tolist(), run[items].tolist(), which.tolist(), strict=True):
+            best[begin : begin + n] = values[k]
         waiting.clear()
 
-    for a, b in zip(first[~alone].tolist(), ends[~alone].tolist(), strict=True):
+    for a, b in zip(first[~alone].tolist(), stops[~alone].tolist(), strict=True):
         waiting.append(order[a:b])
         total += int(size[order[a:b]].sum())
         if total > TOGETHER:
@@ -280,78 +341,75 @@ def _found(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             total = 0
     if waiting:
         search()
-    removes = np.minimum.reduceat(best, at) < high
-    of = np.repeat(np.arange(len(blobs)), [len(c[0]) for c in cols])
-    for k, blob in enumerate(blobs):
-        start, stop = np.searchsorted(of, [k, k + 1])
-        items = np.flatnonzero(removes[start:stop]) + start
+    removes = np.minimum.reduceat(best, at) < low
+    part = key[0].as_py()
+    for blob, a, b in zip(blobs, [0, *ends], ends, strict=False):
+        items = np.flatnonzero(removes[a:b])
         if len(items):
-            single = (size[items] == LENGTH) & (meet[items] == own[items])
-            data = packed(own[items], single, run[items].astype(np.uint8), _gathered(best, at[items], run[items]))
-            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.int64()), pa.array([data], pa.binary())], ["blob", "data"])
-
-
-def _removed(texts: bytes, found: list[bytes] | None, hot: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, nulls, offsets, bytes, and which bytes go."""
-    docs, nulls, offsets, raw = unpacked(texts)
-    gone = np.zeros(len(raw) + 1, np.int32)
-    if found:
-        seg = Segments(raw, offsets)
-        lists = [unpacked(x) for x in found]
-        own, single, run = (np.concatenate([x[k] for x in lists]) for k in range(3))
-        mins = np.concatenate([x[3] for x in lists])
-        begin = np.cumsum(run, dtype=np.int64) - run
-        for want, (start, doc, mine) in ((~single, (seg.start, seg.doc, seg.own)), (single, _hot_windows(seg, hot))):
-            if not want.any() or not len(start):
-                continue
-            order = np.argsort(own[want])
-            keys, at_run, at_begin = own[want][order], run[want][order].astype(np.int64), begin[want][order]
-            at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == mine)
-            n = at_run[at[hit]]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            where = np.repeat(start[hit], n) + inner
-            goes = where[np.repeat(docs[doc[hit]], n) > mins[np.repeat(at_begin[at[hit]], n) + inner]]
-            np.add.at(gone, goes, 1)
-            np.add.at(gone, goes + LENGTH, -1)
-    return docs, nulls, offsets, raw, np.cumsum(gone)[:-1] > 0
-
-
-def _hot_windows(seg: Segments, hot: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    known = np.concatenate([h[f] for h, f in map(unpacked, hot or [])]) if hot else np.zeros(0, np.uint64)
-    return seg.windows(np.flatnonzero(np.isin(seg.anchor, known)))
-
-
-def _result(batches: Iterator[pa.RecordBatch], texts_too: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            value = lambda c, batch=batch, row=row: batch.column(c)[row].as_py()
-            docs, nulls, offsets, raw, gone = _removed(value("texts"), value("found"), value("shared"))
-            before = np.concatenate([[0], np.cumsum(gone)])
-            edge = gone.copy()
-            edge[1:] &= ~gone[:-1]
-            edge[offsets[:-1][np.diff(offsets) > 0]] = gone[offsets[:-1][np.diff(offsets) > 0]]
-            spans = np.concatenate([[0], np.cumsum(edge)])
-            kept = [raw[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-            columns = [pa.array(docs, pa.int64(), mask=nulls), pa.array(np.diff(offsets)), pa.array(np.diff(before[offsets])), pa.array(np.diff(spans[offsets])), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if texts_too:
-                columns.append(pa.array([k.decode("utf-8", "replace") for k in kept]))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            data = packed(np.array([b - a]), items, gathered(best, at[items + a], run[items + a]))
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.int64()), pa.array([part], pa.int64()), pa.array([data], pa.binary())], ["blob", "part", "data"])
+
+
+def _removed(texts: bytes, copies: list[int] | None, replies: list[dict] | None, found: list[dict] | None, parts: Parts) -> tuple[Blob, np.ndarray]:
+    """The blob, and which of its bytes go."""
+    blob = Blob(texts, copies)
+    gone = np.repeat(blob.copy, np.diff(blob.offsets))
+    if not replies:
+        return blob, gone
+    blob.items(replies, parts)
+    at = np.cumsum(blob.run) - blob.run
+    best = np.repeat(blob.low, blob.run)
+    cuts = parts.cuts(blob.key)
+    for r in found or []:
+        _, items, values = unpacked(r["data"])
+        items = items + cuts[r["part"]]
+        n = blob.run[items]
+        best[np.repeat(at[items] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = values
+    n = blob.run[blob.of]
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    goes = np.repeat(blob.ids[blob.doc], n) > best[np.repeat(at[blob.of], n) + inner]
+    where = (np.repeat(blob.start, n) + inner)[goes]
+    edges = np.zeros(len(blob.raw) + 1, np.int32)
+    np.add.at(edges, where, 1)
+    np.add.at(edges, where + LENGTH, -1)
+    gone[~gone] = np.cumsum(edges)[:-1] > 0
+    return blob, gone
+
+
+def _result(batches: Iterator[pa.RecordBatch], parts: Parts, texts_too: bool) -> Iterator[pa.RecordBatch]:
+    for values in _rows(batches, "texts", "copies", "replies", "found"):
+        blob, gone = _removed(*values, parts)
+        offsets, raw = blob.offsets, blob.all
+        before = np.concatenate([[0], np.cumsum(gone)])
+        edge = gone.copy()
+        edge[1:] &= ~gone[:-1]
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        edge[heads] = gone[heads]
+        spans = np.concatenate([[0], np.cumsum(edge)])
+        kept = [raw[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
+        columns = [pa.array(blob.docs, pa.int64(), mask=blob.nulls), pa.array(np.diff(offsets)), pa.array(np.diff(before[offsets])), pa.array(np.diff(spans[offsets])), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if texts_too:
+            columns.append(pa.array([k.decode("utf-8", "replace") for k in kept]))
+            names.append("kept")
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def remove_repeats(docs: DataFrame, texts_too: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the text that is left (a cut character is replaced)."""
-    spark = docs.sparkSession
-    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blobs = written(docs.select("doc_id", "text").mapInArrow(_pack, "blob long, texts binary"), "blobs")
-    dealt = "part long, blob long, data binary"
-    back = "blob long, data binary"
-    shared = blobs.mapInArrow(_anchors(n_parts), dealt).groupBy("part").applyInArrow(shared_keys, back).groupBy("blob").agg(F.collect_list("data").alias("shared"))
-    shared = written(shared, "anchors")
-    met = blobs.join(shared, "blob").select("blob", "texts", "shared")
-    found = met.mapInArrow(_segments(n_parts), dealt).groupBy("part").applyInArrow(_found, back).groupBy("blob").agg(F.collect_list("data").alias("found"))
-    final = blobs.join(found, "blob", "left").join(shared, "blob", "left").select("texts", "found", "shared")
+    blobs = written(docs.select("doc_id", "text").mapInArrow(_pack, "blob long, size long, texts binary, names binary"), "blobs")
+    parts = Parts.of(blobs.agg(F.sum("size")).first()[0])
+    texts = blobs.select("blob", "texts")  # dealt by blob once: the three joins share that exchange, and hash the small side
+    named = blobs.select("blob", "names").mapInArrow(_named, "blob long, place long, doc long, mark binary")
+    first = named.groupBy("mark").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last")).select("mark", "first")
+    copies = named.join(first, "mark").where(F.col("doc") > F.col("first")).groupBy("blob").agg(F.collect_list("place").alias("copies"))
+    with_copies = texts.join(copies.hint("shuffle_hash"), "blob", "left")
+
+    def answered(dealt: DataFrame, by, name: str) -> DataFrame:
+        return dealt.groupBy("part").applyInArrow(by, REPLY).groupBy("blob").agg(F.collect_list(F.struct("part", "data")).alias(name)).hint("shuffle_hash")
+
+    replies = answered(with_copies.mapInArrow(_anchors(parts), DEALT), shared_keys(HOT), "replies")
+    found = answered(with_copies.join(replies, "blob").mapInArrow(_segments(parts), DEALT), _found, "found")
+    final = with_copies.join(replies, "blob", "left").join(found, "blob", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts_too
-    return final.mapInArrow(lambda batches: _result(batches, texts_too), schema)
+    return final.mapInArrow(lambda batches: _result(batches, parts, texts_too), schema)
