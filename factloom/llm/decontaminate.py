@@ -3,14 +3,16 @@
 A window is WINDOW consecutive words of an item (all words of a shorter item). Of the k-word grams in every run of WINDOW - k + 1
 grams the one with the least hash is a fingerprint, so a shared window always shares a fingerprint at the same place. Documents and
 items meet on fingerprints; each hit is compared word by word and extended to both sides, far enough to span every window around it,
-and counts if the extended run is a window or longer. Hashes only find candidates: words decide.
+and counts if the extended run is a window or longer. Hashes only find candidates: words decide. A hit carries the words that windows
+around it can hold, not the text, so memory follows the text and its hits; places of an item with the same such words are one.
 
 The items' fingerprints are broadcast only after they were counted and are at most BROADCAST_ROWS; beyond that, fingerprints meet in
-a shuffled join without the texts, and only hits go back to their documents.
+a shuffled join without the texts (Spark splits a hot gram's partition), and a document's hits go back to its text together.
 
 Defined results: a null or empty text has no words and no hits; a benchmark without words leaves all clean; repeated items count
-once by item_id, and an item without an id marks words but is not listed; rows of documents are keyed by doc_id and text, so repeated
-rows get the same result each; extra columns are ignored by scan() and kept by decontaminate(); an empty table gives no rows.
+once by item_id, and an item without an id marks words but is not listed; rows of documents are keyed by doc_id (null is a key too)
+and text, so repeated rows get the same result each, and texts that share a doc_id their own; items that hold one window are all
+listed; extra columns, whatever their names, are ignored by scan() and kept by decontaminate(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.shared import whole_row
+
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS = 200_000
 # Fixed value: what makes up words once A-Z are lower-cased.
@@ -58,8 +62,15 @@ def _with_fingerprints(df: DataFrame, length: int, to: str) -> DataFrame:
     return df.withColumn(to, enough).drop("_grams", "_least", "_most")
 
 
+def _near(words: str, place: str) -> Column:
+    """struct<words, left>: the words that windows around a fingerprint can hold, and how many of them stand before it."""
+    around = F.col("length") - F.least(F.col("length"), F.lit(GRAM))
+    left = F.least(F.col(place), around)
+    return F.struct(F.slice(words, F.col(place) - left + 1, left + F.col("length")).alias("words"), left.alias("left"))
+
+
 def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """item_id, item (words), length, q, hash; and the window lengths in use, at most WINDOW of them."""
+    """item_id, item (near words), length, hash; and the window lengths in use, at most WINDOW of them."""
     items = benchmark.select("item_id", _words("text").alias("item")).where(F.size("item") > 0)
     items = items.withColumn("length", F.least(F.size("item"), F.lit(WINDOW))).withColumn("h", F.transform("item", lambda x: F.xxhash64(x)))
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
@@ -68,14 +79,15 @@ def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
         items = _with_fingerprints(items, n, f"f{n}")
         found = F.when(F.col("length") == n, F.col(f"f{n}")).otherwise(found)
     exploded = items.select("item_id", "item", F.explode_outer(found).alias("f"))
-    return exploded.select("item_id", "item", F.col("f.length").alias("length"), F.col("f.pos").alias("q"), F.col("f.hash").alias("hash")), lengths
+    placed = exploded.select("item_id", "item", F.col("f.length").alias("length"), F.col("f.pos").alias("q"), F.col("f.hash").alias("hash"))
+    return placed.select("item_id", _near("item", "q").alias("item"), "length", "hash").distinct(), lengths
 
 
 def _span() -> Column:
-    """struct<a, b> of the run of equal words around a hit, or null if it is no window."""
+    """struct<a, b> of the run of equal words around a hit, or null if it is no window; from near (of the document), item and pos."""
     k = F.least(F.col("length"), F.lit(GRAM))
-    w, item, pos, q = F.col("w"), F.col("item"), F.col("pos"), F.col("q")
-    equal = lambda i: F.coalesce(F.get(w, pos + i) == F.get(item, q + i), F.lit(False))
+    near, item, pos = F.col("near"), F.col("item"), F.col("pos")
+    equal = lambda i: F.coalesce(F.get(near["words"], near["left"] + i) == F.get(item["words"], item["left"] + i), F.lit(False))
     reach = F.sequence(F.lit(1), F.lit(WINDOW))
     within = lambda t: t <= F.col("length") - k
     run = lambda place: F.array_position(F.concat(F.transform(reach, lambda t: within(t) & equal(place(t))), F.array(F.lit(False))), False) - 1
@@ -96,19 +108,27 @@ def _met(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     mark = F.array(F.struct(F.lit(0).alias("length"), F.size("w").alias("pos"), F.lit(0).cast("long").alias("hash")))
     prints = F.concat(*[f"f{x}" for x in lengths], mark)
     parts = [F.col("f.length").alias("length"), F.col("f.pos").alias("pos"), F.col("f.hash").alias("hash")]
+    hit = F.col("length") > 0
+    near = F.when(hit, _near("w", "pos")).alias("near")
     if items.count() <= BROADCAST_ROWS:
-        own = items.sparkSession.range(1).select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.array().cast("array<string>").alias("item"), F.lit(0).alias("length"), F.lit(0).alias("q"), F.lit(0).cast("long").alias("hash"))
+        none = F.lit(None).cast(items.schema["item"].dataType).alias("item")
+        own = items.sparkSession.range(1).select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), none, F.lit(0).alias("length"), F.lit(0).cast("long").alias("hash"))
         exploded = hashed.select("doc_id", "text_hash", "w", prints.alias("prints")).select("doc_id", "text_hash", "w", F.explode_outer("prints").alias("f"))
         met = exploded.select("doc_id", "text_hash", "w", *parts).join(F.broadcast(items.union(own)), ["length", "hash"])
+        met = met.select("doc_id", "text_hash", "item_id", "item", "length", "pos", near)
     else:
         exploded = hashed.select("doc_id", "text_hash", F.explode_outer(prints).alias("f")).select("doc_id", "text_hash", *parts)
-        found = exploded.where(F.col("length") > 0).join(items, ["length", "hash"])
-        found = found.alias("f").join(base.dropDuplicates(["doc_id", "text_hash"]).alias("b"), F.expr("f.doc_id <=> b.doc_id and f.text_hash = b.text_hash")).select("f.*", "w")
-        met = found.unionByName(exploded.where(F.col("length") == 0), allowMissingColumns=True)
+        found = exploded.where(hit).join(items, ["length", "hash"]).groupBy("doc_id", "text_hash")
+        found = found.agg(F.collect_set(F.struct("item_id", "item", "length", "pos")).alias("met"))
+        texts = base.dropDuplicates(["doc_id", "text_hash"])
+        found = found.alias("f").join(texts.alias("b"), F.expr("f.doc_id <=> b.doc_id and f.text_hash = b.text_hash"))
+        found = found.select("f.doc_id", "f.text_hash", "w", F.explode_outer("met").alias("m")).select("doc_id", "text_hash", "w", "m.*")
+        met = found.select("doc_id", "text_hash", "item_id", "item", "length", "pos", near)
+        met = met.unionByName(exploded.where(~hit).drop("hash"), allowMissingColumns=True)
     # explode_outer, here and above: explode would add a filter on its array, which moves down and computes the array again (inside
     # the join, or word by word inside the lambdas).
-    span = F.when(F.col("length") > 0, _span())
-    met = met.select("doc_id", "text_hash", "item_id", F.when(F.col("length") == 0, F.col("pos")).alias("n_words"), F.explode_outer(F.array(span)).alias("span"))
+    span = F.when(hit, _span())
+    met = met.select("doc_id", "text_hash", "item_id", F.when(~hit, F.col("pos")).alias("n_words"), F.explode_outer(F.array(span)).alias("span"))
     return met.where(F.col("span").isNotNull() | F.col("n_words").isNotNull())
 
 
@@ -120,8 +140,10 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"] - 1))))
-    found = hits(docs, benchmark).withColumn("n_hit", F.size(covered).cast("long"))
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    longer = lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["n"] + F.greatest(s["b"] - F.greatest(acc["end"], s["a"]), F.lit(0))).alias("n"))
+    covered = F.aggregate(F.sort_array("spans"), start, longer)["n"]
+    found = hits(docs, benchmark).withColumn("n_hit", covered)
     rows = found.withColumn("copy", F.explode_outer(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -131,9 +153,9 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without hits, with all their columns."""
-    found = hits(docs, benchmark).where(F.size("spans") > 0).select("doc_id", "text_hash")
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d._text_hash = f.text_hash"), "left_anti").drop("_text_hash")
+    found = hits(docs, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
+    keyed = docs.select(whole_row(docs), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    return keyed.join(found, F.expr("own_id <=> hit_id and own_hash = hit_hash"), "left_anti").select("row.*")
 
 
 _LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
