@@ -3,17 +3,20 @@
 A known word gives its log frequency in each language. An unseen word gives, from each position, the log frequency of the longest
 known character n-gram there, of LONGEST characters at first and then shorter ones. A text's evidence is summed over its words.
 
-The tables are counted with Spark on a sample of labelled rows of about TRAIN_DOCS documents (all, where there are fewer), picked by
-hash of doc_id; whole texts are counted. The most frequent WORDS words and GRAMS n-grams a language are kept and shared with the
-tasks: a bounded size. Rows whose crc32(doc_id as text) mod 4 is 2 are held out and never counted.
+The tables are counted with Spark on a sample of labelled rows: of each language about LANG_DOCS documents (all, where there are
+fewer), picked by hash of doc_id and text, so that a rare language is learned as well at every size; whole texts are counted. The model
+has a bounded size: the WORDS most frequent words and GRAMS n-grams a language, and ENTRIES of both in all where there are very many
+languages. Rows whose crc32(doc_id as text) mod 4 is 2 are held out and never counted.
 
 Defined results: `und` with score 0 for a null text, one without a letter, or where no language was learned; equal evidence goes to
-the first language in code-point order; repeated rows give repeated rows; an empty table gives no rows; extra columns are ignored.
+the first language in code-point order; a row without doc_id is not held out; equal rows count once in the sample; repeated rows give
+repeated rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.shared import slices
 
-TRAIN_DOCS, WORDS, GRAMS, LONGEST = 8000, 20_000, 20_000, 4
+LANG_DOCS, WORDS, GRAMS, ENTRIES, LONGEST = 2500, 20_000, 20_000, 800_000, 4
 #: Words whose evidence counts in full for the score: it is a probability, not a count of words.
 EVIDENCE = 20
 MEMO = 400_000
@@ -41,8 +44,8 @@ def _grams(word: str) -> list[str]:
     return [w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1)]
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
-    """lang, kind (w or g), gram, n of the most frequent words and n-grams of each language."""
+def count_grams(rows: DataFrame, most: int) -> DataFrame:
+    """lang, kind (w or g), gram, n, total of the most frequent words and n-grams of each language, `most` of each at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +67,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
     counts = rows.select("lang", "text").mapInArrow(run, "lang string, kind string, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    top = counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(WORDS, GRAMS))
+    top = counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= F.least(F.when(F.col("kind") == "w", WORDS).otherwise(GRAMS), F.lit(most)))
     return top.join(totals, ["lang", "kind"]).select("lang", "kind", "gram", "n", "total")
 
 
@@ -109,26 +112,28 @@ class Model:
 
 
 def train(docs: DataFrame) -> list[tuple[str, str, str, int, int]]:
-    """Rows of the tables; bounded by WORDS, GRAMS and the number of languages."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    n = rows.count()
-    if n > TRAIN_DOCS:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * TRAIN_DOCS / n))
-    return [tuple(r) for r in count_grams(rows).collect()]
+    """Rows of the tables; bounded by WORDS, GRAMS and ENTRIES."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("mark"))
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), LANG_DOCS / F.count("*")).alias("share"))
+    n_langs = share.count()
+    steps = 1 << 30
+    picked = rows.join(share, "lang").where(F.pmod("mark", F.lit(steps)) < F.col("share") * steps).dropDuplicates(["lang", "mark"])
+    return [tuple(r) for r in count_grams(picked, ENTRIES // 2 // max(1, n_langs)).collect()]
 
 
-_models: dict[int, Model] = {}
+_models: dict[str, Model] = {}
 
 
 def predict(docs: DataFrame, rows: list[tuple[str, str, str, int, int]]) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(rows)
+    name = uuid.uuid4().hex  # a worker process opens the model once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.value is not None and id(shared.value) not in _models:
+        if name not in _models:
             _models.clear()
-            _models[id(shared.value)] = Model(shared.value)
-        model = _models[id(shared.value)]
+            _models[name] = Model(shared.value)
+        model = _models[name]
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 split = [WORD.findall((t or "").lower()) for t in part.column("text").to_pylist()]
