@@ -1,17 +1,20 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other on unlabelled pages.
 
-The text view sees which of the most telling words a text has. The metadata view sees source, language, length and layout figures
-(lines, marks, digits, capitals, repeats), no words. Both are logistic regressions, for two heads: good quality, and toxic. In each
-of ROUNDS rounds a view gives the other its most confident pseudo-labels of a pool of unlabelled documents. Last, each view is
-calibrated on labelled documents that it was not fitted on, and the calibrated log-odds are added up, the common prior taken off once.
-A document is kept if it is more likely good than not, and less likely toxic than not.
+The text view reads the text: which of the most telling words it has, and its figures (marks, digits, capitals, repeats, the share of
+each ASCII mark). The metadata view reads the page's record alone: source, language and n_chars. Both are logistic regressions, for two
+heads: good quality, and toxic. In each of ROUNDS rounds a view gives the other its most confident pseudo-labels of a pool of unlabelled
+documents. Last, each view is calibrated on labelled documents that it was not fitted on, and the calibrated log-odds are added up, the
+common prior taken off once: a view that tells little gets a slope near 0. A document is kept if it is more likely good than not, and
+less likely toxic than not.
 
-Fitting uses bounded samples, picked by hash of doc_id: about LABELLED labelled documents and UNLABELLED others, and VOCABULARY words a
-head, counted over whole texts by Spark. Scoring reads every whole text.
+Fitting uses bounded samples, picked by hash: about LABELLED labelled documents and UNLABELLED others, written once, and VOCABULARY words
+a head, counted over their whole texts by Spark. Scoring reads every whole text.
 
 Defined results: a null or empty text is rejected with score 0; without labels of both kinds a head says nothing (good: 1, toxic: 0);
-several labels of one document are averaged; repeated rows are scored each; an empty table gives no rows; score() ignores extra columns
-and accepted() keeps them; a missing source or language is a value of its own.
+several labels of one document are averaged, labels without doc_id ignored; of rows that repeat a labelled doc_id one is fitted on (the
+one with the least hash of its text), and equal unlabelled rows are one in the pool; equal probabilities keep (good) and reject (toxic);
+repeated rows are scored each; an empty table gives no rows; score() ignores extra columns and accepted() keeps them; a missing source,
+language or n_chars is a value of its own.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import slices, text_bytes
+from factloom.llm.shared import slices, text_bytes, written
 from factloom.llm.words import MARKS, words
 
 LABELLED, UNLABELLED, VOCABULARY = 5000, 4000, 600
@@ -33,6 +36,10 @@ HEADS = ("good", "toxic")
 _SOURCES = 256
 _UPPER, _DIGIT, _LINE = (np.zeros(256, bool) for _ in range(3))
 _UPPER[65:91] = _DIGIT[48:58] = _LINE[10] = True
+_EACH_MARK = [x for x in range(33, 127) if not chr(x).isalnum()]
+_MARK_PLACE = np.full(256, -1)
+_MARK_PLACE[_EACH_MARK] = np.arange(len(_EACH_MARK))
+INPUTS = ("text", "source", "lang", "n_chars")
 
 
 def _text_words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -45,13 +52,12 @@ def _text_words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return text[keep], h[keep]
 
 
-def _metadata(part: pa.RecordBatch) -> np.ndarray:
-    """Layout figures and one-hot source and language."""
+def _figures(part: pa.RecordBatch) -> np.ndarray:
+    """Figures of the texts, each with its square."""
     raw, offsets = text_bytes(part.column("text"))
     n = len(offsets) - 1
     size = np.maximum(np.diff(offsets), 1)
     count = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[raw])])[offsets])
-    marks, spaces = count(MARKS), count(np.isin(np.arange(256), (9, 10, 13, 32)))
     _, _, text, h = words(raw, offsets)
     per = np.bincount(text, minlength=n)
     order = np.lexsort((h, text))
@@ -63,15 +69,25 @@ def _metadata(part: pa.RecordBatch) -> np.ndarray:
     repeats = np.bincount(text[twin], minlength=n)
     per_ = np.maximum(per, 1)
     lines = count(_LINE) + 1
-    figures = [np.log(size) / 10, np.log(lines) / 5, np.minimum(size / lines, 2000) / 1000, 5 * (marks - spaces) / size, 5 * count(_DIGIT) / size, 3 * count(_UPPER) / size, distinct / per_ - 1, 3 * repeats / per_, np.minimum(size / per_, 40) / 10]
-    for table, scale in (("|", 20), ("%&*#$", 20), ("!", 20)):
-        figures.append(scale * count(np.isin(np.arange(256), [ord(c) for c in table])) / size)
-    steps = [np.stack([f, np.minimum(f, 1) ** 2], 1) for f in figures]
+    figures = [np.log(size) / 10, np.log(lines) / 5, np.minimum(size / lines, 2000) / 1000, 5 * count(_DIGIT) / size, 3 * count(_UPPER) / size, distinct / per_ - 1, 3 * repeats / per_, np.minimum(size / per_, 40) / 10]
+    at = np.where(_MARK_PLACE[raw] >= 0)[0]
+    row = np.searchsorted(offsets, at, "right") - 1
+    each = np.bincount(row * len(_EACH_MARK) + _MARK_PLACE[raw[at]], minlength=n * len(_EACH_MARK)).reshape(n, -1) / size[:, None]
+    figures += [5 * each.sum(1), *(20 * each).T]
+    return np.concatenate([np.stack([f, np.minimum(f, 1) ** 2], 1) for f in figures], 1).astype(np.float32)
+
+
+def _metadata(part: pa.RecordBatch) -> np.ndarray:
+    """One-hot source and language, and the size that the record gives."""
+    n = part.num_rows
+    chars = np.asarray(part.column("n_chars").cast(pa.float64()).fill_null(-1.0))
+    known = chars >= 0
+    size = np.log1p(np.maximum(chars, 0)) / 10
     hashed = np.zeros((n, _SOURCES + 16))
     for column, width, base in (("source", _SOURCES, 0), ("lang", 16, _SOURCES)):
         codes = [hash_text(x) % width for x in part.column(column).to_pylist()]
         hashed[np.arange(n), base + np.array(codes, np.int64)] = 0.3
-    return np.concatenate([*steps, hashed], 1).astype(np.float32)
+    return np.concatenate([np.stack([known, size, size**2], 1), hashed], 1).astype(np.float32)
 
 
 def hash_text(x: str | None) -> int:
@@ -111,17 +127,21 @@ class Logistic:
         return self.slope * np.clip(self.raw(x), -30, 30) + self.shift
 
 
-def _sampled(df: DataFrame, n: int, size: int) -> DataFrame:
-    return df if n <= size else df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * size / n))
+def _below(n: int, size: int, mark: str) -> Column:
+    """Whether the hash `mark` is in the share that leaves about `size` of n rows."""
+    return F.pmod(mark, F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / max(1, n)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model of bounded size, or None without labels."""
-    spark = docs.sparkSession
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("good"), F.avg("toxic").alias("toxic"))
-    marked = F.broadcast(_sampled(known, known.count(), LABELLED))  # about LABELLED rows
-    rows = docs.select("doc_id", "text", "source", "lang")
-    seen = rows.join(marked, "doc_id").select("text", "source", "lang", "good", "toxic")
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("good"), F.avg("toxic").alias("toxic"), F.xxhash64("doc_id").alias("label"))
+    marked = F.broadcast(known.where(_below(known.count(), LABELLED, "label")))  # about LABELLED rows
+    rows = docs.select("doc_id", *INPUTS, F.xxhash64("doc_id", "text").alias("mark")).join(marked, "doc_id", "left")
+    chosen = rows.where(F.col("label").isNotNull() | _below(docs.count(), UNLABELLED, "mark"))
+    row = F.struct("mark", "doc_id", *INPUTS, *HEADS, "label")
+    sample = chosen.groupBy(F.coalesce("label", "mark").alias("key"), F.col("label").isNull().alias("pool")).agg(F.min(row).alias("row"))
+    sample = written(sample.select("row.*"), "sample")
+    seen = sample.where(F.col("label").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     totals = seen.agg(F.count("*"), F.sum((F.col("good") > 0.5).cast("int")), F.sum((F.col("toxic") > 0.5).cast("int"))).first()
     if not totals[0]:
         return None
-    counts = seen.mapInArrow(count, "word long, n long, good long, toxic long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *HEADS)])
+    counts = written(seen.select("text", *HEADS).mapInArrow(count, "word long, n long, good long, toxic long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *HEADS)]), "counts")
     vocabulary = {}
     for k, head in enumerate(HEADS):
         yes, no = totals[k + 1] or 0, totals[0] - (totals[k + 1] or 0)
@@ -143,26 +163,21 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
         ratio = F.abs(F.log((inside + 0.5) / (yes + 1.0)) - F.log((outside + 0.5) / (no + 1.0)))
         best = counts.where(F.col("n") >= 3).withColumn("rank", ratio * F.sqrt("n")).orderBy(F.desc("rank"), "word").limit(VOCABULARY)
         vocabulary[head] = np.sort(np.array([r.word for r in best.select("word").collect()], np.int64).view(np.uint64))
-    pool = _sampled(rows.select("doc_id", "text", "source", "lang"), docs.count(), UNLABELLED)
-    blank = F.lit(None).cast("double")
-    pool = pool.join(marked, "doc_id", "left_anti").select("doc_id", "text", "source", "lang", blank.alias("good"), blank.alias("toxic"))
-    both = rows.join(marked, "doc_id").select("doc_id", "text", "source", "lang", "good", "toxic").union(pool)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                views = [_content(part, vocabulary[h]).astype(np.uint8) for h in HEADS] + [_metadata(part)]
+                views = [_content(part, vocabulary[h]).astype(np.uint8) for h in HEADS] + [_figures(part), _metadata(part)]
                 columns = [pa.array([r.tobytes() for r in v], pa.binary()) for v in views]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *HEADS)), *columns], ["doc_id", *HEADS, "w_good", "w_toxic", "meta"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("mark", *HEADS)), *columns], ["mark", *HEADS, "w_good", "w_toxic", "figures", "meta"])
 
-    sample = both.mapInArrow(features, "doc_id long, good double, toxic double, w_good binary, w_toxic binary, meta binary").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    meta = np.stack([np.frombuffer(x, np.float32) for x in sample["meta"]])
+    bounded = sample.mapInArrow(features, "mark long, good double, toxic double, w_good binary, w_toxic binary, figures binary, meta binary").toPandas().sort_values("mark")
+    stacked = lambda c, t: np.stack([np.frombuffer(x, t) for x in bounded[c]]).astype(np.float32)
+    figures, meta = stacked("figures", np.float32), stacked("meta", np.float32)
     model: dict = {"vocabulary": vocabulary}
     for head in HEADS:
-        content = np.stack([np.frombuffer(x, np.uint8) for x in sample[f"w_{head}"]]).astype(np.float32)
-        y = sample[head].to_numpy(float)
-        model[head] = co_trained((content, meta), y)
-    del spark
+        content = np.concatenate([stacked(f"w_{head}", np.uint8), figures], 1)
+        model[head] = co_trained((content, meta), bounded[head].to_numpy(float))
     return model
 
 
@@ -205,12 +220,14 @@ def _content(part: pa.RecordBatch, vocabulary: np.ndarray) -> np.ndarray:
 
 def _probabilities(part: pa.RecordBatch, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
     out = []
+    figures, record = (_figures(part), _metadata(part)) if model else (None, None)
     for head, otherwise in zip(HEADS, (1.0, 0.0), strict=True):
         if model is None or model[head] is None:
             out.append(np.full(part.num_rows, otherwise))
             continue
         content, meta = model[head]["models"]
-        z = content.log_odds(_content(part, model["vocabulary"][head])) + meta.log_odds(_metadata(part)) - model[head]["prior"]
+        words_and_figures = np.concatenate([_content(part, model["vocabulary"][head]), figures], 1)
+        z = content.log_odds(words_and_figures) + meta.log_odds(record) - model[head]["prior"]
         out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
     empty = np.asarray(pc.binary_length(part.column("text")).fill_null(0)) == 0
     out[0] = np.where(empty, 0.0, out[0])
@@ -228,7 +245,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 columns = [part.column("doc_id").cast(pa.int64()), *map(pa.array, (good, toxic, good * (1 - toxic), (good >= 0.5) & (toxic < 0.5)))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "p_good", "p_toxic", "score", "keep"])
 
-    return docs.select("doc_id", "text", "source", "lang").mapInArrow(run, "doc_id long, p_good double, p_toxic double, score double, keep boolean")
+    return docs.select("doc_id", *INPUTS).mapInArrow(run, "doc_id long, p_good double, p_toxic double, score double, keep boolean")
 
 
 def accepted(docs: DataFrame, model: dict | None) -> DataFrame:
