@@ -1,114 +1,80 @@
-"""Token counts: a prefix table stores the exact count at every chunk end of a text.
+"""Token counts: a prefix table stores the exact token count of every prefix of a text.
 
-The table is a one-dimensional dynamic program: total[j] = total[j - 1] + tokens(chunk j). As the vocabulary never joins text
-across a space after a non-space, total[j] is exactly the count of the text up to there, and the count of any other prefix is
-total[j] plus the count of a part of one chunk. Truncation and budget questions are binary searches in the table.
+The table is a one-dimensional dynamic program over the text's code points. The vocabulary never joins text across a space after a
+non-space, so a chunk (a run of spaces and a word) adds the same steps wherever it stands, and a worker remembers the steps of the
+chunks it has met. Within a chunk the library counts the prefixes of short ones; in longer ones the last token of each prefix is found
+from that of a shorter prefix, in time that follows their length. Truncation and budget questions are read off the stored table: no
+text is encoded again.
 
-Defined results: a null or empty text has 0 tokens; repeated rows give repeated rows; an empty table gives no rows; extra columns
+Tables are stored as steps (tokens more or fewer after each code point), 16 bits each, in a zstandard frame for each document.
+
+Defined results: a null or empty text has 0 tokens and an empty table; repeated rows give repeated rows; a prefix as long as another
+with the same count is the longer one where a budget is asked for; a null doc_id stays null; an empty table gives no rows; extra columns
 are ignored. Memory follows the longest text.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.encoding import PieceCounts, opened
-from factloom.llm.shared import slices
+from factloom.llm.shared import slices, written
 
 #: Tokens from which a text counts as over the limit.
 LIMIT = 4096
 
 
-class PrefixTable:
-    """Counts of all prefixes of one text. ends: code points before each chunk's end; totals: tokens up to there."""
+def prefix_tables(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_bytes, n_chars, n_tokens, steps: the table of each document, to be written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, pack = opened(PieceCounts, model_path), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                steps = memo.steps([t or "" for t in part.column("text").to_pylist()])
+                size = pc.binary_length(part.column("text").cast(pa.large_string())).fill_null(0).cast(pa.int64())
+                numbers = [pa.array([f(s) for s in steps], pa.int64()) for f in (len, lambda s: int(s.sum(dtype=np.int64)))]
+                tables = pa.array([pack.compress(s.tobytes()) for s in steps], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), size, *numbers, tables], ["doc_id", "n_bytes", "n_chars", "n_tokens", "steps"])
 
-    def __init__(self, text: str, memo: PieceCounts) -> None:
-        self.text, self.memo = text, memo
-        chunks, self.marks = memo.chunks(text)
-        sizes = np.fromiter((len(c) for c in chunks), np.int64, len(chunks))
-        self.ends = np.cumsum(sizes + 1) - 1  # one space stands before each chunk but the first
-        self.totals = np.cumsum(np.array(memo.values(chunks), np.int64))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_chars long, n_tokens long, steps binary")
 
-    def total(self) -> int:
-        return int(self.totals[-1] if len(self.totals) else 0) + self.memo.trailing(self.marks)
 
-    def at(self, n: int) -> int:
-        """Tokens of the first n code points: a stored total and a part of one chunk."""
-        j = bisect_right(self.ends, min(n, len(self.text)))
-        if not j:
-            return PrefixTable.count(self.text[:n], self.memo)
-        rest = self.text[self.ends[j - 1] : n]
-        return int(self.totals[j - 1]) + (PrefixTable.count(rest[1:], self.memo) if len(rest) > 1 else len(rest))
+def counts_of(steps: bytes) -> np.ndarray:
+    """Tokens of each prefix, the empty one first."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(zstandard.decompress(steps), "<i2"), dtype=np.int64)])
 
-    def cut(self, budget: int) -> int:
-        """Code points of the longest prefix of whole chunks with at most `budget` tokens."""
-        if self.total() <= budget:
-            return len(self.text)
-        j = bisect_right(self.totals, budget)
-        return int(self.ends[j - 1]) if j else 0
 
-    @staticmethod
-    def count(text: str, memo: PieceCounts) -> int:
-        chunks, marks = memo.chunks(text)
-        return sum(memo.values(chunks)) + memo.trailing(marks)
+def _asked(tables: DataFrame, name: str, answer: Callable[[np.ndarray], int]) -> DataFrame:
+    """tables without steps, with `name`: answer(counts of all prefixes)."""
+    kept = [f for f in tables.schema if f.name != "steps"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([answer(counts_of(s.as_py())) for s in batch.column("steps")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), found], [*(f.name for f in kept), name])
 
-def prefix_tables(docs: DataFrame, model_path: str, budget: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, cut (code points that fit into `budget` tokens, whole chunks), ends and totals: the stored table."""
-    return docs.select("doc_id", "text").mapInArrow(
-        lambda batches: _tables(batches, model_path, budget, True),
-        "doc_id long, n_bytes long, n_tokens long, cut long, ends array<long>, totals array<long>",
-    )
+    return tables.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{name}` long"]))
 
 
 def prefix_count(tables: DataFrame, n: int) -> DataFrame:
-    """tables with count_at: tokens of the whole chunks within the first n code points, read off the stored table."""
-    fits = F.size(F.filter("ends", lambda e: e <= F.lit(n)))
-    return tables.withColumn("count_at", F.when(fits > 0, F.try_element_at("totals", fits)).otherwise(F.lit(0).cast("long")))
+    """tables with count_at: tokens of the first n code points (of all, in a shorter text)."""
+    return _asked(tables, "count_at", lambda counts: int(counts[min(n, len(counts) - 1)]))
+
+
+def cut_to(tables: DataFrame, budget: int) -> DataFrame:
+    """tables with cut: code points of the longest prefix with at most `budget` tokens."""
+    return _asked(tables, "cut", lambda counts: int(np.flatnonzero(counts <= budget)[-1]))
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and cut, from the prefix tables, which are not kept."""
-    return (
-        docs.select("doc_id", "text")
-        .mapInArrow(lambda batches: _tables(batches, model_path, limit, False), "doc_id long, n_bytes long, n_tokens long, cut long")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cut")
-    )
-
-
-def _tables(batches: Iterator[pa.RecordBatch], path: str, budget: int, keep: bool) -> Iterator[pa.RecordBatch]:
-    memo = opened(PieceCounts, path)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            split = [memo.chunks(t) for t in texts]
-            flat = [c for chunks, _ in split for c in chunks]
-            counts = np.array(memo.values(flat), np.int64)
-            sizes = np.fromiter(map(len, flat), np.int64, len(flat)) + 1
-            starts = np.cumsum([0, *(len(chunks) for chunks, _ in split)])
-            totals, ends = np.cumsum(counts), np.cumsum(sizes)
-            out: dict[str, list] = {"n_tokens": [], "cut": [], "ends": [], "totals": []}
-            for text, (_, marks), a, b in zip(texts, split, starts, starts[1:], strict=False):
-                base, before = (totals[a - 1], ends[a - 1]) if a else (0, 0)
-                row = totals[a:b] - base
-                n = int(row[-1] if b > a else 0) + memo.trailing(marks)
-                fits = int(np.searchsorted(row, budget, "right"))
-                out["n_tokens"].append(n)
-                out["cut"].append(len(text) if n <= budget else int(ends[a + fits - 1] - before - 1) if fits else 0)
-                if keep:
-                    out["ends"].append(ends[a:b] - before - 1)
-                    out["totals"].append(row)
-            size = pc.binary_length(part.column("text").cast(pa.large_string())).fill_null(0).cast(pa.int64())
-            columns = [part.column("doc_id").cast(pa.int64()), size, pa.array(out["n_tokens"], pa.int64()), pa.array(out["cut"], pa.int64())]
-            names = ["doc_id", "n_bytes", "n_tokens", "cut"]
-            if keep:
-                columns += [pa.array(out[k], pa.list_(pa.int64())) for k in ("ends", "totals")]
-                names += ["ends", "totals"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    """doc_id, n_bytes, n_tokens, over_limit, read off the stored tables."""
+    tables = written(prefix_tables(docs, model_path), "prefixes")
+    return tables.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -3,10 +3,11 @@
 A folder holds two Parquet tables. `dictionary` has one row: dict_hash, the dictionary, the id width and the end id. `shards` has
 rows of up to SHARD_BYTES of frames in ascending doc_id order: part and seq give the order, first_doc and last_doc the range (Parquet
 statistics skip shards), dict_hash must equal the dictionary's, and the arrays doc_ids, counts and offsets are the index, so that one
-short document is read without decoding its neighbours. `start` of a document counts the ids of all documents before it.
+short document is read without decoding its neighbours. `start` of a document counts the ids of all documents before it: `within` holds
+those of its part, and a sum a part, a row for each task that wrote, gives the rest, so no frame is shuffled to be read.
 
 Defined results: a null or empty text has the end id alone; documents that share a doc_id stand together, shorter first, then by
-their texts; an empty table gives empty files; extra columns are ignored.
+their texts, rows without doc_id before all others; an empty table gives empty files; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.encoding import WordIds, opened
-from factloom.llm.shared import slices
+from factloom.llm.shared import slices, written
 
 END_ID = 1
 SHARD_BYTES = 1 << 20
-#: The dictionary is trained on this many documents, the first by hash of doc_id, and this many characters of each. It only
-#: changes the size of the files.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 10_000, 64 << 10
+#: The dictionary is trained on the whole texts of this many documents, the first by hash of doc_id, those of more characters left out.
+#: It only changes the size of the files. Where the library finds too little to train on, the arrays themselves serve as dictionary.
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 50_000, 64 << 10
+#: Parts whose sums are broadcast, once counted; more are joined by a shuffle.
+BROADCAST_PARTS = 1_000_000
 LEVEL = 3
 
-SHARDS = "part int, seq int, first_doc long, last_doc long, n_docs long, n_tokens long, dict_hash string, doc_ids array<long>, counts array<long>, offsets array<long>, frames binary"
+SHARDS = "part int, seq int, within long, first_doc long, last_doc long, n_docs long, n_tokens long, dict_hash string, doc_ids array<long>, counts array<long>, offsets array<long>, frames binary"
 
 
 def _id_bytes(texts: list[str], memo: WordIds, end_id: int) -> list[bytes]:
@@ -43,8 +46,7 @@ def _id_bytes(texts: list[str], memo: WordIds, end_id: int) -> list[bytes]:
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> bytes:
     """A dictionary of serialized id arrays; empty where there are too few of them."""
     first = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
-    text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")
-    sample = docs.where(F.col("doc_id").isin([r.doc_id for r in first])).select(text).limit(SAMPLE_DOCS)
+    sample = docs.where(F.col("doc_id").isin([r.doc_id for r in first]) & (F.length("text") <= SAMPLE_CHARS)).select("text").limit(SAMPLE_DOCS)
     arrays = _id_bytes([r.text for r in sample.collect()], WordIds(tokenizer_path), end_id)
     try:
         return zstandard.train_dictionary(DICT_BYTES, arrays, level=LEVEL).as_bytes()
@@ -70,11 +72,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value), write_checksum=True)
         task, seq = TaskContext.get().partitionId(), 0
         held: list[tuple[int, int, bytes]] = []
-        size = 0
+        size = within = 0
 
         def shard() -> pa.RecordBatch:
             offsets = np.cumsum([0, *(len(f) for _, _, f in held)])
-            row = {"part": task, "seq": seq, "first_doc": held[0][0], "last_doc": held[-1][0], "n_docs": len(held), "n_tokens": sum(n for _, n, _ in held), "dict_hash": name, "doc_ids": [d for d, _, _ in held], "counts": [n for _, n, _ in held], "offsets": offsets.tolist(), "frames": b"".join(f for _, _, f in held)}
+            row = {"part": task, "seq": seq, "within": within, "first_doc": held[0][0], "last_doc": held[-1][0], "n_docs": len(held), "n_tokens": sum(n for _, n, _ in held), "dict_hash": name, "doc_ids": [d for d, _, _ in held], "counts": [n for _, n, _ in held], "offsets": offsets.tolist(), "frames": b"".join(f for _, _, f in held)}
             return pa.RecordBatch.from_pylist([row], schema=_ARROW_SHARDS)
 
         for batch in batches:
@@ -84,6 +86,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     f = packer.compress(x)
                     if held and size + len(f) > SHARD_BYTES:
                         yield shard()
+                        within += sum(n for _, n, _ in held)
                         held, size, seq = [], 0, seq + 1
                     held.append((d, len(x) // width, f))
                     size += len(f)
@@ -95,7 +98,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ranged.sortWithinPartitions("doc_id", F.length("text"), "text").mapInArrow(pack, SHARDS).write.parquet(f"{path}/shards")
 
 
-_ARROW_SHARDS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())])
+_ARROW_SHARDS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("within", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())])
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = False) -> DataFrame:
@@ -106,12 +109,11 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     known = spark.read.parquet(f"{path}/dictionary").first()
     raw, width = bytes(known.dictionary), known.width
     shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
-    # One row a written partition: far fewer than shards, and a count that follows the number of tasks.
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = parts.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    starts = shards.select("part", "seq", "n_tokens").withColumn("within", F.coalesce(within, F.lit(0))).join(bases, "part").select("part", "seq", (F.col("base") + F.col("within")).alias("start"))
+    bases = written(parts.select("part", F.coalesce(before, F.lit(0)).alias("base")), "bases")
+    if bases.count() <= BROADCAST_PARTS:
+        bases = F.broadcast(bases)
     if doc_ids is not None:
         shards = shards.where((F.col("first_doc") <= max(doc_ids)) & (F.col("last_doc") >= min(doc_ids)))
     wanted = None if doc_ids is None else set(doc_ids)
@@ -140,4 +142,5 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return shards.drop("n_tokens").join(starts, ["part", "seq"]).mapInArrow(decode, schema)
+    columns = ["dict_hash", "doc_ids", "counts", "offsets", "frames", (F.col("base") + F.col("within")).alias("start")]
+    return shards.join(bases, "part").select(*columns).mapInArrow(decode, schema)

@@ -122,22 +122,43 @@ def test_word_ids_of_odd_texts():
 def test_token_counts(docs):
     import sentencepiece
 
-    from factloom.llm.encoding import PieceCounts
-    from factloom.llm.token_counts import PrefixTable, prefix_count, prefix_tables, token_counts
+    from factloom.llm.token_counts import counts_of, cut_to, prefix_count, prefix_tables, token_counts
 
     name = str(public_tokenizers.path("piece_bpe_32k.model"))
     model = sentencepiece.SentencePieceProcessor(model_file=name)
-    found = collected(token_counts(docs, name, 100))
-    for r in docs.collect():
-        n = len(model.encode(r.text or ""))
-        assert (found[r.doc_id].n_tokens, found[r.doc_id].over_limit, found[r.doc_id].n_bytes) == (n, n > 100, len((r.text or "").encode()))
-        cut = (r.text or "")[: found[r.doc_id].cut]
-        assert len(model.encode(cut)) <= 100
-    for text in ("  a  b ", " ", "", "a\n b▁ c", "two  words  ", "é 日本"):
-        table = PrefixTable(text, PieceCounts(name))
-        assert [table.at(k) for k in range(len(text) + 1)] == [len(model.encode(text[:k])) for k in range(len(text) + 1)], text
-    stored = collected(prefix_count(prefix_tables(docs.where("doc_id = 5"), name), 9))
-    assert stored[5].count_at == len(model.encode("the quick"))
+    df = docs.union(docs.where("doc_id = 5"))
+    rows = token_counts(df, name, 100).collect()
+    assert len(rows) == 15
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in rows:
+        n = len(model.encode(texts[r.doc_id]))
+        assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 100, len(texts[r.doc_id].encode()))
+    tables = prefix_tables(docs, name).cache()
+    asked = collected(prefix_count(cut_to(tables.drop("cut"), 100).join(tables.select("doc_id", "steps"), "doc_id"), 9))
+    for d, r in asked.items():
+        counts = [len(model.encode(texts[d][:k])) for k in range(min(len(texts[d]), 700) + 1)]
+        assert counts_of(next(t.steps for t in tables.collect() if t.doc_id == d))[: len(counts)].tolist() == counts
+        assert r.count_at == counts[min(9, len(texts[d]))] and r.n_chars == len(texts[d])
+        assert len(texts[d]) > 700 or r.cut == max(k for k, n in enumerate(counts) if n <= 100)
+    assert token_counts(docs.limit(0), name).count() == 0
+
+
+def test_counts_of_all_prefixes():
+    import random
+
+    from factloom.llm.encoding import PieceCounts
+
+    memo = PieceCounts(str(public_tokenizers.path("piece_bpe_32k.model")))
+    rng, pieces = random.Random(2), ["the", "a", "é", "日本", "😀", "ing", "▁", "1", "aaaaaaaa", "\n", "<s>", "<0x41>", "---", "ionization", " ", "  "]
+    for _ in range(400):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        wanted = [len(memo.model.encode(t[:k])) for k in range(1, len(t) + 1)]
+        assert np.cumsum(memo.steps([t])[0]).tolist() == wanted, t
+        if t and " " not in t and "▁" not in t:
+            assert memo.prefixes("▁" + t)[1:] == wanted, t
+    for t in ("ab1" * 20_000, " " * 50_000, "▁" * 50_000):
+        steps = memo.steps([t])[0]
+        assert len(steps) == len(t) and steps.sum(dtype=np.int64) == len(memo.model.encode(t))
 
 
 # 3
