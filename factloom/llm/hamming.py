@@ -1,39 +1,49 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A vector's code has a bit for each dimension, set where the value is above 0. A code is cut into segments of 16 bits, and each segment
-has a table of the codes by its value. For a query all segment values within radius 0, 1, 2 ... are looked up and what is found is
-verified by its whole Hamming distance. After radius r every code within m (r + 1) - 1 of the query has been found, m being the number of
-segments; the search ends once the kth verified distance is no more than that, so ties at the kth distance are complete too.
+A vector's code has a bit for each dimension, set where the value is above 0. A code is cut into segments of BITS bits. The index is one
+table over all codes with a row for each segment, keyed by the segment's number and its upper bits: as many as leave about BUCKET codes a
+key. A query looks up, in each segment, the keys whose upper bits differ from its own in at most `radius` places, by an equality join;
+the lower bits decide within the join. After radius r every code within m (r + 1) - 1 of the query has been found, m being the number of
+segments: two codes that are nearer differ in at most r bits of some segment.
 
-Equal codes are one entry with their k smallest ids, so no copies pile up. Entries are dealt into blocks of about BLOCK by hash, each
-with tables of its own, and queries into blocks of QUERIES; a task searches one block for one block of queries, and the k best of all
-blocks remain. The query set is rows whose id is divisible by EVERY.
+Radii grow until the kth verified distance is provably covered. All queries start with FIRST_RADIUS; a query that has k results knows
+the radius that covers its kth distance and goes there in one step, looking for no more than that distance; one with fewer goes on by
+one. A code is found once a query: by the first of the segments in which it is nearest, at the radius of that one, so rounds need not be
+compared with each other. Ties at the kth distance are complete. A round's results are written, so its lineage ends there.
+
+What is shuffled follows the rows: a row a segment of each code, and for each query a row a segment and near key. Equal codes are one
+entry with their k smallest ids, so no copies pile up; a key that many codes share is a join partition that Spark can split. The query set
+is rows whose id is divisible by EVERY.
 
 Defined results: a query finds itself too, at distance 0; order is distance, then vec_id; with fewer than k rows all are returned; a null
-vector is left out; a shorter vector counts as padded with zeros, and NaN as no set bit; a repeated row of an id is found once for each;
-an empty table gives no rows; extra columns are ignored.
+vector or id is left out; a shorter vector counts as padded with zeros, and NaN as no set bit; a repeated row of an id is found once for
+each, and of different rows of one query id the one with the least code asks; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.shared import written
+
 K, EVERY, BITS = 10, 50, 16
-BLOCK, QUERIES = 1 << 18, 256
+#: Codes for each key of a segment.
+BUCKET = 1024
+FIRST_RADIUS = 2
+#: Rows of the index for each task of a round.
+TASK_ROWS = 1 << 14
 
 
 def codes(vectors: DataFrame) -> DataFrame:
-    """vec_id, code (segments of 16 bits, as bytes)."""
+    """vec_id, code: words of 64 bits."""
     rows = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     size = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
-    width = -(-size // BITS) * BITS
+    width = -(-size // 64) * 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,88 +52,76 @@ def codes(vectors: DataFrame) -> DataFrame:
             values = np.nan_to_num(np.asarray(column.flatten().fill_null(0.0)), nan=0.0)
             bits = np.zeros((len(n), width), bool)
             bits[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = values > 0
-            packed = np.packbits(bits, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array([r.tobytes() for r in packed], pa.binary())], ["vec_id", "code"])
-
-    return rows.mapInArrow(run, "vec_id long, code binary")
-
-
-_masks: dict[int, np.ndarray] = {}
-
-
-def masks(radius: int) -> np.ndarray:
-    if radius not in _masks:
-        _masks[radius] = np.array([sum(1 << b for b in c) for c in combinations(range(BITS), radius)], np.int64)
-    return _masks[radius]
-
-
-class Index:
-    """Segment tables of distinct codes; weight: rows of each, k at most."""
-
-    def __init__(self, rows: np.ndarray, weight: np.ndarray) -> None:
-        self.rows, self.weight = rows, weight
-        self.segments = rows.reshape(len(rows), -1, 2)
-        values = self.segments[:, :, 0].astype(np.int64) << 8 | self.segments[:, :, 1]
-        self.m = values.shape[1]
-        self.order = [np.argsort(values[:, s], kind="stable") for s in range(self.m)]
-        self.at = [np.concatenate([[0], np.cumsum(np.bincount(values[:, s], minlength=1 << BITS))]) for s in range(self.m)]
-
-    def nearest(self, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries that hold the k nearest rows and all ties, and their distances."""
-        value = code.reshape(-1, 2).astype(np.int64)
-        value = value[:, 0] << 8 | value[:, 1]
-        seen = np.zeros(len(self.rows), bool)
-        found, far = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for radius in range(BITS + 1):
-            hits = []
-            for s in range(self.m):
-                v = value[s] ^ masks(radius)
-                a, n = self.at[s][v], self.at[s][v + 1] - self.at[s][v]
-                keep = n > 0
-                a, n = a[keep], n[keep]
-                if len(n):
-                    hits.append(self.order[s][np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-            if hits:
-                new = np.concatenate(hits)
-                new = np.unique(new[~seen[new]])
-                seen[new] = True
-                found = np.concatenate([found, new])
-                far = np.concatenate([far, np.bitwise_count(self.rows[new] ^ code).sum(axis=1, dtype=np.int64)])
-            by = np.argsort(far, kind="stable")
-            enough = np.searchsorted(np.cumsum(self.weight[found[by]]), k)
-            if enough < len(by) and (kth := far[by[enough]]) <= self.m * (radius + 1) - 1:
-                inside = far <= kth
-                return found[inside], far[inside]
-        return found, far
-
-
-def _search(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    entries, asks = rows[rows["query_id"].isna()], rows[rows["query_id"].notna()]
-    out = []
-    if len(entries) and len(asks):
-        index = Index(np.stack([np.frombuffer(c, np.uint8) for c in entries["code"]]), entries["ids"].map(len).to_numpy())
-        ids = entries["ids"].to_numpy()
-        for query, code in zip(asks["query_id"].astype("int64"), asks["code"], strict=True):
-            found, far = index.nearest(np.frombuffer(code, np.uint8), k)
-            best = sorted((int(d), int(i)) for e, d in zip(found, far, strict=True) for i in ids[e])[:k]
-            out += [(query, i, d) for d, i in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "distance"]).astype("int64")
+            words = np.packbits(bits, axis=1).view("<i8").ravel()
+            lists = pa.ListArray.from_arrays(np.arange(0, len(words) + 1, width // 64, dtype=np.int32), pa.array(words))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), lists], ["vec_id", "code"])
+
+    return rows.mapInArrow(run, "vec_id long, code array<long>")
+
+
+def _segment(code: str, s: int) -> Column:
+    return F.shiftrightunsigned(F.col(code)[s * BITS // 64], s * BITS % 64).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+
+def _segments(rows: DataFrame, m: int, low: int) -> DataFrame:
+    """rows with a row for each segment: its number, its upper bits and its `low` lower ones."""
+    parts = F.array(*[F.struct(F.lit(s).alias("segment"), _segment("code", s).alias("value")) for s in range(m)])
+    spread = rows.withColumn("part", F.explode_outer(parts)).select(*rows.columns, "part.*")
+    return spread.select(*rows.columns, "segment", F.shiftright("value", low).alias("upper"), F.col("value").bitwiseAND(F.lit((1 << low) - 1)).alias("lower"))
+
+
+def _round(asks: DataFrame, index: DataFrame, masks: DataFrame, m: int, low: int, tasks: int) -> DataFrame:
+    """query_id, distance, ids of the codes that asks (query_id, code, from, to, within) find at radii from...to and no further than within."""
+    probes = _segments(asks.withColumn("flips", F.explode_outer(F.sequence(F.lit(0), F.least("to", F.lit(BITS - low))))), m, low)
+    probes = probes.join(F.broadcast(masks), "flips").select(
+        "query_id", F.col("code").alias("asked"), "flips", "from", "to", "within", "segment", F.col("upper").bitwiseXOR(F.col("mask")).alias("upper"), F.col("lower").alias("asked_lower"),
+    )
+    # Few rows meet many, so what counts is the number of tasks, not the bytes that they read.
+    p, i = (x.repartition(tasks, "segment", "upper").alias(name) for x, name in ((probes, "p"), (index, "i")))
+    own = F.col("flips") + F.bit_count(F.col("asked_lower").bitwiseXOR(F.col("lower")))
+    words = [F.col("asked")[w].bitwiseXOR(F.col("code")[w]) for w in range(m * BITS // 64)]
+    distance = sum((F.bit_count(w) for w in words), F.lit(0))
+    met = p.join(i, F.expr("p.segment = i.segment and p.upper = i.upper") & (own >= F.col("from")) & (own <= F.col("to")) & (distance <= F.col("within")))
+    # Found by the first of the segments in which it is nearest: those before are farther, those after no nearer.
+    for s in range(m):
+        shift = s * BITS % 64
+        mask = ((1 << BITS) - 1) << shift
+        far = F.bit_count(words[s * BITS // 64].bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)))
+        met = met.where(far >= own + F.when(F.lit(s) < F.col("p.segment"), 1).otherwise(0))
+    return met.select("query_id", distance.alias("distance"), "ids")
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, distance."""
-    rows = codes(vectors)
+    rows = written(codes(vectors), "codes")
+    spark = rows.sparkSession
+    total, width = rows.agg(F.count("*"), F.max(F.size("code"))).first()
+    m = (width or 1) * 64 // BITS
+    key_bits = min(BITS, max(1, (total // BUCKET).bit_length()))
+    low = BITS - key_bits
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))).where(F.col("nth") <= k)
     entries = ranked.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    asks = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "code").distinct()
-    n = rows.count()
-    blocks, askers = max(1, -(-n // BLOCK)), max(1, -(-n // every // QUERIES))
-    none, zero = F.lit(None), F.lit(0).cast("long")
-    left = entries.select(F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block"), F.explode_outer(F.sequence(zero, F.lit(askers - 1).cast("long"))).alias("part"), none.cast("long").alias("query_id"), "code", "ids")
-    right = asks.select(F.explode_outer(F.sequence(zero, F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(askers)).alias("part"), "query_id", "code", none.cast("array<long>").alias("ids"))
-    best = left.union(right).groupBy("block", "part").applyInPandas(lambda rows: _search(rows, k), "query_id long, vec_id long, distance long")
+    index = written(_segments(entries, m, low), "index")
+    masks = spark.range(1 << key_bits).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("flips"))
+    asks = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("code").alias("code"))
+    asks = asks.select("query_id", "code", F.lit(0).alias("from"), F.lit(FIRST_RADIUS).alias("to"), F.lit(m * BITS).alias("within"))
+    tasks = max(8, total * m // TASK_ROWS)
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    best = spark.createDataFrame([], "query_id long, vec_id long, distance int")
+    while True:
+        asks = written(asks, "asks")
+        if not asks.limit(1).count():
+            break
+        found = _round(asks, index, masks, m, low, tasks).select("query_id", F.explode_outer("ids").alias("vec_id"), "distance")
+        best = best.union(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best = written(best.select("query_id", "vec_id", "distance"), "best")
+        have = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
+        known = asks.join(have, "query_id", "left")
+        enough = F.coalesce(F.col("n") >= k, F.lit(False))
+        covers = F.ceil((F.col("kth") + 1) / F.lit(m)).cast("int") - 1  # the least radius that covers the kth distance
+        left = known.where((F.col("to") < BITS) & ~(enough & (covers <= F.col("to"))))
+        asks = left.select("query_id", "code", (F.col("to") + 1).alias("from"), F.when(enough, covers).otherwise(F.col("to") + 1).alias("to"), F.when(enough, F.col("kth")).otherwise(F.col("within")).alias("within"))
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", F.col("distance").cast("long").alias("distance"))
 
 
 OP10_SQL = """
