@@ -2,16 +2,18 @@
 
 Each source gets a target of words: its weight's share of a multiple of all words, at most `cap` times its own words; what a stopped
 source leaves is shared again by weight until no source is above its cap. A source's documents get Efraimidis-Spirakis keys
--ln(u) / weight, with u from the md5 of doc_id, so reruns agree; the weight is the document's quality. Complete epochs come first;
+-ln(u) / weight, with u from the md5 of doc_id (of the text where it is null), so reruns agree; the weight is the document's quality.
+Complete epochs come first;
 the rest of the target goes to the documents with the smallest keys, by a prefix sum over the sorted keys, and the document at the
 edge gives the words that are left.
 
-A hot source is never sorted as a whole: keys fall into KEY_RANGES ranges of equal probability, a sum per range gives what stands
-before each range, and windows sort one range of one source.
+A hot source is never sorted as a whole: keys fall into ranges of equal probability, one for each RANGE_DOCS documents of the table; a
+sum per range gives what stands before each range, and windows sort one range of one source. Sizes are counted once, in a table.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; a source without words has
-target 0; a null doc_id has a key of its own; rows that repeat are documents of their own (equal rows share a key, and the prefix sum
-runs over them in turn); an empty table gives no rows; other columns are left out of the counts and kept by mix().
+target 0; rows without doc_id have their texts' keys; rows that repeat are documents of their own (equal rows share a key, and the
+prefix sum runs over them in turn); an empty table gives no rows; other columns, whatever their names, are left out of the counts and
+kept by mix().
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.shared import whole_row, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-#: Ranges of keys a source; each is a window of its own.
-KEY_RANGES = 4096
+#: Documents of the table for each range of keys; a range of one source is a window of its own.
+RANGE_DOCS = 2000
 #: Weight of a document by its quality label: 0, 1, none.
 LOW, HIGH, NONE = 0.5, 1.5, 1.0
 
@@ -58,14 +62,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def mix_counts(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, taken; keep: columns of docs to carry along."""
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
-    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13)
+    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long") + 1) / F.lit(float(2**52))
-    keyed = sizes
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sizes = written(docs.select("doc_id", "source", size.alias("size"), u.alias("u"), *keep), "sizes")
+    n_ranges = max(1, -(-sizes.count() // RANGE_DOCS))
+    keyed, weight = sizes, F.lit(NONE)
     if quality is not None:
-        keyed = keyed.join(quality, "doc_id", "left")
-    weight = F.coalesce("weight", F.lit(NONE)) if quality is not None else F.lit(NONE)
-    keyed = keyed.withColumn("key", -F.ln(u) / weight).withColumn("range", F.least(F.floor(KEY_RANGES * (1 - F.exp(-F.col("key")))), F.lit(KEY_RANGES - 1)).cast("int"))
+        keyed, weight = keyed.join(quality, "doc_id", "left"), F.coalesce("weight", F.lit(NONE))
+    keyed = keyed.withColumn("key", -F.ln("u") / weight).withColumn("range", F.least(F.floor(n_ranges * (1 - F.exp(-F.col("key")))), F.lit(n_ranges - 1)).cast("int"))
     targets = source_targets(sizes)
     ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,25 +92,25 @@ def mix_counts(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[st
 
 def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The mixed documents, with the columns of docs: a row for each epoch, and one with the first words where a part is taken."""
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    same = Window.partitionBy("doc_id", "source", "_hash").orderBy(F.lit(0))
-    rows = rows.withColumn("_copy", F.row_number().over(same))
-    counts = mix_counts(rows, quality, ("_hash", "_copy"))
+    rows = docs.select(whole_row(docs), F.xxhash64("text").alias("mark"))
+    same = Window.partitionBy("row.doc_id", "row.source", "mark").orderBy(F.lit(0))
+    rows = rows.withColumn("copy", F.row_number().over(same))
+    counts = mix_counts(rows.select("row.doc_id", "row.source", "row.text", "mark", "copy"), quality, ("mark", "copy"))
     r, c = rows.alias("r"), counts.alias("c")
-    joined = r.join(c, F.expr("r.doc_id <=> c.doc_id and r.source <=> c.source and r._hash = c._hash and r._copy = c._copy"))
-    part = F.expr("c.taken - c.epochs * c.size")
-    repeats = F.array_repeat(F.lit(False), F.expr("cast(c.epochs as int)"))
-    times = F.concat(repeats, F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    cut = F.regexp_extract("r.text", r"^[\x20\x09-\x0D]*", 0)
-    joined = joined.where(F.expr("c.taken > 0")).withColumn("_part", F.explode_outer(times)).withColumn("_n", F.when(F.col("_part"), part))
-    words = F.slice(F.split("r.text", r"[\x20\x09-\x0D]+"), F.lit(1), F.col("_n").cast("int") + F.when(F.length(cut) > 0, 1).otherwise(0))
-    text = F.when(F.col("_part") & F.expr("c.taken - c.epochs * c.size < c.size"), F.array_join(words, " ")).otherwise(F.col("r.text"))
-    return joined.select(*[text.alias("text") if x == "text" else F.col(f"r.`{x}`") for x in docs.columns])
+    joined = r.join(c, F.expr("r.row.doc_id <=> c.doc_id and r.row.source <=> c.source and r.mark = c.mark and r.copy = c.copy")).select("r.row", "c.size", "c.epochs", "c.taken")
+    part = F.col("taken") - F.col("epochs") * F.col("size")
+    repeats = F.array_repeat(F.lit(False), F.col("epochs").cast("int"))
+    times = F.concat(repeats, F.when(part > 0, F.array(part < F.col("size"))).otherwise(F.array().cast("array<boolean>")))
+    times = joined.where(F.col("taken") > 0).select("row", part.cast("int").alias("words"), F.explode_outer(times).alias("cut"))
+    blank = F.when(F.length(F.regexp_extract("row.text", r"^[\x20\x09-\x0D]*", 0)) > 0, 1).otherwise(0)
+    first = F.array_join(F.slice(F.split("row.text", r"[\x20\x09-\x0D]+"), F.lit(1), F.col("words") + blank), " ")
+    text = F.when(F.col("cut"), first).otherwise(F.col("row.text"))
+    return times.select(*[text.alias("text") if x == "text" else F.col(f"row.`{x}`") for x in docs.columns])
 
 
 OP3_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 weights AS (
   SELECT doc_id, 0.5 + coalesce(avg(quality), 0.5) AS weight FROM labels GROUP BY doc_id),
 src AS (
@@ -122,7 +127,7 @@ chosen AS (SELECT level FROM steps WHERE level <= ratio ORDER BY pos LIMIT 1),
 targets AS (
   SELECT source, source_size, round(least(2 * source_size, coalesce((SELECT level FROM chosen) * w, 2 * source_size))::DOUBLE, 6) AS target FROM steps),
 keyed AS (
-  SELECT s.*, -ln((('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / coalesce(weight, 1.0) AS key
+  SELECT s.*, -ln((('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, s.text, '')), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / coalesce(weight, 1.0) AS key
   FROM sizes s LEFT JOIN weights USING (doc_id)),
 running AS (
   SELECT k.doc_id, k.size, t.source_size, t.target,

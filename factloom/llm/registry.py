@@ -62,9 +62,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factloom.llm.secrets import scan
+    from factloom.llm.secrets import scan, train
 
-    return scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, train(docs))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

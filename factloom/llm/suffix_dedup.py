@@ -45,6 +45,7 @@ AFTER = (LENGTH - GRAM) // 2
 BEFORE = LENGTH - GRAM - AFTER + 1
 BLOB = 2 << 20
 HOT = 512
+SALTS = 32
 #: Bytes of segments that are sorted together; an anchor's segments are never parted.
 TOGETHER = 1 << 19
 _VALUE = np.random.default_rng(77001).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -402,7 +403,9 @@ def remove_repeats(docs: DataFrame, texts_too: bool = False) -> DataFrame:
     texts = blobs.select("blob", "texts")  # dealt by blob once: the three joins share that exchange, and hash the small side
     named = blobs.select("blob", "names").mapInArrow(_named, "blob long, place long, doc long, mark binary")
     first = named.groupBy("mark").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last")).select("mark", "first")
-    copies = named.join(first, "mark").where(F.col("doc") > F.col("first")).groupBy("blob").agg(F.collect_list("place").alias("copies"))
+    # A text that very many documents have is joined in SALTS tasks.
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = named.withColumn("salt", F.pmod(F.xxhash64("blob", "place"), F.lit(SALTS)).cast("int")).join(salted, ["mark", "salt"]).where(F.col("doc") > F.col("first")).groupBy("blob").agg(F.collect_list("place").alias("copies"))
     with_copies = texts.join(copies.hint("shuffle_hash"), "blob", "left")
 
     def answered(dealt: DataFrame, by, name: str) -> DataFrame:
