@@ -81,9 +81,21 @@ def relative(column: Column, root: str) -> Column:
     return F.when(column.startswith(root.rstrip("/") + "/"), F.substring(column, len(root.rstrip("/")) + 2, 1 << 30)).otherwise(column)
 
 
+DURATION = r"^\s*(\d+)\s*(ms|s|m|h)\s*$"
+#: Milliseconds of a unit. Fixed values.
+UNITS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}
+
+
+def duration_ms(text: Column) -> Column:
+    """Milliseconds of durations such as 500ms, 30s, 5m or 2h; null for any other text."""
+    number = F.regexp_extract(text, DURATION, 1)
+    scale = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    return F.when(text.rlike(DURATION), number.cast("long") * F.element_at(scale, F.regexp_extract(text, DURATION, 2)))
+
+
 def parse_duration(text: str) -> int:
     """Milliseconds of a duration such as 500ms, 30s, 5m or 2h."""
-    m = re.fullmatch(r"\s*(\d+)\s*(ms|s|m|h)\s*", text)
+    m = re.fullmatch(DURATION[1:-1], text)
     if not m:
         raise ValueError(f"not a duration: {text!r}")
-    return int(m[1]) * {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}[m[2]]
+    return int(m[1]) * UNITS[m[2]]

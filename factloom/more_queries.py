@@ -19,7 +19,6 @@ _COUNTS = "count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER
 # Metrics and gates.
 query("agg_01_by_type", lambda v: quality.by_type(v.facts), "SELECT CASE WHEN fact_type IN ('TaintSource', 'TaintSink', 'Vulnerability', 'CodeSmell', 'Function') THEN fact_type ELSE 'Other' END AS fact_type, count(*) AS n FROM facts GROUP BY 1", "facts")
 query("agg_02_by_severity", lambda v: quality.by_severity(v.facts), "SELECT coalesce(CASE WHEN fact_type IN ('Vulnerability', 'CodeSmell') THEN severity END, 'N/A') AS severity, count(*) AS n FROM facts GROUP BY 1", "facts")
-query("agg_03_score", lambda v: quality.score(v.facts.where("fact_id < '005'")), "SELECT greatest(0.0, 100.0 - 10 * count(*) FILTER (severity = 'Critical') - 5 * count(*) FILTER (severity = 'Major') - count(*) FILTER (severity = 'Minor'))::DOUBLE AS score FROM facts WHERE fact_id < '005' AND fact_type IN ('Vulnerability', 'CodeSmell')", "facts")
 _METRICS = "SELECT 'FactCount' AS metric, count(*)::DOUBLE AS value FROM facts UNION ALL SELECT 'CriticalIssueCount', count(*) FILTER (fact_type = 'Vulnerability' AND severity = 'Critical') FROM facts UNION ALL SELECT 'CodeSmellCount', count(*) FILTER (fact_type = 'CodeSmell') FROM facts UNION ALL SELECT 'VulnerabilityCount', count(*) FILTER (fact_type = 'Vulnerability') FROM facts"
 for _name, _metric in (("agg_07_fact_count", "FactCount"), ("agg_08_critical_count", "CriticalIssueCount")):
     query(_name, lambda v, m=_metric: quality.metrics(v.facts).where(F.col("metric") == m), f"SELECT * FROM ({_METRICS}) WHERE metric = '{_metric}'", "facts")
@@ -47,7 +46,7 @@ _OPS = ((">", 50), (">=", 50), ("<", 50), ("<=", 50), ("==", 50), ("!=", 50))
 query("agg_16_thresholds", lambda v: v.coverage.agg(F.floor(F.avg("line_coverage")).cast("double").alias("value")).crossJoin(F.broadcast(v.spark.createDataFrame(_OPS, "op string, threshold int"))).select("op", quality.passes(F.col("op"), F.col("value"), F.col("threshold")).alias("passed")), "SELECT op, CASE op WHEN '>' THEN x > 50 WHEN '>=' THEN x >= 50 WHEN '<' THEN x < 50 WHEN '<=' THEN x <= 50 WHEN '==' THEN x = 50 ELSE x <> 50 END AS passed FROM (SELECT floor(avg(line_coverage)) AS x FROM coverage), (VALUES ('>'), ('>='), ('<'), ('<='), ('=='), ('!=')) o(op)", "coverage")
 query("agg_17_findings_gate", lambda v: quality.summary(v.facts).select((F.col("critical") > 5).alias("too_critical"), (F.col("debt_hours") > 100).alias("too_much_debt"), ((F.col("critical") > 5) & (F.col("density") > 1)).alias("both")), "SELECT count(*) FILTER (severity = 'Critical') > 5 AS too_critical, sum(CASE severity WHEN 'Blocker' THEN 8 WHEN 'Critical' THEN 4 WHEN 'Major' THEN 2 WHEN 'Minor' THEN 0.5 ELSE 0 END) > 100 AS too_much_debt, count(*) FILTER (severity = 'Critical') > 5 AND count(*) FILTER (fact_type = 'Vulnerability') * 1000.0 / sum(lines_of_code) > 1 AS both FROM facts", "facts")
 query("agg_18_fail_conditions", lambda v: quality.fail_conditions(v.facts, [("release", "Critical", 10), ("release", "Blocker", 0), ("nightly", "Critical", 100000), ("nightly", "Fatal", 0)]), "SELECT gate, g.severity, count(f.fact_id) AS n, most, count(f.fact_id) > most AS failed FROM (VALUES ('release', 'Critical', 10::BIGINT), ('release', 'Blocker', 0), ('nightly', 'Critical', 100000), ('nightly', 'Fatal', 0)) g(gate, severity, most) LEFT JOIN facts f ON f.severity = g.severity GROUP BY gate, g.severity, most", "facts")
-query("agg_19_summary", lambda v: quality.summary(v.facts), "SELECT count(*) AS total, count(*) FILTER (severity = 'Blocker') AS blocker, " + _COUNTS + ", count(*) FILTER (confidence >= 0.9) AS sure, round(avg(confidence), 6) AS mean_confidence, sum(CASE severity WHEN 'Blocker' THEN 8 WHEN 'Critical' THEN 4 WHEN 'Major' THEN 2 WHEN 'Minor' THEN 0.5 ELSE 0 END)::DOUBLE AS debt_hours, round(count(*) FILTER (fact_type = 'Vulnerability') * 1000.0 / sum(lines_of_code), 6) AS density FROM facts", "facts")
+query("agg_19_summary", lambda v: quality.summary(v.store), "SELECT count(*) AS total, count(*) FILTER (severity = 'Blocker') AS blocker, " + _COUNTS + ", count(*) FILTER (confidence >= 0.9) AS sure, round(avg(confidence), 6) AS mean_confidence, sum(CASE severity WHEN 'Blocker' THEN 8 WHEN 'Critical' THEN 4 WHEN 'Major' THEN 2 WHEN 'Minor' THEN 0.5 ELSE 0 END)::DOUBLE AS debt_hours, round(count(*) FILTER (fact_type = 'Vulnerability') * 1000.0 / sum(lines_of_code), 6) AS density FROM facts", "facts")
 query("agg_20_prometheus", lambda v: quality.prometheus(quality.metrics(v.facts)), f"SELECT 'quality_' || lower(metric) || ' ' || printf('%.2f', value) AS line FROM ({_METRICS})", "facts")
 query("agg_20_html", lambda v: quality.html(quality.metrics(v.facts)), f"SELECT '<tr><td>' || metric || '</td><td>' || printf('%.2f', value) || '</td></tr>' AS row FROM ({_METRICS})", "facts")
 query("agg_20_json", lambda v: quality.as_json(quality.metrics(v.facts)).select(F.get_json_object("json", "$.metric").alias("metric"), F.get_json_object("json", "$.value").cast("double").alias("value")), _METRICS, "facts")
@@ -82,7 +81,7 @@ query("agg_28_status_counts", lambda v: v.baseline_status.groupBy("status").agg(
 _FP = "sha256(concat_ws(chr(1), fact_type, lower(file), start_line::VARCHAR, coalesce(start_column::VARCHAR, chr(0)), lower(trim(message))))"
 _FP_LOOSE = "sha256(concat_ws(chr(1), fact_type, lower(file), start_line::VARCHAR, lower(trim(message))))"
 query("set_04_fingerprints", lambda v: v.facts.select("fact_id", gov.fingerprint().alias("fingerprint")), f"SELECT fact_id, {_FP} AS fingerprint FROM facts", "facts")
-query("set_04_deduplicated", lambda v: gov.deduplicated(v.facts, gov.fingerprint(columns=False), ["extractor", "fact_id"]).select("fingerprint", "fact_id"), f"SELECT fingerprint, fact_id FROM (SELECT {_FP_LOOSE} AS fingerprint, fact_id, row_number() OVER (PARTITION BY {_FP_LOOSE} ORDER BY extractor, fact_id) AS nth FROM facts) WHERE nth = 1", "facts")
+query("set_04_deduplicated", lambda v: gov.deduplicated(v.store, gov.fingerprint(columns=False), ["extractor", "fact_id"], whole=False).select("fingerprint", "fact_id"), f"SELECT fingerprint, fact_id FROM (SELECT {_FP_LOOSE} AS fingerprint, fact_id, row_number() OVER (PARTITION BY {_FP_LOOSE} ORDER BY extractor, fact_id) AS nth FROM facts) WHERE nth = 1", "facts")
 query("win_02_first_by_fingerprint", lambda v: gov.deduplicated(v.facts, F.sha2("message", 256), ["extracted_at", "fact_id"]).select("message", "fact_id"), "SELECT message, fact_id FROM facts QUALIFY row_number() OVER (PARTITION BY message ORDER BY extracted_at, fact_id) = 1", "facts")
 query("agg_29_dedup_statistics", lambda v: gov.dedup_statistics(v.facts, gov.fingerprint(columns=False)), f"SELECT count(*) AS before, count(DISTINCT fp) AS after, count(*) - count(DISTINCT fp) AS removed, round((count(*) - count(DISTINCT fp)) / count(*)::DOUBLE, 6) AS ratio FROM (SELECT {_FP_LOOSE} AS fp FROM facts)", "facts")
 query("agg_30_extractor_totals", lambda v: v.facts.groupBy("extractor").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"), F.max("extracted_at").alias("last_at")), "SELECT extractor, count(*) AS n, count(DISTINCT file) AS files, max(extracted_at) AS last_at FROM facts GROUP BY 1", "facts")
@@ -119,7 +118,6 @@ def _weekly(v: Views) -> DataFrame:
 
 
 query("win_05_change_by_day", _weekly, "SELECT event_type, day, n, round((n - lag(n) OVER w) * 100.0 / lag(n) OVER w, 4) AS change_percent FROM (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY ALL) WINDOW w AS (PARTITION BY event_type ORDER BY day)")
-query("srt_01_by_id", lambda v: v.facts.orderBy("fact_id").limit(50).select("fact_id", "file"), "SELECT fact_id, file FROM facts ORDER BY fact_id LIMIT 50", "facts")
 query("srt_02_by_place", lambda v: v.stored_findings.where("analysis_id = 7").orderBy("line", "col").select("line", "col", "fingerprint"), "SELECT line, col, fingerprint FROM stored_findings WHERE analysis_id = 7 ORDER BY 1, 2", "stored_findings")
 query("src_36_findings_of_analysis", lambda v: v.stored_findings.where("analysis_id = 33").orderBy("line", "col").select("line", "col", "message", "severity"), "SELECT line, col, message, severity FROM stored_findings WHERE analysis_id = 33", "stored_findings")
 query("srt_03_audit_trail", lambda v: v.baseline_status.orderBy(F.desc("updated_at"), "project", "fingerprint").limit(100), "SELECT * FROM baseline_status ORDER BY updated_at DESC, project, fingerprint LIMIT 100", "baseline_status")
@@ -145,43 +143,37 @@ _CHANGED = "SELECT 'doc/' || doc_id AS path, CASE WHEN doc_id % 7 = 0 AND doc_id
 query("set_06_changes", lambda v: gov.changes(*_versions(v)), f"SELECT * FROM ({_CHANGED}) WHERE change IS NOT NULL")
 query("src_37_changed_files", lambda v: gov.changes(*_versions(v)).where("change <> 'Deleted'").select("path"), f"SELECT path FROM ({_CHANGED}) WHERE change IN ('Added', 'Modified')")
 query("str_08_scan_mode", lambda v: gov.scan_mode(gov.changes(*_versions(v)), v.table("documents").count()), f"SELECT n AS n_changed, round(n / total::DOUBLE, 6) AS share, CASE WHEN n / total::DOUBLE > 0.3 OR n > 1000 THEN 'full' ELSE 'incremental' END AS mode FROM (SELECT count(change) AS n, count(*) AS total FROM ({_CHANGED}))")
-query("agg_37_incremental_statistics", lambda v: gov.changes(*_versions(v)).agg(F.count("*").alias("changed")).select("changed", F.round(F.col("changed") * 100.0 / v.table("documents").count(), 4).alias("change_percent")), f"SELECT count(change) AS changed, round(count(change) * 100.0 / count(*), 4) AS change_percent FROM ({_CHANGED})")
-query("set_07_merged_config", lambda v: gov.upsert(v.spark.createDataFrame([("linter", "5m", True), ("coverage", "1m", True)], "name string, timeout string, enabled boolean"), v.spark.createDataFrame([("linter", "30s", False), ("own", "2h", True)], "name string, timeout string, enabled boolean"), ["name"]), "SELECT * FROM (VALUES ('linter', '30s', FALSE), ('coverage', '1m', TRUE), ('own', '2h', TRUE)) c(name, timeout, enabled)")
+query(
+    "agg_37_incremental_statistics", lambda v: gov.changes(*_versions(v)).agg(F.count("*").alias("n")).select(*gov.incremental_statistics(F.col("n"), v.table("documents").count())),
+    f"SELECT n AS changed, round(s * 100, 4) AS change_percent, round(h, 6) AS cache_hit_rate, round(h * (1 - s), 6) AS efficiency FROM (SELECT *, CASE WHEN s > 0.3 OR n > 1000 THEN 0.0 ELSE 1 - s END AS h FROM (SELECT count(change) AS n, count(change) / count(*)::DOUBLE AS s FROM ({_CHANGED})))",
+)
+_EXTRACTOR = "SELECT 'extractor ' || {key} % 3000 AS name, min({ms} % 600 || 's') AS timeout, bool_and({ms} % 2 = 0) AS enabled FROM {table} GROUP BY 1"
+_GLOBAL, _OWN = _EXTRACTOR.format(key="c_custkey", ms="c_nationkey", table="customer"), _EXTRACTOR.format(key="o_custkey * 2", ms="o_orderkey", table="orders")
+query("set_07_merged_config", lambda v: gov.upsert(*[v.spark.sql(t.replace(f"FROM {n}", "FROM {rows}"), rows=v.table(n)) for t, n in ((_GLOBAL, "customer"), (_OWN, "orders"))], ["name"]), f"WITH g AS ({_GLOBAL}), o AS ({_OWN}) SELECT * FROM o UNION ALL SELECT * FROM g WHERE name NOT IN (SELECT name FROM o)")
 
 
-def _updates(v: Views) -> DataFrame:
-    rows = v.stored_findings.where("analysis_id % 50 = 1").select(F.lit(PROJECT).alias("project"), "fingerprint", F.when(F.col("severity") == "Info", "wontfix").otherwise("accepted").alias("status"), F.lit(None).cast("timestamp_ntz").alias("expires_at"), _now().alias("updated_at"), "seq")
-    return rows
-
-
-_NEW = f"n AS (SELECT '{PROJECT}' AS project, fingerprint, arg_max(CASE WHEN severity = 'Info' THEN 'wontfix' ELSE 'accepted' END, seq) AS status, NULL::TIMESTAMP AS expires_at, {_T} AS updated_at FROM stored_findings WHERE analysis_id % 50 = 1 GROUP BY fingerprint)"
-_UPSERT = f"WITH {_NEW} SELECT * FROM n UNION ALL SELECT * FROM baseline_status b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.project = b.project AND n.fingerprint = b.fingerprint)"
-query("mut_01_upsert", lambda v: gov.upsert(v.baseline_status, _updates(v), ["project", "fingerprint"], ["seq"]), _UPSERT, "baseline_status", "stored_findings")
-query("mut_04_bulk_update", lambda v: gov.upsert(v.baseline_status, _updates(v), ["project", "fingerprint"], ["seq"]).groupBy("status").agg(F.count("*").alias("n")), f"SELECT status, count(*) AS n FROM ({_UPSERT}) GROUP BY 1", "baseline_status", "stored_findings")
 _ACTIONS = f"SELECT f.fingerprint, CASE WHEN b.fingerprint IS NULL THEN 'accept' WHEN expires_at < {_T} THEN 'expired' WHEN status <> 'active' THEN 'refresh' ELSE 'none' END AS action FROM (SELECT DISTINCT fingerprint FROM stored_findings) f LEFT JOIN (SELECT * FROM baseline_status WHERE project = '{PROJECT}') b USING (fingerprint)"
 query("mut_02_baseline_actions", lambda v: gov.baseline_actions(v.stored_findings, v.baseline_status, PROJECT, _now()), _ACTIONS, "baseline_status", "stored_findings")
 query("mut_02_action_counts", lambda v: gov.action_counts(gov.baseline_actions(v.stored_findings, v.baseline_status, PROJECT, _now())), f"SELECT count(*) FILTER (action = 'accept') AS accepted, count(*) FILTER (action = 'refresh') AS refreshed, count(*) FILTER (action = 'expired') AS expired FROM ({_ACTIONS})", "baseline_status", "stored_findings")
 
 
-def _restored(v: Views) -> DataFrame:
-    found = v.stored_findings
-    return gov.restored(v.baseline_status, found.where("analysis_id % 50 = 3"), found.where("analysis_id % 50 = 4"), PROJECT, _now())
-
-
-_RESTORED = f"WITH s AS (SELECT DISTINCT fingerprint FROM stored_findings WHERE analysis_id % 50 = 3), t AS (SELECT DISTINCT fingerprint FROM stored_findings WHERE analysis_id % 50 = 4 AND fingerprint NOT IN (SELECT fingerprint FROM s)) SELECT '{PROJECT}' AS project, fingerprint, 'accepted' AS status, NULL::TIMESTAMP AS expires_at, {_T} AS updated_at FROM s UNION ALL SELECT * FROM baseline_status WHERE NOT (project = '{PROJECT}' AND (fingerprint IN (SELECT fingerprint FROM s) OR fingerprint IN (SELECT fingerprint FROM t)))"
-query("mut_03_restore", lambda v: _restored(v).groupBy("project", "status").agg(F.count("*").alias("n")), f"SELECT project, status, count(*) AS n FROM ({_RESTORED}) GROUP BY ALL", "baseline_status", "stored_findings")
-query("set_08_restored", _restored, _RESTORED, "baseline_status", "stored_findings")
+_UPDATES = f"SELECT CASE WHEN line = 7 THEN 'project-4' ELSE '{PROJECT}' END AS project, CASE WHEN line = 6 THEN '' ELSE fingerprint END AS fingerprint, CASE WHEN severity = 'Info' THEN 'unheard' ELSE 'accepted' END AS status FROM stored_findings"
+_ERROR = "CASE WHEN fingerprint = '' THEN 'no fingerprint' WHEN status = 'unheard' THEN 'unknown status' WHEN (project, fingerprint) NOT IN (SELECT (project, fingerprint) FROM baseline_status) THEN 'unknown finding' END"
+query(
+    "mut_04_bulk_errors", lambda v: gov.bulk_updated(v.spark.sql(_UPDATES.replace("FROM stored_findings", "FROM {rows}"), rows=v.stored_findings), v.baseline_status).withColumn("errors", F.sha2(F.array_join("errors", ";"), 256)),
+    f"WITH u AS ({_UPDATES}), e AS (SELECT *, {_ERROR} AS error FROM u) SELECT project, count(*) AS total_processed, count(*) FILTER (error IS NULL) AS success_count, count(error) AS error_count, sha256(string_agg(DISTINCT fingerprint || ': ' || error, ';' ORDER BY fingerprint || ': ' || error)) AS errors FROM e GROUP BY project", "stored_findings", "baseline_status",
+)
 query("mut_05_removed", lambda v: gov.removed(v.baseline_status, v.stored_findings.where("severity = 'Critical'").withColumn("project", F.lit(PROJECT)), ["project", "fingerprint"]), f"SELECT * FROM baseline_status WHERE NOT (project = '{PROJECT}' AND fingerprint IN (SELECT fingerprint FROM stored_findings WHERE severity = 'Critical'))", "baseline_status", "stored_findings")
 query("mut_06_retention", lambda v: gov.retention(v.analyses, lit_time("1998-06-30 00:00:00")).groupBy("decision").agg(F.count("*").alias("n")), "SELECT CASE WHEN age > 365 THEN 'delete' WHEN age > 90 OR q THEN 'archive' ELSE 'keep' END AS decision, count(*) AS n FROM (SELECT date_diff('day', ts::DATE, DATE '1998-06-30') AS age, ts::DATE = date_trunc('quarter', ts)::DATE AS q FROM analyses) GROUP BY 1", "analyses")
 query("mut_07_cache_expiry", lambda v: v.analyses.select("analysis_id", (F.col("ts") + F.make_dt_interval(F.lit(7)) > lit_time("1997-01-01 00:00:00")).alias("live")).groupBy("live").agg(F.count("*").alias("n")), "SELECT ts + INTERVAL 7 DAY > TIMESTAMP '1997-01-01' AS live, count(*) AS n FROM analyses GROUP BY 1", "analyses")
 query("agg_38_cache_statistics", lambda v: v.analyses.agg(F.count("*").alias("entries"), F.count_if(F.col("ts") + F.make_dt_interval(F.lit(7)) <= lit_time("1997-01-01 00:00:00")).alias("expired"), F.round(F.avg((F.col("duration_ms") < 200).cast("double")), 6).alias("hit_rate")), "SELECT count(*) AS entries, count(*) FILTER (ts + INTERVAL 7 DAY <= TIMESTAMP '1997-01-01') AS expired, round(avg((duration_ms < 200)::INT), 6) AS hit_rate FROM analyses", "analyses")
-query("mut_08_migrated", lambda v: v.facts.select("fact_id", F.lit("3.2.0").alias("version")).select("fact_id", F.when(F.col("version").startswith("3.2"), "3.3.0").otherwise(F.raise_error(F.lit("unknown version")).cast("string")).alias("version")), "SELECT fact_id, '3.3.0' AS version FROM facts", "facts")
+_VERSION = "CASE WHEN start_line = 1 THEN '3.2.0' WHEN start_line = 2 THEN '3.2.7' ELSE '3.3.0' END"
+query("mut_08_migrated", lambda v: v.facts.select("fact_id", F.expr(_VERSION).alias("version")).select("fact_id", gov.migrated("version").alias("version")), "SELECT fact_id, '3.3.0' AS version FROM facts", "facts")
 
 # Functions.
 query("fn_01_text_conditions", lambda v: v.facts.select("fact_id", F.col("message").contains("1").alias("has"), F.col("file").rlike("[02468]$").alias("even")), "SELECT fact_id, contains(message, '1') AS has, regexp_matches(file, '[02468]$') AS even FROM facts", "facts")
 query("fn_02_allowed_functions", lambda v: v.facts.agg(F.count_if(F.col("file").startswith("order/1")).alias("starts"), F.count_if(F.col("file").endswith("9")).alias("ends"), F.count("severity").alias("present")), "SELECT count(*) FILTER (starts_with(file, 'order/1')) AS starts, count(*) FILTER (ends_with(file, '9')) AS ends, count(severity) AS present FROM facts", "facts")
 query("fn_03_lengths", lambda v: v.facts.where((F.length("file") > 9) & (F.length("message") < 13)).select("fact_id"), "SELECT fact_id FROM facts WHERE length(file) > 9 AND length(message) < 13", "facts")
-query("fn_04_normalized", lambda v: v.table("documents").select("doc_id", F.sha2(tx.normalized(F.concat(F.lit(" \t"), F.substring("text", 1, 40), F.lit("\n "))), 256).alias("h")).where(F.col("doc_id") % 2 == 0).agg(F.count_distinct("h").alias("n")), "SELECT count(DISTINCT regexp_replace(lower(' ' || chr(9) || substr(text, 1, 40) || chr(10) || ' '), '^\\s+|\\s+$', '', 'g')) AS n FROM documents WHERE doc_id % 2 = 0")
 query("fn_06_metavariables", lambda v: v.facts.select("fact_id", F.array_join(tx.metavariables(F.concat(F.lit("call($"), "var", F.lit(", $other)"))), ",").alias("names")), "SELECT fact_id, var || ',other' AS names FROM facts", "facts")
 query("fn_07_relative_path", lambda v: v.facts.select("fact_id", tx.relative(F.concat(F.lit("/work/app/"), "file"), "/work/app").alias("path")), "SELECT fact_id, file AS path FROM facts", "facts")
 query("fn_08_identifiers", lambda v: v.facts.select("fact_id", tx.cwe(F.col("cwe_id")).alias("cwe"), tx.cve(F.concat(F.lit("CVE-2024-"), F.col("start_line").cast("string"))).alias("cve")), "SELECT fact_id, substr(cwe_id, 5)::INT AS cwe, 'CVE-2024-' || lpad(start_line::VARCHAR, 7, '0') AS cve FROM facts", "facts")

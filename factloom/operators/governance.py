@@ -11,6 +11,8 @@ from factloom.functions.text import normalized
 RETENTION_DAYS, ARCHIVE_DAYS = 365, 90
 #: A change of more than this share, or more than this many files, asks for a full analysis. Fixed values.
 FULL_SHARE, FULL_FILES = 0.30, 1000
+#: Statuses that a finding can be given. Fixed values.
+STATUSES = ("accepted", "wontfix", "false_positive", "active")
 
 
 def fingerprint(columns: bool = True, paths: bool = True, messages: bool = True, payload: Column | None = None) -> Column:
@@ -22,11 +24,33 @@ def fingerprint(columns: bool = True, paths: bool = True, messages: bool = True,
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(p, F.lit("\u0000")) for p in parts]), 256)
 
 
-def deduplicated(facts: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first fact of each fingerprint, in an explicit order; min_by combines before the shuffle."""
-    keyed = facts.withColumn("fingerprint", key)
-    first = keyed.groupBy("fingerprint").agg(F.min_by(F.struct(*facts.columns), F.struct(*order)).alias("row"))
-    return first.select("fingerprint", "row.*")
+def deduplicated(facts: DataFrame, key: Column, order: list[str], whole: bool = True) -> DataFrame:
+    """The first fact of each fingerprint, in an explicit order that tells all facts apart (its last column alone does). The least of the
+    order's columns is found first, from these columns alone; whole rows are joined to it if they are asked for."""
+    first = facts.groupBy(key.alias("fingerprint")).agg(F.min(F.struct(*order)).alias("row")).select("fingerprint", "row.*")
+    rest = [c for c in facts.columns if c not in order]
+    if not whole or not rest:
+        return first
+    return first.join(facts.select(order[-1], *rest), order[-1]).select("fingerprint", *facts.columns)
+
+
+def bulk_updated(updates: DataFrame, known: DataFrame) -> DataFrame:
+    """project, total_processed, success_count, error_count, errors (sorted) of a batch of status updates, item by item: an update fails
+    without a fingerprint, with an unknown status, or for a finding that is not known (a row a project and fingerprint)."""
+    marked = known.select("project", "fingerprint", F.lit(True).alias("is_known")).distinct()
+    rows = updates.join(marked, ["project", "fingerprint"], "left")
+    error = F.when(F.coalesce("fingerprint", F.lit("")) == "", "no fingerprint").when(~F.coalesce("status", F.lit("")).isin(*STATUSES), "unknown status").when(F.col("is_known").isNull(), "unknown finding")
+    told = F.when(error.isNotNull(), F.concat(F.coalesce("fingerprint", F.lit("")), F.lit(": "), error))
+    return rows.groupBy("project").agg(F.count("*").alias("total_processed"), F.count_if(error.isNull()).alias("success_count"), F.count_if(error.isNotNull()).alias("error_count"), F.sort_array(F.collect_set(told)).alias("errors"))
+
+
+def incremental_statistics(changed: int | Column, total: int | Column) -> list[Column]:
+    """changed, change_percent, cache_hit_rate and efficiency (0 to 1; 0 for a full run) of files changed among all."""
+    changed, total = (x if isinstance(x, Column) else F.lit(x) for x in (changed, total))
+    share = F.when(total > 0, changed / total).otherwise(0.0)
+    full = (share > FULL_SHARE) | (changed > FULL_FILES)
+    hits = F.when(full, 0.0).otherwise(1 - share)
+    return [changed.alias("changed"), F.round(share * 100, 4).alias("change_percent"), F.round(hits, 6).alias("cache_hit_rate"), F.round(F.when(full, 0.0).otherwise(hits * (1 - share)), 6).alias("efficiency")]
 
 
 def dedup_statistics(facts: DataFrame, key: Column) -> DataFrame:
@@ -180,3 +204,9 @@ def publish_violations() -> Column:
     """Messages about an analysis row that may not be published."""
     rules = [(F.length("project") == 0, "project is empty"), (F.length("branch") == 0, "branch is empty"), (F.length("commit_id") == 0, "commit is empty"), (F.length("project") > 100, "project is too long"), (F.length("branch") > 100, "branch is too long"), (F.col("findings") > 100_000, "too many findings")]
     return F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules]))
+
+
+def migrated(version: Column | str) -> Column:
+    """The version after migration: 3.2.x becomes 3.3.0, 3.3.x stays; any other is an error."""
+    v = F.col(version) if isinstance(version, str) else version
+    return F.when(v.startswith("3.2."), "3.3.0").when(v.startswith("3.3."), v).otherwise(F.raise_error(F.concat(F.lit("unknown schema version "), F.coalesce(v, F.lit("none")))).cast("string"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,37 +13,42 @@ from factloom.checkpoints import cut
 STRENGTHS = ("VeryLow", "Low", "Medium", "High", "VeryHigh")
 
 
+#: Steps of a search after which its tables are made one.
+TOGETHER = 16
+
+
 def distances(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """node, depth: nodes reachable from the start nodes and the least number of steps. One join a step, until nothing is new."""
-    seen = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
+    """node, depth, parent (the least node a step before; null at the start): nodes reachable from the start nodes and the least number
+    of steps. One join a step, until nothing is new. A step writes what is new alone; tables are made one every TOGETHER steps."""
+    frontier = cut(start.select("node").distinct().withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast(start.schema["node"].dataType)))
+    steps, depth = [frontier], 0
     while True:
         depth += 1
-        near = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(near.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = reduce(DataFrame.union, steps)
+        near = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(frontier["node"]).alias("parent"))
+        frontier = cut(near.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.union(frontier))
+        steps = [cut(seen.union(frontier))] if depth % TOGETHER == 0 else [*steps, frontier]
+
+
+def _known(edges: DataFrame, node) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).where(F.col("node") == node).distinct()
 
 
 def reachable(edges: DataFrame, node) -> DataFrame:
-    """Nodes reachable from a node, itself included; empty for an unknown one."""
-    known = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where(F.col("node") == node).distinct()
-    return distances(edges, known)
+    """Nodes reachable from a node, itself included, and their depth; empty for an unknown one."""
+    return distances(edges, _known(edges, node)).select("node", "depth")
 
 
 def shortest_path(edges: DataFrame, a, b) -> DataFrame:
     """step, node of one shortest path; of several the one with the smallest nodes from the end back. Empty without a path."""
     spark = edges.sparkSession
-    far = cut(reachable(edges, a))
-    end = far.where(F.col("node") == b).first()
-    if end is None:
-        return spark.createDataFrame([], "step int, node long")
-    steps, node = [(end.depth, b)], b
-    for depth in range(end.depth - 1, -1, -1):
-        before = far.where(F.col("depth") == depth).join(edges.where(F.col("dst") == node).select(F.col("src").alias("node")), "node")
-        node = before.agg(F.min("node")).first()[0]
-        steps.append((depth, node))
+    far = cut(distances(edges, _known(edges, a)))
+    steps, node = [], b
+    while node is not None and (row := far.where(F.col("node") == node).first()) is not None:  # a look-up a step, no join
+        steps.append((row.depth, node))
+        node = row.parent
     return spark.createDataFrame(sorted(steps), "step int, node long")
 
 
@@ -96,3 +103,22 @@ def strength(kind: Column, entities: Column, frequency: Column) -> Column:
     base = F.when(entities <= 1, 1).when(entities <= 3, 2).when(entities <= 6, 3).when(entities <= 10, 4).otherwise(5)
     by_kind = F.when(kind.isin("Algorithm", "Meaning") & base.isin(2, 3), base + 1).when(kind.isin("Name", "Position"), F.least(base, F.lit(4))).otherwise(base)
     return F.when((frequency > 10) & by_kind.between(2, 4), by_kind + 1).otherwise(by_kind)
+
+
+#: Parameters of one type from which a function counts as bound to their order. Fixed value.
+LEAST_PARAMETERS = 3
+
+
+def signatures(members: DataFrame) -> DataFrame:
+    """entity, signature (the types of its members in their order) of entities with LEAST_PARAMETERS members or more. members: entity, place, type."""
+    ordered = F.sort_array(F.collect_list(F.struct("place", "type")))
+    rows = members.groupBy("entity").agg(ordered.alias("m")).where(F.size("m") >= LEAST_PARAMETERS)
+    return rows.select("entity", F.array_join(F.transform("m", lambda x: x["type"]), ",").alias("signature"))
+
+
+def all_connascence(entities: DataFrame, members: DataFrame) -> DataFrame:
+    """Connascence of the five kinds. entities: entity, var, type, literal; members: entity, place, type, step (what is done there)."""
+    parts = [connascence(entities, "var", "Name"), connascence(entities, "type", "Type"), connascence(entities, "literal", "Meaning")]
+    parts.append(connascence(signatures(members), "signature", "Position"))
+    parts.append(connascence(signatures(members.select("entity", "place", F.col("step").alias("type"))), "signature", "Algorithm"))
+    return reduce(DataFrame.union, parts)

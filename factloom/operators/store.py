@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.checkpoints import cut
+
 #: Average bytes that the statistics assume for a fact. Fixed value.
 FACT_BYTES = 64
 
@@ -62,11 +64,21 @@ def duplicate_ids(facts: DataFrame) -> DataFrame:
 
 
 def interned(facts: DataFrame, column: str) -> DataFrame:
-    """The distinct values of a column with dense ids by value; a range sort numbers them, not one window over all rows."""
+    """The distinct values of a column with dense ids from 0 by value. A range sort orders them; each range counts its own, and the
+    counts of the ranges, a row a task, are summed up: no window runs over all values."""
     values = facts.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return values.withColumn("id", F.xxhash64("value"))
+    ranged = values.repartitionByRange("value").sortWithinPartitions("value")
+    placed = cut(ranged.select("value", F.spark_partition_id().alias("range"), (F.monotonically_increasing_id() % (1 << 33)).alias("nth")))
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(counts.select("range", before.alias("before")), "range").select("value", (F.col("before") + F.col("nth")).alias("id"))
+
+
+def written_by_type(facts: DataFrame, path: str, buckets: int = 32) -> None:
+    """The store's layout: a directory a type, in it files of a bucket of paths each, sorted by place so that row groups can be skipped."""
+    facts.repartition("fact_type", F.pmod(F.xxhash64("file"), F.lit(buckets))).sortWithinPartitions("fact_type", "file", "start_line").write.partitionBy("fact_type").parquet(path)
 
 
-def written_by_type(facts: DataFrame, path: str) -> None:
-    """The store's layout: a directory a type, sorted by place within files so that row groups can be skipped."""
-    facts.repartition("fact_type", F.pmod(F.xxhash64("file"), F.lit(32))).sortWithinPartitions("fact_type", "file", "start_line").write.partitionBy("fact_type").parquet(path)
+def opened(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The store at a path, with the columns of schema in their order."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())

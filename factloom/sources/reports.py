@@ -15,8 +15,10 @@ REPORT = """version STRING, runs ARRAY<STRUCT<tool: STRUCT<driver: STRUCT<name:
 LINTER = "filename STRING, code STRING, message STRING, severity STRING, line INT, column INT, endLine INT, endColumn INT"
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report files under a path; the schema is given, so nothing is read twice to infer it."""
+def read_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Report files under a path, or files with a report a line; the schema is given, so nothing is read twice to infer it."""
+    if lines:
+        return spark.read.schema(REPORT).json(path)
     return spark.read.schema(REPORT).option("multiLine", True).option("pathGlobFilter", "*{.sarif,sarif*.json}").json(path)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import re
 import tomllib
-from pathlib import Path
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,11 +66,18 @@ def read_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
         inner = F.coalesce("facts", "findings")
         own = F.array(F.struct(*[F.col(c.split()[0]) for c in schema.split(", ")]))
         return wrapped.select(F.inline(F.when(inner.isNotNull(), inner).otherwise(own)))
-    import yaml
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    held = yaml.safe_load(Path(path).read_text())
-    rows = held if isinstance(held, list) else held.get("facts", held.get("findings", []))
-    return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in rows], schema)
+    def parsed(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for batch in files:
+            for content in batch["content"]:
+                held = yaml.safe_load(content)
+                rows = held if isinstance(held, list) else (held or {}).get("facts", (held or {}).get("findings", []))
+                yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, schema)
 
 
 def _struct(schema: str) -> str:
@@ -121,3 +129,17 @@ def translate_rule(rule: dict) -> dict:
     patterns = [rule["pattern"]] if "pattern" in rule else [p["pattern"] for p in rule.get("patterns", []) if "pattern" in p]
     names = {"ERROR": "error", "WARNING": "warning", "INFO": "info"}
     return {"id": rule["id"], "language": rule.get("languages", ["generic"])[0], "languages": rule.get("languages", []), "pattern": patterns[0] if patterns else "", "patterns": patterns, "severity": names.get(rule.get("severity", "INFO"), "info"), "message": rule.get("message", "")}
+
+
+#: The widespread rule format, as far as it is translated.
+FOREIGN = "id STRING, pattern STRING, patterns ARRAY<STRUCT<pattern: STRING>>, severity STRING, languages ARRAY<STRING>, message STRING"
+
+
+def translated(df: DataFrame, column: str) -> DataFrame:
+    """id, language, languages, pattern, patterns, severity, message of rules of the widespread format, held as JSON texts in a column."""
+    r = df.select(F.from_json(column, FOREIGN).alias("r")).select("r.*")
+    several = F.transform(F.coalesce("patterns", F.array()), lambda p: p["pattern"])
+    patterns = F.when(F.col("pattern").isNotNull(), F.array("pattern")).otherwise(F.array_compact(several))
+    severity = F.when(F.col("severity").isin("ERROR", "WARNING", "INFO"), F.lower("severity")).otherwise("info")
+    first = F.coalesce(F.get(patterns, F.lit(0)), F.lit(""))
+    return r.select("id", F.coalesce(F.get("languages", F.lit(0)), F.lit("generic")).alias("language"), "languages", first.alias("pattern"), patterns.alias("patterns"), severity.alias("severity"), F.coalesce("message", F.lit("")).alias("message"))

@@ -5,7 +5,8 @@ from factloom.functions import text as tx
 from factloom.functions.dynamic import Registry, value_type
 from factloom.operators import governance as gov
 from factloom.operators import graph, quality, rules, store
-from factloom.plans import dsl
+from factloom.plans import rulebook
+from factloom.plans.rulebook import Rule
 from factloom.streaming import daily_counts, publish, rate_limited, read_events
 
 FACTS = "fact_id string, fact_type string, file string, start_line int, end_line int, severity string, confidence double, message string"
@@ -92,22 +93,100 @@ def test_unsanitized(spark):
     assert [tuple(r) for r in graph.unsanitized(flows).collect()] == [("f1", "run", "n1")]
 
 
-def test_rule_language(spark):
-    (rule,) = dsl.parse('rule "a b" { severity: High message: "{fact.type} {fact.confidence}" match { v: Vulnerability; u: UncoveredLine } on file, start_line where v.confidence >= 0.9 and v.severity == "Critical" or false }')
-    assert (rule.name, [p.kind for p in rule.patterns], rule.on) == ("a b", ["Vulnerability", "UncoveredLine"], ["file", "start_line"])
-    (row,) = dsl.compile_rule(rule, few(spark)).collect()
-    assert (row.message, row.severity, row.fact_ids) == ("Vulnerability 0.90", "Major", ["v1"])
-    with pytest.raises(dsl.RuleError, match="expected"):
-        dsl.parse("rule x { match { a: Function ")
-    with pytest.raises(dsl.RuleError, match="share no variable"):
-        dsl.compile_rule(dsl.parse("rule x { match { a: Function; b: Variable } }")[0], few(spark))
-    (one,) = dsl.parse("rule n { match { f: CodeSmell } where not (start_line > 5) and missing }")
+def scans(df, capsys):
+    df.explain("formatted")
+    return capsys.readouterr().out.count("Scan parquet") // 2  # in the tree, and in the details
+
+
+def test_rules_as_rows(spark):
+    rule = Rule("a b", "Vulnerability", "confidence >= 0.9 and severity = 'Critical'", (("UncoveredLine", "true"),), ("file", "start_line"), "High", "{fact.type} {fact.confidence}")
+    twin = Rule("two", "Vulnerability", "true", (("UncoveredLine", "message = 'x'"), ("CodeSmell", "true")), ("file",), "Low")
+    (row,) = rulebook.evaluate([rule, twin], few(spark)).collect()
+    assert (row.rule_name, row.message, row.severity, row.fact_ids) == ("a b", "Vulnerability 0.90", "Major", ["v1"])
+    double = few(spark).union(few(spark).where("fact_id = 'u1'"))
+    assert rulebook.evaluate([rule], double).count() == 1  # other patterns must hold, however often
+    held = rulebook.table(spark, [rule, twin])
+    assert {r.name: r for r in rulebook.rules_of(held)} == {"a b": rule, "two": twin}
+    with pytest.raises(ValueError, match="share no variable"):
+        rulebook.evaluate([Rule("x", "Function", others=(("Variable", "true"),))], few(spark))
+    with pytest.raises(ValueError, match="between 1 and"):
+        rulebook.rules_of(held.limit(0))
     with pytest.raises(Exception, match="missing"):
-        dsl.compile_rule(one, few(spark)).collect()
+        rulebook.evaluate([Rule("n", "CodeSmell", "not (start_line > 5) and missing")], few(spark)).collect()
     with pytest.raises(ValueError, match="unknown field"):
         tx.template("{nothing}")
 
 
+def test_rule_problems(spark):
+    bad = [
+        Rule("", "Vulnerability"), Rule("n" * 101, "Vulnerability"), Rule("a/b", "Nothing", severity="Odd"), Rule("t", "Function", others=(("Variable", "true"),)),
+        Rule("f", "Function", "foo(file) = 1 and contains(file, 'bar(')"), Rule("s", "Function", "file = '" + "x" * 1001 + "'"), Rule("m", "Function", "file = '{{x}}' or file = '$(rm)'"),
+        Rule("d", "Function", "1 = 1; drop"), Rule("same", "Function"), Rule("same", "Function"), Rule("ok", "Function", "file in ('a', 'b') and length(file) > 1"), Rule("g", "Function", "coalesce(" + "1, " * 11 + "1) = 1"),
+    ]
+    found = [(r.name[:4], r.problems) for r in rulebook.checked(rulebook.table(spark, bad)).collect()]
+    assert sorted(found) == sorted([
+        ("", ["the name is empty"]), ("nnnn", ["the name is too long"]), ("a/b", ["the name has a path in it", "unknown severity Odd", "unknown fact type Nothing"]), ("t", ["several patterns share no variable"]),
+        ("f", ["unknown function foo"]), ("s", ["a text is too long"]), ("m", ["a text has a template in it", "a text has a command in it"]), ("d", ["a condition has a statement in it"]),
+        ("same", ["the name is used twice"]), ("same", ["the name is used twice"]), ("ok", []), ("g", ["a function has too many arguments"]),
+    ])
+
+
+def test_scans_do_not_follow_the_number_of_rules(spark, tmp_path, capsys):
+    store.written_by_type(few(spark), str(tmp_path / "facts"))
+    df = store.opened(spark, str(tmp_path / "facts"), few(spark).schema)
+    many = [Rule(f"r{k}", "CodeSmell", f"start_line = {k}") for k in range(100)]
+    paired = [Rule(f"p{k}", "Vulnerability", f"start_line > {k}", (("UncoveredLine", "true"),), ("file",)) for k in range(50)]
+    assert scans(rulebook.evaluate(many, df), capsys) == 1
+    assert scans(rulebook.evaluate(many + paired, df), capsys) == scans(rulebook.evaluate(many[:1] + paired[:1], df), capsys)
+    counts = {r.rule_name: r for r in rulebook.results(many + paired, df, 1).collect()}
+    assert (counts["r1"].n_findings, counts["r2"].n_findings, counts["p0"].n_findings, counts["p0"].failed, counts["p20"].n_findings) == (1, 0, 0, True, 1)
+
+
+def test_catalogue(spark):
+    rows = rulebook.catalogue(spark)
+    assert rows.count() == 10 and [r.id for r in rulebook.catalogue(spark, category="A03-Injection").collect()] == ["OWASP-A03-001"]
+    assert rulebook.catalogue(spark, severity="critical").count() == 5 and rulebook.catalogue(spark, category="none").count() == 0
+    found = spark.createDataFrame([("a", "CWE-89"), ("b", "CWE-862"), ("c", "CWE-1"), ("d", None), ("e", "CWE-x")], "fact_id string, cwe_id string")
+    assert {(r.fact_id, r.rule_id) for r in rulebook.catalogued(found, rows).collect()} == {("a", "OWASP-A03-001"), ("b", "OWASP-A01-001")}
+
+
+def test_store_is_pruned_by_type_and_place(spark, tmp_path, capsys):
+    store.written_by_type(few(spark), str(tmp_path / "facts"))
+    df = store.opened(spark, str(tmp_path / "facts"), few(spark).schema)
+    assert df.exceptAll(few(spark)).count() == 0 and df.columns == few(spark).columns
+    store.by_location(store.by_type(df, "Vulnerability"), "a.rs", 1, 99).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(fact_type" in plan and "EqualTo(file,a.rs)" in plan and "LessThanOrEqual(start_line,99)" in plan
+
+
+def test_interned_ids_are_dense(spark):
+    df = spark.createDataFrame([(w,) for w in ["b", "a", "c", None, "a", "d", "b"]], "word string")
+    assert {(r.value, r.id) for r in store.interned(df, "word").collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+
+
+def test_first_of_each_fingerprint(spark):
+    df = few(spark).withColumn("start_column", F.lit(1))
+    rows = gov.deduplicated(df, F.col("file"), ["start_line", "fact_id"]).collect()
+    assert {(r.fingerprint, r.fact_id, r.message) for r in rows} == {("a.rs", "u1", "x"), ("b.rs", "s1", "y")}
+    narrow = gov.deduplicated(df, F.col("file"), ["start_line", "fact_id"], whole=False)
+    assert {(r.fingerprint, r.fact_id) for r in narrow.collect()} == {("a.rs", "u1"), ("b.rs", "s1")}
+
+
+def test_bulk_update_errors(spark):
+    updates = spark.createDataFrame([("p", "f1", "accepted"), ("p", "", "accepted"), ("p", None, "active"), ("p", "f1", "odd"), ("p", "f9", "wontfix"), ("q", "f1", "accepted")], "project string, fingerprint string, status string")
+    known = spark.createDataFrame([("p", "f1"), ("p", "f1")], "project string, fingerprint string")
+    rows = {r.project: tuple(r)[1:] for r in gov.bulk_updated(updates, known).collect()}
+    assert rows == {"p": (5, 1, 4, [": no fingerprint", "f1: unknown status", "f9: unknown finding"]), "q": (1, 0, 1, ["f1: unknown finding"])}
+
+
+def test_long_chain_of_steps(spark):
+    ends = [(k, k + 1) for k in range(20)] + [(0, 2), (0, 3)]
+    edges = spark.createDataFrame(ends, "src long, dst long").cache()
+    assert {r.node: r.depth for r in graph.reachable(edges, 0).collect()} == {0: 0, 1: 1, 2: 1, 3: 1} | {k: k - 2 for k in range(4, 21)}
+    assert [r.node for r in graph.shortest_path(edges, 0, 5).orderBy("step").collect()] == [0, 3, 4, 5]
+    assert graph.shortest_path(edges, 5, 0).count() == 0 and graph.reachable(edges, 99).count() == 0
+
+
 def test_caps(spark):
     found = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "rule_name string, x int")
     assert {r.rule_name for r in rules.capped(found, 1).collect()} == {"b"}
