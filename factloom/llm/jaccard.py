@@ -10,7 +10,8 @@
    packed hashes. With prefixes longer by n / 20, two similar sets share at least min(n) / 20 + 1 of those shingles, so a document
    that shares fewer with all others together, as one with a common passage does, is in no group.
 4. In a group a T-occurrence search (DivideSkip) finds the partners: the long inverted lists are set aside, the short ones are
-   merged, what occurs often enough there is binary-probed in the long ones, and the exact overlap decides.
+   merged (by a stable sort, which merges the sorted runs that it finds), what occurs often enough there is binary-probed in the long
+   ones, and the exact overlap decides.
 5. A group of more than BLOCK documents is split into blocks, each with the same few pivots. What is not in the group's largest
    component afterwards is searched in every block; two documents of one component need no comparison. What asks is split into
    blocks as well, and a task holds one of these and one block. So no link between components is lost, and no task holds a whole
@@ -332,9 +333,10 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     sets = written(full_sets(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (text_mark() == F.col("w_mark")), "left_semi")), "sets")
-    # Large groups alone are named, so that small tables of them can be broadcast and no group's rows move by their centre.
-    size = pairs.groupBy("center").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
-    sized = pairs.join(size, "center", "left")
+    # Large groups alone are named. Tables with a row each are broadcast once they are counted, so no group's rows move by their centre.
+    size = written(pairs.groupBy("center").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK), "sizes")
+    small = F.broadcast if size.count() <= BROADCAST_IDS else lambda table: table
+    sized = pairs.join(small(size), "center", "left")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     members = sized.select("center", "doc", "m", F.when(F.col("m") > BLOCK, F.pmod(F.xxhash64("doc"), blocks).cast("int")).otherwise(-1).alias("block"), F.lit(True).alias("asks"))
     hot = members.where(F.col("block") >= 0)
@@ -348,11 +350,11 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     at = components(links).withColumnRenamed("node", "doc")
     placed = hot.join(at, "doc", "left").select("center", "block", "doc", "m", F.coalesce("component", "doc").alias("component"))
     largest = placed.groupBy("center", "component").count().groupBy("center").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rest = placed.join(largest, "center").where(F.col("component") != F.col("main"))
+    rest = placed.join(small(largest), "center").where(F.col("component") != F.col("main"))
     n_asking = rest.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_asking"))
-    rest = rest.join(n_asking, "center").withColumn("asking", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("n_asking")).cast("int"))
+    rest = rest.join(small(n_asking), "center").withColumn("asking", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("n_asking")).cast("int"))
     asking = rest.select("center", "asking", "doc", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)).alias("block")).withColumn("asks", F.lit(True))
-    held = placed.join(n_asking, "center").select("center", F.explode(F.sequence(F.lit(0), F.col("n_asking") - 1)).alias("asking"), "doc", "block").withColumn("asks", F.lit(False))
+    held = placed.join(small(n_asking), "center").select("center", F.explode(F.sequence(F.lit(0), F.col("n_asking") - 1)).alias("asking"), "doc", "block").withColumn("asks", F.lit(False))
     again = asking.unionByName(held).groupBy("center", "asking", "block", "doc").agg(F.max("asks").alias("asks"))
     return written(links.union(_searched(again, sets, True)), "links")
 

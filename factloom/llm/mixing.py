@@ -26,7 +26,7 @@ from factloom.llm.shared import whole_row, written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Documents of the table for each range of keys; a range of one source is a window of its own.
-RANGE_DOCS = 2000
+RANGE_DOCS = 250
 #: Weight of a document by its quality label: 0, 1, none.
 LOW, HIGH, NONE = 0.5, 1.5, 1.0
 

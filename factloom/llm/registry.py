@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm.shared import table, work_path
+from factloom.checkpoints import shared_path
+from factloom.llm.shared import table
 
 
 def vocabulary(name: str) -> str:
@@ -24,7 +25,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.token_files import read_tokens, write_tokens
 
-    path = work_path(spark, "tokens")
+    path = shared_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
     return read_tokens(spark, path)
 
