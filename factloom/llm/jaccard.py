@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.blobs import DEALT, REPLY, Parts, answers, key_rows, packed, shared_keys, unpacked
 from factloom.llm.components import components
-from factloom.llm.shared import slices, text_bytes, whole_row, written
+from factloom.llm.shared import salted_join, slices, text_bytes, whole_row, written
 from factloom.llm.words import mixed, shingle_sets
 
 #: Counters of the frequency sketch, over all documents at every size, and the parts that it is summed in.
@@ -317,15 +317,15 @@ def _grouped(docs: DataFrame, by_id: bool) -> DataFrame:
         least = named.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where(F.col("b") < F.col("last")).drop("last")
         links = links.union(named.join(least, "doc_id").where(F.col("doc") != F.col("b")).select(F.col("doc").alias("a"), "b"))
     groups = components(links).withColumnRenamed("node", "doc")
-    return rows.join(groups, "doc", "left").select("doc_id", "mark", "n", F.coalesce("component", "doc").alias("component"))
+    return salted_join(rows, groups, "doc").select("doc_id", "mark", "n", F.coalesce("component", "doc").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     rows = written(_grouped(docs, True), "rows")
-    named = rows.where(F.col("n") > 0).groupBy("component").agg(F.min("doc_id").alias("least"))
-    own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("least"))
-    return rows.join(named, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    named = rows.where(F.col("n") > 0).groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where(F.col("size") > 1).drop("size")
+    own = F.when((F.col("n") == 0) | F.col("least").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("least"))
+    return salted_join(rows, named, "component").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """rows left-joined with table (a row a key) in `salts` tasks a key, for keys that very many rows share."""
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(spread, [key, "salt"], "left").drop("salt")
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of df as one struct `row`, so that helper columns beside it clash with none of their names."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
