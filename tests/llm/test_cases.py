@@ -10,6 +10,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_operators import BELL, FOX, collected, documents, plain_groups, plain_removal
 
 WORDS = "one two three four five six seven eight nine ten".split()
@@ -158,7 +159,7 @@ def test_combined_views_equal_a_plain_version(spark):
 
     table = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
     model = train(table("documents"), table("labels"))
-    df = documents(spark).union(documents(spark).limit(2)).withColumn("n_chars", documents(spark).n_chars * 900)
+    df = documents(spark).union(documents(spark).limit(2)).withColumn("n_chars", F.col("n_chars") * 900)
     rows = score(df, model).collect()
     assert len(rows) == 16
     inputs = {r.doc_id: r for r in df.collect()}
@@ -342,7 +343,7 @@ def test_rare_languages_are_learned_and_ties_go_to_the_first(spark, monkeypatch)
     learned = m.train(df)
     assert {r[0] for r in learned} == {"aa", "zz"}
     assert sum(r[3] for r in learned if r[:3] == ("aa", "w", "plain")) < 100
-    tie = m.train(spark.createDataFrame([(4, "same", "b"), (5, "same", "a")], df.schema))
+    tie = m.train(spark.createDataFrame([(None, "same", "b"), (None, "same", "a")], df.schema))
     assert collected(m.predict(spark.createDataFrame([(1, "same")], "doc_id long, text string"), tie))[1].lang_pred == "a"
 
 
