@@ -10,22 +10,22 @@ import numpy as np
 
 from factloom.llm.words import span_hashes
 
-#: Chunks in each of the two generations that a worker remembers: a full one becomes the old one, and what is still used moves on.
-MEMO_CHUNKS = 450_000
-
 _open: dict[str, ChunkMemo] = {}
 
 
 class ChunkMemo:
     """Neither vocabulary joins text across a space that follows a non-space, so chunks encode on their own."""
 
+    #: Chunks in each of the two generations that a worker remembers: a full one becomes the old one, and what is still used moves on.
+    REMEMBERED = 180_000
+
     def __init__(self) -> None:
         self.known: dict = {}
         self.old: dict = {}
 
     def values(self, chunks: list) -> list:
         """What encode() gives for each chunk."""
-        if len(self.known) > MEMO_CHUNKS:
+        if len(self.known) > self.REMEMBERED:
             self.known, self.old = {}, self.known
         out = list(map(self.known.get, chunks))
         if None in out:
@@ -48,6 +48,7 @@ class PieceCounts(ChunkMemo):
     its characters, the space before it included.
     """
 
+    REMEMBERED = 450_000
     #: Longer chunks are counted by the dynamic program below, in time that follows their length.
     SHORT = 24
 
@@ -102,7 +103,7 @@ class PieceCounts(ChunkMemo):
                     break
             counts.append(counts[end - size] + (1 if token in self.score else len(token.encode())))
             last.append(token)
-        if len(self.pairs) > MEMO_CHUNKS:
+        if len(self.pairs) > self.REMEMBERED:
             self.pairs.clear()
         return counts[1:]
 

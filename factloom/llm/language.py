@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import slices
+from factloom.llm.shared import slices, written
 
 LANG_DOCS, WORDS, GRAMS, ENTRIES, LONGEST = 2500, 20_000, 20_000, 800_000, 4
 #: Words whose evidence counts in full for the score: it is a probability, not a count of words.
 EVIDENCE = 20
 MEMO = 400_000
+#: Languages whose shares are broadcast, once counted; more are joined by a shuffle.
+BROADCAST_LANGS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -114,10 +116,10 @@ class Model:
 def train(docs: DataFrame) -> list[tuple[str, str, str, int, int]]:
     """Rows of the tables; bounded by WORDS, GRAMS and ENTRIES."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("mark"))
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), LANG_DOCS / F.count("*")).alias("share"))
+    share = written(rows.groupBy("lang").agg(F.least(F.lit(1.0), LANG_DOCS / F.count("*")).alias("share")), "langs")
     n_langs = share.count()
     steps = 1 << 30
-    picked = rows.join(share, "lang").where(F.pmod("mark", F.lit(steps)) < F.col("share") * steps).dropDuplicates(["lang", "mark"])
+    picked = rows.join(F.broadcast(share) if n_langs <= BROADCAST_LANGS else share, "lang").where(F.pmod("mark", F.lit(steps)) < F.col("share") * steps).dropDuplicates(["lang", "mark"])
     return [tuple(r) for r in count_grams(picked, ENTRIES // 2 // max(1, n_langs)).collect()]
 
 

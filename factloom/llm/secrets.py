@@ -10,7 +10,7 @@ Runs have any length up to LONGEST_RUN, and the whole length of what goes on fro
 value's places finds the least; its steps follow the value's length.
 
 Words are ranked by those of the documents themselves: train() counts the words of all whole texts with Spark, outside credential
-values, and keeps the RANKS most frequent, after the fixed list of what guessers try first.
+values, and keeps those whose count no more than RANKS words reach, after the fixed list of what guessers try first.
 
 Spans are in code points, end exclusive. The method's own kind is `guess`, after the base kinds; it only adds spans.
 
@@ -28,10 +28,10 @@ from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import slices
+from factloom.llm.shared import slices, written
 
 # Fixed values.
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -156,8 +156,12 @@ def train(docs: DataFrame, most: int = RANKS) -> dict[str, int]:
                     counts.update(WORDS.findall(low))
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return ranked([r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()])
+    counts = written(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # How many words have each count, from the top; so that the driver is sent no more than the words that it keeps.
+    above = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    least = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", above).where(F.col("above") <= most).agg(F.min("n")).first()[0]
+    kept = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").collect() if least is not None else []
+    return ranked([r.word for r in kept])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
