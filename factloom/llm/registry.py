@@ -82,13 +82,33 @@ def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.merkle import check
+
+    return check(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op7_quality, op8_secrets, op9_language, op10_hamming)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op7_quality, op8_secrets, op9_language, op10_hamming, op11_merkle, op12_spelling, op13_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
     from factloom.llm.decontaminate import OP4_SQL
     from factloom.llm.hamming import OP10_SQL
+    from factloom.llm.licenses import OP13_SQL
+    from factloom.llm.merkle import OP11_SQL
     from factloom.llm.mixing import OP3_SQL
 
-    return {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op10_hamming": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op10_hamming": OP10_SQL, "op11_merkle": OP11_SQL, "op13_licenses": OP13_SQL}

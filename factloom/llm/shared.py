@@ -39,6 +39,24 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
+def numbered(df: DataFrame, *by: str) -> DataFrame:
+    """df with `pos`: its rows from 0 in the order of the columns `by` (null first, ties by where they stand in df).
+
+    Rows are dealt by ranges and sorted there, so no task holds more than a range, whatever the keys; only the number of rows of each range
+    goes through the driver."""
+    own = df.withColumn("tie", F.monotonically_increasing_id())
+    ranges = own.repartitionByRange(*by, "tie").sortWithinPartitions(*by, "tie").drop("tie").withColumn("pos", F.monotonically_increasing_id())
+    ranges = written(ranges, "ranges")  # the upper bits of pos are the number of the range
+    sizes = ranges.groupBy(F.shiftright("pos", 33).alias("range")).agg(F.count("*").alias("n")).collect()
+    before, total = [], 0
+    for r in sorted(sizes):
+        before.append((r.range, total))
+        total += r.n
+    offsets = df.sparkSession.createDataFrame(before, "range long, before long")
+    inside = F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranges.withColumn("range", F.shiftright("pos", 33)).join(F.broadcast(offsets), "range").withColumn("pos", F.col("before") + inside).drop("range", "before")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows (null: empty) and their n + 1 offsets, without a copy where Arrow has none."""
     if isinstance(column, pa.ChunkedArray):
