@@ -20,7 +20,7 @@ without rows, gives no rows.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -91,7 +91,7 @@ def placed(words: DataFrame) -> DataFrame:
 
 
 def groups(rows: DataFrame, block: int) -> DataFrame:
-    """size, own, asking: each block of a group in one row; own and asking are array<struct<word, n>>, asking without what own has.
+    """size, words, counts, n_own: each block of a group in one row; of its words the first n_own are the index, the others ask.
 
     rows is a written table. A group of up to `block` index words is one block; of a larger one each word is dealt to one block and asks in
     all of them, so that pairs across blocks are met too."""
@@ -105,45 +105,68 @@ def groups(rows: DataFrame, block: int) -> DataFrame:
     asking = dealt.where(F.col("asks") | F.col("blocks").isNotNull()).select(*key, F.explode_outer(every).alias("block"), F.lit(True).alias("asks"), "word", "n")
     entry = F.struct("word", "n")
     met = index.unionByName(asking).groupBy(*key, "block").agg(F.collect_list(F.when(~F.col("asks"), entry)).alias("own"), F.collect_list(F.when(F.col("asks"), entry)).alias("asking"))
-    return met.where((F.size("own") > 0) & (F.size("own") + F.size("asking") > 1)).select("size", "own", "asking")
+    met = met.where((F.size("own") > 0) & (F.size("own") + F.size("asking") > 1)).select("size", F.size("own").alias("n_own"), F.concat("own", "asking").alias("all"))
+    return met.select("size", F.transform("all", lambda x: x["word"]).alias("words"), F.transform("all", lambda x: x["n"]).alias("counts"), "n_own")
 
 
 def one_edit(a: str, b: str) -> bool:
     """Whether b is a with exactly one letter inserted or replaced (a is not the longer)."""
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
-    k = next((k for k, x in enumerate(a) if x != b[k]), len(a))
-    return len(b) == len(a) + 1 and a[k:] == b[k + 1 :]
-
-
-def near_in_group(size: int, own: list[str], asking: list[str]) -> Iterator[tuple[int, int]]:
-    """Pairs (place in own + asking, place in own) of near words: own words have `size` letters, asking ones as many or one fewer.
-
-    Pairs of own words come once; an asking word that is as long is paired with own words that are not itself."""
-    if len(own) + len(asking) == 2:  # two words need no index
-        a, b = (own[1], own[0]) if len(own) == 2 else (asking[0], own[0])
+    if a == b:
+        return False
+    k = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        k += 1
+    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else len(b) == len(a) + 1 and a[k:] == b[k + 1 :]
+
+
+def near_in_group(size: int, words: list[str], n_own: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places in words, the second among the first n_own, of near words: those have `size` letters, the others as many or one fewer.
+
+    Pairs of the first n_own come once; another word that is as long is paired with those that are not itself."""
+    if len(words) == 2:  # two words need no index
+        a, b = (words[1], words[0])
         if one_edit(a, b):
             yield 1, 0
         return
-    postings: dict[tuple[str, int], list[int]] = defaultdict(list)
     most = size - 1
-    for k, word in enumerate(own):
-        here = grams(word)
-        yield from ((k, j) for j in _merged([postings[g, p] for p, g in enumerate(here) if (g, p) in postings], most) if one_edit(word, own[j]))
-        for p, g in enumerate(here):
-            postings[g, p].append(k)
-    for k, word in enumerate(asking, len(own)):
-        ahead = (0,) if len(word) == size else (0, 1)
-        lists = [postings[g, p + d] for p, g in enumerate(grams(word)) for d in ahead if (g, p + d) in postings]
-        yield from ((k, j) for j in _merged(lists, most) if one_edit(word, own[j]))
-
-
-def _merged(lists: list[list[int]], most: int) -> Iterator[int]:
-    """The numbers that stand in `most` of the sorted lists at least, by merging them with a heap."""
-    if len(lists) >= most:
-        for k, same in groupby(heapq.merge(*lists)):
-            if sum(1 for _ in same) >= most:
-                yield k
+    spelled = [grams(w) for w in words]
+    postings: dict[tuple[str, int], list[int]] = {}
+    for k in range(n_own):
+        for p, g in enumerate(spelled[k]):
+            postings.setdefault((g, p), []).append(k)
+    for k, word in enumerate(words):
+        if len(word) == size:
+            lists = [own for p, g in enumerate(spelled[k]) if (own := postings.get((g, p)))]
+        else:
+            lists = []
+            for p, g in enumerate(spelled[k]):
+                here, ahead = postings.get((g, p)), postings.get((g, p + 1))
+                if here or ahead:
+                    lists.append(list(heapq.merge(here, ahead)) if here and ahead else here or ahead)
+        if len(lists) >= most:
+            yield from ((k, j) for j in _shared(lists, most, k) if one_edit(word, words[j]))
+
+
+def _shared(lists: list[list[int]], most: int, below: int) -> Iterator[int]:
+    """The numbers under `below` that stand in `most` of the sorted lists at least. Such a number is in one of the len(lists) - most + 1 shortest
+    lists: these are merged with a heap, the others are looked into for what comes up."""
+    lists = sorted(lists, key=len)
+    few = len(lists) - most + 1
+    short, long = lists[:few], lists[few:]
+    for j, same in groupby(short[0] if few == 1 else heapq.merge(*short)):
+        if j >= below:
+            return
+        n, left = sum(1 for _ in same), len(long)
+        for own in long:
+            if n >= most or n + left < most:
+                break
+            left -= 1
+            at = bisect_left(own, j)
+            n += at < len(own) and own[at] == j
+        if n >= most:
+            yield j
 
 
 def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -152,15 +175,15 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out: tuple[list, ...] = ([], [], [])
-                for g in batch.slice(at, 256).to_pylist():
-                    entries = g["own"] + g["asking"]
-                    for a, b in near_in_group(g["size"], [x["word"] for x in g["own"]], [x["word"] for x in g["asking"]]):
-                        for x, y in ((entries[a], entries[b]), (entries[b], entries[a])):
-                            for column, value in zip(out, (x["word"], y["word"], y["n"]), strict=True):
-                                column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.string(), pa.int64()), strict=True)], ["word", "near", "near_n"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                word, near, n = [], [], []
+                for size, spelled, counts, n_own in zip(*[part.column(c).to_pylist() for c in ("size", "words", "counts", "n_own")], strict=True):
+                    for a, b in near_in_group(size, spelled, n_own):
+                        word += spelled[a], spelled[b]
+                        near += spelled[b], spelled[a]
+                        n += counts[b], counts[a]
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(near, pa.string()), pa.array(n, pa.int64())], ["word", "near", "near_n"])
 
     return groups(rows, block).mapInArrow(run, "word string, near string, near_n long")
 
