@@ -29,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed to the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def table(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a written table in the shared folder: made once (a checkpoint is computed twice), with a size that Spark knows when it plans joins."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

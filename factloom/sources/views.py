@@ -33,7 +33,13 @@ SELECT 'flow-' || cast(l_partkey AS varchar) AS flow_id, CASE l_returnflag WHEN
   CASE l_suppkey % 3 WHEN 0 THEN 'sql' WHEN 1 THEN 'xss' ELSE 'path' END AS category,
   CASE l_suppkey % 2 WHEN 0 THEN 'escape_html' ELSE 'bind_value' END AS method, l_discount >= 0.05 AS effective
 FROM lineitem""",
-    "edges": "SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_orderkey % 40 = l_linenumber AND l_suppkey % 40 <> l_partkey % 40",
+    "flow_steps": """
+SELECT 'flow-' || cast(l_partkey AS varchar) AS flow_id, CASE l_returnflag WHEN 'A' THEN 'TaintSource' WHEN 'R' THEN 'TaintSink' ELSE 'Sanitization' END AS fact_type,
+  'n' || cast(l_orderkey AS varchar) || '-' || cast(l_linenumber AS varchar) || '-' || cast(l_suppkey AS varchar) AS node, l_orderkey AS file_id, l_linenumber AS line,
+  CASE l_suppkey % 4 WHEN 0 THEN 'request_param' WHEN 1 THEN 'query_text' WHEN 2 THEN 'file_name' ELSE 'header' END AS var,
+  CASE l_suppkey % 3 WHEN 0 THEN 'execute_query' WHEN 1 THEN 'render_page' ELSE 'open_file' END AS func, l_discount >= 0.05 AS effective,
+  l_discount >= 0.095 AND l_quantity < 10.5 AS untrusted
+FROM lineitem""",
     "analyses": """
 SELECT o_orderkey AS analysis_id, 'project-' || cast(o_custkey % 10 AS varchar) AS project, o_orderpriority AS branch, 'c' || cast(o_orderkey % 500 AS varchar) AS commit_id, o_orderdate AS ts,
   cast(floor(o_totalprice / 1000) AS int) AS duration_ms
@@ -61,7 +67,7 @@ NOW = "2000-01-01 00:00:00"
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over Parquet. Spark reads the SQL with its own type and hash names; nothing is evaluated here."""
-    base = {"facts": "lineitem", "coverage": "orders", "flows": "lineitem", "edges": "lineitem", "analyses": "orders", "stored_findings": "lineitem", "baseline_status": "part", "custom": "events"}[name]
+    base = {"facts": "lineitem", "coverage": "orders", "flows": "lineitem", "flow_steps": "lineitem", "analyses": "orders", "stored_findings": "lineitem", "baseline_status": "part", "custom": "events"}[name]
     text = SQL[name].replace("AS varchar)", "AS string)").replace("sha256(", "sha2_256(").replace(f"FROM {base}", "FROM {source}")
     out, at = "", 0
     while (k := text.find("sha2_256(", at)) >= 0:  # sha256(x) is sha2(x, 256) here
