@@ -11,7 +11,7 @@ from factloom.operators import model, quality
 from factloom.plans import rulebook
 from factloom.queries import Views, query
 from factloom.sources import reports, texts
-from factloom.streaming import publish, read_events, requests_per_minute
+from factloom.streaming import publish, rate_limited, read_events, requests_per_minute
 
 # Reports, one result each, from the driver's rows; the same choices as SQL text.
 _RULE = "CASE l_partkey % 5 WHEN 0 THEN 'S100' WHEN 1 THEN 'sql-security' WHEN 2 THEN 'layout-1' WHEN 3 THEN 'CWE-rule' ELSE 'x-vulnerability' END"
@@ -302,6 +302,30 @@ query(
     "SELECT user_id % 3 AS user_id, date_trunc('minute', ts)::TIMESTAMP AS minute, count(*) AS n, greatest(count(*) - 1, 0) AS over FROM events GROUP BY "
     "ALL",
 )
+
+
+def _limited(v: Views) -> DataFrame:
+    """Two requests a user, one more for each whole day: the stream over all events, and what it wrote."""
+
+    def run(path: str) -> None:
+        events = read_events(v.spark, v.sf_dir, name="events.parquet")
+        stream = rate_limited(events, "user_id", 2, 1, 86_400).writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/at")
+        stream.trigger(availableNow=True).start().awaitTermination()
+
+    return v.spark.read.parquet(f"{v.stored('limited', run)}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+query(
+    "str_06_rate_limit",
+    _limited,
+    """WITH RECURSIVE e AS (SELECT user_id, ts, floor(epoch(ts))::BIGINT AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+r AS (SELECT user_id, ts, k, 1::BIGINT AS tokens, s AS filled, true AS allowed FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, ts, k, have - CASE WHEN have > 0 THEN 1 ELSE 0 END, filled, have > 0 FROM (
+    SELECT e.user_id, e.ts, e.k, CASE WHEN s - filled >= 86400 THEN least(2, tokens + (s - filled) // 86400) ELSE tokens END AS have, CASE WHEN s - filled >= 86400 THEN s ELSE filled END AS filled
+    FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT user_id, ts, allowed FROM r""",
+)
 query(
     "str_03_project_events",
     lambda v: v.table("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.max("ts").alias("last_ts")),

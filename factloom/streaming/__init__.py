@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -33,25 +34,58 @@ def publish(requests: DataFrame, path: str, checkpoint: str, valid) -> Streaming
     return requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_limited(requests: DataFrame, key: str, capacity: int, per_minute: int) -> DataFrame:
-    """key, ts, allowed: a token bucket a key that refills on whole minutes since its last refill; requests count in time order."""
-    schema = f"{key} long, ts timestamp, allowed boolean"
+class _Bucket(StatefulProcessor):
+    """A key's bucket: tokens, and the second of its last refill. A timer at the time when the bucket is full again forgets it."""
 
-    def run(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tokens, filled = state.get if state.exists else (capacity, None)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for ts in rows["ts"]:
+    def __init__(self, key: str, capacity: int, refill: int, period: int) -> None:
+        self.key, self.capacity, self.refill, self.period = key, capacity, refill, period
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "tokens long, filled long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        tokens, filled = self.bucket.get() if self.bucket.exists() else (self.capacity, None)
+        requests = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        allowed = []
+        for ts in requests["ts"]:
             now = int(ts.timestamp())
             filled = now if filled is None else filled
-            if (minutes := max(0, (now - filled) // 60)) > 0:
-                tokens, filled = min(capacity, tokens + minutes * per_minute), now
-            out.append((name[0], ts, tokens > 0))
+            if (periods := max(0, (now - filled) // self.period)) > 0:
+                tokens, filled = min(self.capacity, tokens + periods * self.refill), now
+            allowed.append(tokens > 0)
             tokens -= tokens > 0
-        state.update((tokens, filled))
-        yield pd.DataFrame(out, columns=[key, "ts", "allowed"])
-
-    return requests.groupBy(key).applyInPandasWithState(run, schema, "tokens long, filled long", "append", "NoTimeout")
+        self.bucket.update((tokens, filled))
+        full = filled + self.period * -(-(self.capacity - tokens) // self.refill)
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        at = max(1000 * full, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+        yield pd.DataFrame({self.key: [key[0]] * len(requests), "ts": requests["ts"], "allowed": allowed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.bucket.clear()
+        self.timer.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limited(requests: DataFrame, key: str, capacity: int, refill: int, period: int = 60, late: str = "1 minute") -> DataFrame:
+    """key, ts, allowed: a token bucket a key that gets `refill` tokens for each whole period of seconds since its last refill; requests (key, ts)
+    of a batch count in time order, those that are later than the watermark not at all.
+
+    A bucket that has had no request until it is full again is dropped once the watermark is past that time. A full bucket and none
+    behave alike, so nothing is forgotten that matters and the state has the keys of the last capacity / refill periods alone. Timers need
+    the state store that is set here."""
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = requests.schema[key].dataType.simpleString()
+    timed = requests.select(key, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy(key).transformWithStateInPandas(_Bucket(key, capacity, refill, period), f"{key} {kind}, ts timestamp, allowed boolean", "Append", "EventTime")
 
 
 def requests_per_minute(requests: DataFrame, key: str, capacity: int) -> DataFrame:

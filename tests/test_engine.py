@@ -232,3 +232,26 @@ def test_rate_limit(spark, tmp_path):
     stream = rate_limited(spark.readStream.schema("user long, ts timestamp").parquet(str(tmp_path / "in")), "user", 2, 1)
     stream.writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start().awaitTermination()
     assert [r.allowed for r in spark.table("limited").where("user = 1").orderBy("ts").collect()] == [True, True, False, True]
+
+
+def test_idle_buckets_leave_the_state_and_restarts_go_on(spark, tmp_path):
+    def arrive(*rows):
+        spark.createDataFrame(rows, "user long, t string").select("user", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = rate_limited(spark.readStream.schema("user long, ts timestamp").parquet(str(tmp_path / "in")), "user", 2, 1)
+        stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+
+    def held():
+        state = spark.read.format("statestore").option("path", str(tmp_path / "at")).option("stateVarName", "bucket").load()
+        return sorted(r[0] for r in state.select("key.user").collect())
+
+    arrive((1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:01"), (2, "2024-01-01 00:00:00"))
+    assert held() == [1, 2]
+    arrive((1, "2024-01-01 00:00:30"), (3, "2024-01-01 00:00:40"))  # the bucket of the first run still counts
+    arrive((4, "2024-01-01 01:00:00"))
+    assert held() == [4]
+    arrive((1, "2024-01-01 01:00:10"), (4, "2024-01-01 01:00:11"), (4, "2024-01-01 01:00:12"))
+    got = sorted((r.user, str(r.ts), r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [(u, t[11:], a) for u, t, a in got] == [
+        (1, "00:00:00", True), (1, "00:00:01", True), (1, "00:00:30", False), (1, "01:00:10", True), (2, "00:00:00", True), (3, "00:00:40", True),
+        (4, "01:00:00", True), (4, "01:00:11", True), (4, "01:00:12", False),
+    ]
