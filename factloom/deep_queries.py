@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.checkpoints import shared_path
 from factloom.operators.patterns import Pattern, bindings
 from factloom.operators.recursion import Atom, Rule, Value, solve
 from factloom.operators.search import shortest_paths
 from factloom.queries import Views, query
+from factloom.sources.transaction import Transaction
 
 # Three and four patterns: a weakness, a bare line in its file, a smell in its flow, and an informal smell in that one's file.
 _WEAK = Pattern("weak", "Vulnerability", {"f": "file", "w": "flow_id"}, "severity = 'Critical'")
@@ -96,3 +98,22 @@ r(node, depth) AS (SELECT flow_id, 0::BIGINT FROM flow_steps WHERE fact_type = '
 SELECT node AS sink, min(depth) AS steps, min(depth) + 1 AS nodes FROM r WHERE node IN (SELECT node FROM flow_steps WHERE fact_type = 'TaintSink' AND func = 'render_page') GROUP BY node""",
     "flow_steps",
 )
+
+
+_STORED = "analysis_id long, line int, col int, file string, fingerprint string, severity string, seq long"
+
+
+def _in_database(v: Views) -> DataFrame:
+    """All findings, stored in a database in one transaction and read from there. The database is a file in the shared folder, which must be a path
+    that all machines mount; with a server it would be that one's address."""
+    path = shared_path(v.spark, "findings.db").removeprefix("file://")
+    if "://" in path:
+        raise ValueError("a database file needs a shared folder that is mounted")
+    v.spark.dataSource.register(Transaction)
+    names = [c.split()[0] for c in _STORED.split(", ")]
+    options = {"module": "sqlite3", "url": path, "table": "findings"}
+    v.stored_findings.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in _STORED.split(", ")]).write.format("transaction").options(**options, run="findings").mode("append").save()
+    return v.spark.read.format("transaction").schema(_STORED).options(**options, by="seq").load().select(*names)
+
+
+query("src_34_transaction", _in_database, "SELECT analysis_id, line, col, file, fingerprint, severity, seq FROM stored_findings", "stored_findings")
