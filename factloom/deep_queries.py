@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.checkpoints import shared_path
 from factloom.operators.patterns import Pattern, bindings
 from factloom.operators.recursion import Atom, Rule, Value, solve
 from factloom.operators.search import shortest_paths
+from factloom.plans import rulebook
 from factloom.queries import Views, query
 from factloom.sources.transaction import Transaction
+from factloom.streaming import fanned_out, received
 
 # Three and four patterns: a weakness, a bare line in its file, a smell in its flow, and an informal smell in that one's file.
 _WEAK = Pattern("weak", "Vulnerability", {"f": "file", "w": "flow_id"}, "severity = 'Critical'")
@@ -103,17 +104,45 @@ SELECT node AS sink, min(depth) AS steps, min(depth) + 1 AS nodes FROM r WHERE n
 _STORED = "analysis_id long, line int, col int, file string, fingerprint string, severity string, seq long"
 
 
-def _in_database(v: Views) -> DataFrame:
-    """All findings, stored in a database in one transaction and read from there. The database is a file in the shared folder, which must be a path
-    that all machines mount; with a server it would be that one's address."""
-    path = shared_path(v.spark, "findings.db").removeprefix("file://")
-    if "://" in path:
-        raise ValueError("a database file needs a shared folder that is mounted")
+def _database(v: Views) -> dict[str, str]:
+    """All findings, stored in a database in one transaction. The database is a file in the shared folder, which must be a path that all machines mount;
+    with a server it would be that one's address."""
+
+    def run(path: str) -> None:
+        plain = path.removeprefix("file://")
+        if "://" in plain:
+            raise ValueError("a database file needs a shared folder that is mounted")
+        found = v.stored_findings.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in _STORED.split(", ")])
+        found.write.format("transaction").options(module="sqlite3", url=plain, table="findings", run="findings").mode("append").save()
+
     v.spark.dataSource.register(Transaction)
-    names = [c.split()[0] for c in _STORED.split(", ")]
-    options = {"module": "sqlite3", "url": path, "table": "findings"}
-    v.stored_findings.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in _STORED.split(", ")]).write.format("transaction").options(**options, run="findings").mode("append").save()
-    return v.spark.read.format("transaction").schema(_STORED).options(**options, by="seq").load().select(*names)
+    return {"module": "sqlite3", "url": v.stored("findings-db", run).removeprefix("file://"), "table": "findings", "by": "seq"}
+
+
+def _streamed(v: Views) -> DataFrame:
+    """The database's findings, read as a stream by ranges of their number and fanned out by severity."""
+    options = _database(v)
+
+    def run(path: str) -> None:
+        found = v.spark.readStream.format("transaction").schema(_STORED).options(**options).load()
+        fanned_out(found, f"{path}/out", f"{path}/at", "severity").awaitTermination()
+
+    return received(v.spark, f"{v.stored('streamed', run)}/out", v.spark.createDataFrame([], _STORED).schema, "severity")
 
 
-query("src_34_transaction", _in_database, "SELECT analysis_id, line, col, file, fingerprint, severity, seq FROM stored_findings", "stored_findings")
+_ALL = "SELECT analysis_id, line, col, file, fingerprint, severity, seq FROM stored_findings"
+query("src_34_transaction", lambda v: v.spark.read.format("transaction").schema(_STORED).options(**_database(v)).load(), _ALL, "stored_findings")
+query("src_41_streamed", _streamed, _ALL, "stored_findings")
+
+# A thousand rules of their own names, messages and conditions, evaluated together.
+_THOUSAND = [
+    rulebook.Rule(f"rule {k}", ("Vulnerability", "CodeSmell")[k % 2], f"lines_of_code % 50 = {k // 2 % 50} AND start_line % 10 = {k // 100} AND confidence > 0.9", severity=("High", "Low")[k % 2], message=f"{k}: {{fact.type}} in {{location.file}}")
+    for k in range(rulebook.MOST_RULES)
+]
+query(
+    "rule_thousand_in_one_scan",
+    lambda v: rulebook.evaluate(_THOUSAND, v.store).select("rule_name", "message", "file", "start_line", "severity"),
+    f"SELECT 'rule ' || k AS rule_name, k || ': ' || fact_type || ' in ' || file AS message, file, start_line, CASE k % 2 WHEN 0 THEN 'Major' ELSE 'Info' END AS severity FROM facts, range({rulebook.MOST_RULES}) r(k) "
+    "WHERE fact_type = CASE k % 2 WHEN 0 THEN 'Vulnerability' ELSE 'CodeSmell' END AND lines_of_code % 50 = k // 2 % 50 AND start_line % 10 = k // 100 AND confidence > 0.9",
+    "facts",
+)

@@ -27,19 +27,28 @@ def glob(column: Column | str, pattern: str) -> Column:
     return c.rlike(f"(?s){glob_regex(pattern)}") if "*" in pattern else c == pattern
 
 
-def template(text: str, metadata: str = "metadata") -> Column:
-    """A message with {field} and {metadata.key} filled in; a missing key reads "unknown", an unknown field is an error."""
-    parts, last = [], 0
+def pieces(text: str) -> list[tuple[str, str | None, str | None]]:
+    """A message's literal texts, each with the field or the metadata key that follows it; an unknown field is an error."""
+    out, last = [], 0
     for m in re.finditer(r"\{([^{}]*)\}", text):
-        parts.append(F.lit(text[last : m.start()]))
-        name, last = m[1].strip(), m.end()
-        if name in FIELDS:
-            parts.append(F.coalesce(FIELDS[name](), F.lit("")))
-        elif name.startswith("metadata."):
-            parts.append(F.coalesce(F.try_element_at(metadata, F.lit(name[9:])), F.lit("unknown")))
-        else:
+        name = m[1].strip()
+        if name not in FIELDS and not name.startswith("metadata."):
             raise ValueError(f"unknown field in a template: {name}")
-    return F.concat(*parts, F.lit(text[last:]))
+        out.append((text[last : m.start()], name if name in FIELDS else None, None if name in FIELDS else name[9:]))
+        last = m.end()
+    return [*out, (text[last:], None, None)]
+
+
+def template(text: str, metadata: str = "metadata") -> Column:
+    """A message with {field} and {metadata.key} filled in; a missing key reads "unknown"."""
+    parts = []
+    for before, field, key in pieces(text):
+        parts.append(F.lit(before))
+        if field is not None:
+            parts.append(F.coalesce(FIELDS[field](), F.lit("")))
+        elif key is not None:
+            parts.append(F.coalesce(F.try_element_at(metadata, F.lit(key)), F.lit("unknown")))
+    return F.concat(*parts)
 
 
 def location_text(file="file", start="start_line", column="start_column", end="end_line", end_column="end_column") -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.severity import FROM_RULES
-from factloom.functions.text import template
+from factloom.functions.text import FIELDS, pieces
 from factloom.operators.rules import MOST_FINDINGS, capped, rule_results
 
 #: Fact types, functions and limits that rules are checked against. Fixed values.
@@ -56,30 +56,39 @@ def rules_of(rows: DataFrame) -> list[Rule]:
     return [Rule(r.name, r.kind, r.condition, tuple((o.kind, o.condition) for o in r.others), tuple(r.shared), r.severity, r.message, r.confidence) for r in found]
 
 
-def _meets(kind: str, condition: str) -> Column:
+def _meets(condition: str) -> Column:
     """A missing value meets no condition."""
-    return (F.col("fact_type") == kind) & F.coalesce(F.expr(condition), F.lit(False))
+    return F.coalesce(F.expr(condition), F.lit(False))
 
 
 def _place(rule: Rule) -> Column:
     return F.array(*[F.col(c).cast("string") for c in rule.on])
 
 
-def _pick(facts: DataFrame, hits: list[Column]) -> Column:
-    """One of the hits that are not null for each row that comes out."""
-    return F.explode(F.array_compact(F.array(*hits)))
+def _picked(facts: DataFrame, hits: list[tuple[str, Column]], name: str) -> DataFrame:
+    """facts with `name`, a row for each hit (fact type, value or null) of a fact. A fact is compared with the conditions of its own type
+    alone. explode would add a filter on its array and so compute all conditions twice; explode_outer does not."""
+    by_type: dict[str, list[Column]] = {}
+    for kind, hit in hits:
+        by_type.setdefault(kind, []).append(hit)
+    found = None
+    for kind, own in by_type.items():
+        met = F.array_compact(F.array(*own))
+        found = F.when(F.col("fact_type") == kind, met) if found is None else found.when(F.col("fact_type") == kind, met)
+    rows = facts.where(F.col("fact_type").isin(*by_type))
+    return rows.select("*", F.explode_outer(found).alias(name)).where(F.col(name).isNotNull())
 
 
 def matched(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     """facts with `rule`, the number of a rule that they meet."""
-    alone = [F.when(_meets(r.kind, r.condition), F.lit(k)) for k, r in enumerate(rules) if not r.others]
+    alone = [(r.kind, F.when(_meets(r.condition), F.lit(k))) for k, r in enumerate(rules) if not r.others]
     joined = [(k, r) for k, r in enumerate(rules) if r.others]
-    parts = [facts.withColumn("rule", _pick(facts, alone))] if alone else []
+    parts = [_picked(facts, alone, "rule")] if alone else []
     if joined:
-        hit = [F.when(_meets(r.kind, r.condition), F.struct(F.lit(k).alias("rule"), _place(r).alias("place"))) for k, r in joined]
-        firsts = facts.withColumn("hit", _pick(facts, hit)).select(*facts.columns, "hit.*")
-        other = [F.when(_meets(*o), F.struct(F.lit(k).alias("rule"), F.lit(n).alias("pattern"), F.lit(len(r.others)).alias("wanted"), _place(r).alias("place"))) for k, r in joined for n, o in enumerate(r.others)]
-        held = facts.select(_pick(facts, other).alias("o")).select("o.*")
+        hit = [(r.kind, F.when(_meets(r.condition), F.struct(F.lit(k).alias("rule"), _place(r).alias("place")))) for k, r in joined]
+        firsts = _picked(facts, hit, "hit").select(*facts.columns, "hit.*")
+        other = [(o[0], F.when(_meets(o[1]), F.struct(F.lit(k).alias("rule"), F.lit(n).alias("pattern"), F.lit(len(r.others)).alias("wanted"), _place(r).alias("place")))) for k, r in joined for n, o in enumerate(r.others)]
+        held = _picked(facts, other, "o").select("o.*")
         held = held.groupBy("rule", "place").agg(F.count_distinct("pattern").alias("n"), F.first("wanted").alias("wanted")).where("n = wanted")
         parts.append(firsts.join(held, ["rule", "place"], "left_semi").select(*facts.columns, "rule"))
     out = parts[0]
@@ -88,31 +97,24 @@ def matched(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     return out
 
 
-def _by_rule(values: list) -> Column:
-    """The value of the row's rule; rules with one value share a branch."""
-    first, *rest = dict.fromkeys(values)
-    out = F.lit(first)
-    for v in rest:
-        out = F.when(F.col("rule").isin([k for k, x in enumerate(values) if x == v]), F.lit(v)).otherwise(out)
-    return out
+def _numbered(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """The rules as a table: their number, what findings take from them, and their messages in pieces. At most MOST_RULES rows."""
+    rows = [(k, r.name, FROM_RULES[r.severity], r.confidence, [(a, list(FIELDS).index(f) if f in FIELDS else None, m) for a, f, m in pieces(r.message)]) for k, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule int, rule_name string, rule_severity string, rule_confidence double, pieces array<struct<text: string, field: int, key: string>>")
 
 
 def evaluate(rules: list[Rule], facts: DataFrame, most: int | None = None) -> DataFrame:
-    """Findings of all rules. A rule with more than `most` of them fails as a whole; see results()."""
-    for r in rules:
-        if r.others and not r.on:
-            raise ValueError(f"{r.name}: several patterns share no variable")
-        if r.severity not in FROM_RULES:
-            raise ValueError(f"{r.name}: unknown severity {r.severity}")
-    rows = matched(facts.withColumn("metadata", F.create_map().cast("map<string,string>")), rules)
-    messages = [r.message for r in rules]
-    text = template(messages[0])
-    for m in list(dict.fromkeys(messages))[1:]:
-        text = F.when(F.col("rule").isin([k for k, x in enumerate(messages) if x == m]), template(m)).otherwise(text)
-    name = _by_rule([r.name for r in rules])
+    """Findings of all rules. A rule with more than `most` of them fails as a whole; see results(). Rules with problems are an error: what is
+    evaluated has been checked. What differs between rules is joined from their table (which has at most MOST_RULES rows, so it is sent to
+    all tasks); only the conditions are part of the plan."""
+    spark = facts.sparkSession
+    rules_of(table(spark, rules))
+    rows = matched(facts.withColumn("metadata", F.create_map().cast("map<string,string>")), rules).join(F.broadcast(_numbered(spark, rules)), "rule")
+    values = F.array(*[f() for f in FIELDS.values()])
+    filled = lambda p: F.when(p["field"].isNotNull(), F.coalesce(F.get(values, p["field"]), F.lit(""))).when(p["key"].isNotNull(), F.coalesce(F.try_element_at("metadata", p["key"]), F.lit("unknown"))).otherwise("")
     found = rows.select(
-        F.sha2(F.concat_ws("|", name, "fact_id"), 256).alias("finding_id"), name.alias("rule_name"), text.alias("message"), "file", "start_line", "end_line",
-        F.coalesce(_by_rule([r.confidence for r in rules]), "confidence").alias("confidence"), _by_rule([FROM_RULES[r.severity] for r in rules]).alias("severity"), "metadata", F.array("fact_id").alias("fact_ids"),
+        F.sha2(F.concat_ws("|", "rule_name", "fact_id"), 256).alias("finding_id"), "rule_name", F.array_join(F.transform("pieces", lambda p: F.concat(p["text"], filled(p))), "").alias("message"), "file", "start_line", "end_line",
+        F.coalesce("rule_confidence", "confidence").alias("confidence"), F.col("rule_severity").alias("severity"), "metadata", F.array("fact_id").alias("fact_ids"),
     )
     return found if most is None else capped(found, most)
 
@@ -122,8 +124,12 @@ def results(rules: list[Rule], facts: DataFrame, most: int = MOST_FINDINGS) -> D
     return rule_results(evaluate(rules, facts), [r.name for r in rules], most)
 
 
+# Without backslashes and double quotes, which are refused, a text runs from a quote to the next one whatever Spark's settings are (two in a row
+# are two texts), so what is left when texts are cut out is all that can call a function.
+
+
 def _texts(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit("'((?:[^']|'')*)'"), F.lit(1)), lambda t: F.regexp_replace(t, "''", "'"))
+    return F.regexp_extract_all(c, F.lit("'([^']*)'"), F.lit(1))
 
 
 def checked(rules: DataFrame) -> DataFrame:
@@ -132,7 +138,7 @@ def checked(rules: DataFrame) -> DataFrame:
     rows = rules.join(repeated, F.col("name").eqNullSafe(F.col("same_name")), "left").drop("same_name")
     conditions = F.concat(F.array("condition"), F.transform("others", lambda o: o["condition"]))
     kinds = F.concat(F.array("kind"), F.transform("others", lambda o: o["kind"]))
-    bare = F.transform(conditions, lambda c: F.regexp_replace(c, "'((?:[^']|'')*)'", "''"))
+    bare = F.transform(conditions, lambda c: F.regexp_replace(c, "'[^']*'", "''"))
     called = F.array_distinct(F.flatten(F.transform(bare, lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([a-z_]\w*)\s*\("), F.lit(1)))))
     texts = F.flatten(F.transform(conditions, _texts))
     some = lambda xs, test: F.exists(xs, test)
@@ -148,6 +154,8 @@ def checked(rules: DataFrame) -> DataFrame:
         told(kinds, "unknown fact type ", TYPES),
         when((F.size("others") > 0) & (F.size("shared") == 0), "several patterns share no variable"),
         told(called, "unknown function ", FUNCTIONS),
+        when(some(conditions, lambda c: c.rlike(r'[\\"`]')), "a condition has an escape, a double quote or a backquote in it"),
+        when(some(bare, lambda c: (F.length(c) - F.length(F.replace(c, F.lit("'")))) % 2 == 1), "a text has no end"),
         when(some(texts, lambda t: F.length(t) > MOST_TEXT), "a text is too long"),
         when(some(texts, lambda t: t.contains("{{") | t.contains("}}")), "a text has a template in it"),
         when(some(texts, lambda t: t.contains("$") & t.contains("(")), "a text has a command in it"),

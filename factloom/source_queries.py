@@ -11,7 +11,7 @@ from factloom.operators import model, quality
 from factloom.plans import rulebook
 from factloom.queries import Views, query
 from factloom.sources import reports, texts
-from factloom.streaming import publish, rate_limited, read_events, requests_per_minute
+from factloom.streaming import fanned_out, publish, rate_limited, read_events, received, requests_per_minute
 
 # Reports, one result each, from the driver's rows; the same choices as SQL text.
 _RULE = "CASE l_partkey % 5 WHEN 0 THEN 'S100' WHEN 1 THEN 'sql-security' WHEN 2 THEN 'layout-1' WHEN 3 THEN 'CWE-rule' ELSE 'x-vulnerability' END"
@@ -315,6 +315,18 @@ def _limited(v: Views) -> DataFrame:
     return v.spark.read.parquet(f"{v.stored('limited', run)}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _by_project(v: Views) -> DataFrame:
+    """All events, sent by type as a stream, which is started again when it is done: each event is there once."""
+    events = read_events(v.spark, v.sf_dir, name="events.parquet")
+
+    def run(path: str) -> None:
+        for _ in range(2):
+            fanned_out(events, f"{path}/out", f"{path}/at", "event_type").awaitTermination()
+
+    return received(v.spark, f"{v.stored('sent', run)}/out", events.schema, "event_type")
+
+
+query("str_03_fanned_out", lambda v: _by_project(v).select("event_id", "event_type", "user_id", "value", "ts"), "SELECT event_id, event_type, user_id, value, ts FROM events")
 query(
     "str_06_rate_limit",
     _limited,

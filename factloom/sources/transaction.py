@@ -9,6 +9,9 @@ Tasks insert their rows, CHUNK at a time, into a staging table, marked with thei
 of the attempts that Spark counts, adds the header row, and notes the run, all in one transaction; then the staging table goes. A failing or repeated
 task, a lost executor or a failing commit leaves the table as it was. A run that was stored before is not stored again, so a job can be
 repeated. Reading splits the range of a whole-number column (option `by`) into `parts` tasks.
+
+As a stream the source gives the rows of each batch once, by the range of `by` that is new since the last one; the offset is its greatest value so far.
+`by` must grow with each run that is stored, as a sequence does; rows without it are not streamed.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 # Fixed value: rows of one insert.
@@ -122,22 +125,25 @@ class _Range(InputPartition):
     high: int | None
 
 
-class _Reader(_Base, DataSourceReader):
+class _Ranges(_Base):
+    """Reading by ranges of a column."""
+
     def __init__(self, options: dict[str, str], schema: StructType) -> None:
-        _Base.__init__(self, options, schema)
+        super().__init__(options, schema)
         self.by, self.parts = _name(options["by"]), int(options.get("parts", "8"))
 
-    def partitions(self) -> Sequence[InputPartition]:
+    def ends(self) -> tuple[int | None, int | None]:
         with self.connect() as con:
             cur = con.cursor()
             cur.execute(f"SELECT min({self.by}), max({self.by}) FROM {self.table}")
-            low, high = cur.fetchone()
-        if low is None:
-            return [_Range(None, None)]
+            return cur.fetchone()
+
+    def ranges(self, low: int, high: int) -> list[_Range]:
+        """Parts of low..high, both included."""
         step = -(-(high - low + 1) // self.parts)
-        return [_Range(None, None), *(_Range(a, a + step) for a in range(low, high + 1, step))]
+        return [_Range(a, min(a + step, high + 1)) for a in range(low, high + 1, step)] if high >= low else []
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def rows(self, partition: _Range) -> Iterator[tuple]:
         own = f"{self.by} IS NULL" if partition.low is None else f"{self.by} >= {partition.low} AND {self.by} < {partition.high}"
         with self.connect() as con:
             cur = con.cursor()
@@ -145,6 +151,34 @@ class _Reader(_Base, DataSourceReader):
             yield from cur
 
 
+class _Reader(_Ranges, DataSourceReader):
+    def partitions(self) -> Sequence[InputPartition]:
+        low, high = self.ends()
+        return [_Range(None, None), *([] if low is None else self.ranges(low, high))]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        return self.rows(partition)
+
+
+class _Stream(_Ranges, DataSourceStreamReader):
+    def initialOffset(self) -> dict:
+        low, _ = self.ends()
+        return {"done": 0 if low is None else low - 1}
+
+    def latestOffset(self) -> dict:
+        _, high = self.ends()
+        return self.initialOffset() if high is None else {"done": high}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        return self.ranges(start["done"] + 1, end["done"])
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        return self.rows(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is thrown away: the table keeps what was read."""
+
+
 class Transaction(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -157,3 +191,6 @@ class Transaction(DataSource):
 
     def reader(self, schema: StructType) -> _Reader:
         return _Reader(dict(self.options), schema)
+
+    def streamReader(self, schema: StructType) -> _Stream:
+        return _Stream(dict(self.options), schema)

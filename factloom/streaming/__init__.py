@@ -34,6 +34,23 @@ def publish(requests: DataFrame, path: str, checkpoint: str, valid) -> Streaming
     return requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fanned_out(events: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:
+    """Append the events of each batch to a directory for each value of `key` (a project's subscribers read theirs alone), in one job whatever
+    the number of values. A batch is a directory by its number, and one that runs again after a failure replaces its own, so a restart from
+    the checkpoint gives each event once."""
+
+    def send(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy(key).parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def received(spark: SparkSession, path: str, schema, key: str, value=None) -> DataFrame:
+    """The events that were sent, all or those of one value of `key`, which are read from its directories alone. schema: that of the events."""
+    rows = spark.read.schema(schema).parquet(path)
+    return (rows if value is None else rows.where(F.col(key) == value)).select(*schema.fieldNames())
+
+
 class _Bucket(StatefulProcessor):
     """A key's bucket: tokens, and the second of its last refill. A timer at the time when the bucket is full again forgets it."""
 

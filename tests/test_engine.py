@@ -131,6 +131,25 @@ def test_rule_problems(spark):
     ])
 
 
+def test_a_thousand_rules_of_their_own_names_and_messages(spark):
+    many = [Rule(f"r{k}", ("CodeSmell", "Vulnerability")[k % 2], f"start_line >= {k % 7}", severity="High", message=f"{k} {{fact.type}} {{metadata.team}} {{location.file}}!", confidence=k / 1000) for k in range(1000)]
+    rows = {(r.rule_name, r.fact_ids[0]): r for r in rulebook.evaluate(many, few(spark)).collect()}
+    facts = [r for r in few(spark).collect() if r.fact_type in ("CodeSmell", "Vulnerability")]
+    assert rows.keys() == {(f"r{k}", f.fact_id) for k in range(1000) for f in facts if f.fact_type == ("CodeSmell", "Vulnerability")[k % 2] and f.start_line >= k % 7}
+    assert all(r.message == f"{n[1:]} {('CodeSmell', 'Vulnerability')[int(n[1:]) % 2]} unknown {r.file}!" and r.confidence == int(n[1:]) / 1000 for (n, _), r in rows.items())
+    with pytest.raises(ValueError, match="between 1 and 1000"):
+        rulebook.evaluate([*many, Rule("one more", "CodeSmell")], few(spark))
+
+
+@pytest.mark.parametrize("condition", [
+    "message = '\\'' or reflect('java.lang.System', 'getProperty', 'user.home') = '/root'", "message = \"'\" or reflect('a', 'b') = '\"'", "message = r'\\' or reflect('a', 'b') = ' '",
+    "`reflect`('a', 'b') = 'c'", "reflect ('a', 'b') = 'c'", "reflect/**/('a', 'b') = 'c'", "message = 'a' 'b' or java_method('a', 'b') = 'c'", "exists(select 1)", "message = 'open",
+])
+def test_conditions_that_hide_a_call_are_refused(spark, condition):
+    with pytest.raises(ValueError, match="x: (unknown function|a condition has|a text has)"):
+        rulebook.evaluate([Rule("x", "CodeSmell", condition)], few(spark))
+
+
 def test_scans_do_not_follow_the_number_of_rules(spark, tmp_path, capsys):
     store.written_by_type(few(spark), str(tmp_path / "facts"))
     df = store.opened(spark, str(tmp_path / "facts"), few(spark).schema)

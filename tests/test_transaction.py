@@ -72,3 +72,29 @@ def test_names_are_checked_and_overwriting_is_refused(spark, db):
         rows(spark).write.format("transaction").options(module="sqlite3", url=db, table="a; drop table analyses", run="x").mode("append").save()
     with pytest.raises(Exception, match="append"):
         rows(spark).write.format("transaction").options(module="sqlite3", url=db, table="findings", run="x").mode("overwrite").save()
+
+
+def test_a_restarted_stream_gives_each_row_once(spark, db, tmp_path):
+    from factloom.streaming import fanned_out, received
+
+    schema = rows(spark).schema
+
+    def run(fails=False):
+        found = spark.readStream.format("transaction").schema("id long, name string, score double, line int").options(module="sqlite3", url=db, table="findings", by="id", parts="3").load()
+        if fails:
+            found = found.withColumn("line", F.when(F.col("id") == 199, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("line")))
+        fanned_out(found.withColumn("project", F.concat(F.lit("p"), F.col("id") % 3)), str(tmp_path / "out"), str(tmp_path / "at"), "project").awaitTermination()
+
+    sent = lambda *value: received(spark, str(tmp_path / "out"), schema.add("project", "string") if "project" not in schema.names else schema, "project", *value)
+    store(rows(spark, 100), db, "one", 1)
+    run()
+    assert sent().count() == 100 and sent("p1").count() == 33
+    store(rows(spark, 200).where("id >= 100"), db, "two", 2)
+    with pytest.raises(Exception, match="lost"):
+        run(fails=True)
+    run()  # the batch that failed runs again
+    run()  # and with nothing new, none
+    assert sorted(r.id for r in sent().collect()) == list(range(200))
+    assert sorted(r.id for r in sent("p2").collect()) == [k for k in range(200) if k % 3 == 2]
+    plan = sent("p2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "p2" in plan.split("PartitionFilters")[1].split("]")[0]
