@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import versioned
 from factloom.operators.patterns import Pattern, bindings
 from factloom.operators.recursion import Atom, Rule, Value, solve
 from factloom.operators.search import shortest_paths
 from factloom.plans import rulebook
-from factloom.queries import Views, query
+from factloom.queries import PROJECT, Views, query
 from factloom.sources.transaction import Transaction
 from factloom.streaming import fanned_out, received
+from factloom.whole_queries import UPSERTED_SQL, status_changes
 
 # Three and four patterns: a weakness, a bare line in its file, a smell in its flow, and an informal smell in that one's file.
 _WEAK = Pattern("weak", "Vulnerability", {"f": "file", "w": "flow_id"}, "severity = 'Critical'")
@@ -146,3 +148,33 @@ query(
     "WHERE fact_type = CASE k % 2 WHEN 0 THEN 'Vulnerability' ELSE 'CodeSmell' END AND lines_of_code % 50 = k // 2 % 50 AND start_line % 10 = k // 100 AND confidence > 0.9",
     "facts",
 )
+
+
+# The baseline as a table in buckets: changes are deltas, merged when they are read.
+_KEYS = ["project", "fingerprint"]
+
+
+def _baseline(v: Views, name: str) -> str:
+    return v.stored(name, lambda path: versioned.create(v.baseline_status, path, _KEYS))
+
+
+def _upserted(v: Views) -> DataFrame:
+    path = _baseline(v, "baseline-upserted")
+    versioned.change(v.spark, path, status_changes(v), ["seq", "analysis_id"])
+    return versioned.current(v.spark, path)
+
+
+def _removed(v: Views) -> DataFrame:
+    path = _baseline(v, "baseline-removed")
+    versioned.change(v.spark, path, deleted=v.stored_findings.where("severity = 'Info'").select(F.lit(PROJECT).alias("project"), "fingerprint"))
+    return versioned.current(v.spark, path)
+
+
+query("mut_01_in_buckets", _upserted, UPSERTED_SQL, "baseline_status", "stored_findings")
+query(
+    "mut_05_in_buckets",
+    _removed,
+    f"SELECT * FROM baseline_status WHERE NOT (project = '{PROJECT}' AND fingerprint IN (SELECT fingerprint FROM stored_findings WHERE severity = 'Info'))",
+    "baseline_status",
+    "stored_findings",
+)

@@ -95,17 +95,21 @@ query(
 query("srt_01_by_id", lambda v: v.facts.orderBy("fact_id").select("fact_id", "file"), "SELECT fact_id, file FROM facts ORDER BY fact_id", "facts")
 
 
+def status_changes(v: Views) -> DataFrame:
+    """A status for each finding; the last of a fingerprint counts."""
+    return v.stored_findings.select(F.lit(PROJECT).alias("project"), "fingerprint", F.when(F.col("severity") == "Info", "wontfix").otherwise("accepted").alias("status"), F.lit(None).cast("timestamp_ntz").alias("expires_at"), _now().alias("updated_at"), "seq", "analysis_id")
+
+
 def _upserted(v: Views) -> DataFrame:
-    new = v.stored_findings.select(F.lit(PROJECT).alias("project"), "fingerprint", F.when(F.col("severity") == "Info", "wontfix").otherwise("accepted").alias("status"), F.lit(None).cast("timestamp_ntz").alias("expires_at"), _now().alias("updated_at"), "seq", "analysis_id")
-    return gov.upsert(v.baseline_status, new, ["project", "fingerprint"], ["seq", "analysis_id"])
+    return gov.upsert(v.baseline_status, status_changes(v), ["project", "fingerprint"], ["seq", "analysis_id"])
 
 
-_UPSERTED = f"WITH n AS (SELECT '{PROJECT}' AS project, fingerprint, arg_max(CASE WHEN severity = 'Info' THEN 'wontfix' ELSE 'accepted' END, (seq, analysis_id)) AS status, NULL::TIMESTAMP AS expires_at, {_T} AS updated_at FROM stored_findings GROUP BY fingerprint) SELECT * FROM n UNION ALL SELECT * FROM baseline_status b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.project = b.project AND n.fingerprint = b.fingerprint)"
-query("mut_01_upsert", _upserted, _UPSERTED, "baseline_status", "stored_findings")
+UPSERTED_SQL = f"WITH n AS (SELECT '{PROJECT}' AS project, fingerprint, arg_max(CASE WHEN severity = 'Info' THEN 'wontfix' ELSE 'accepted' END, (seq, analysis_id)) AS status, NULL::TIMESTAMP AS expires_at, {_T} AS updated_at FROM stored_findings GROUP BY fingerprint) SELECT * FROM n UNION ALL SELECT * FROM baseline_status b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.project = b.project AND n.fingerprint = b.fingerprint)"
+query("mut_01_upsert", _upserted, UPSERTED_SQL, "baseline_status", "stored_findings")
 query(
     "mut_04_bulk_update",
     lambda v: _upserted(v).groupBy("status").agg(F.count("*").alias("n")),
-    f"SELECT status, count(*) AS n FROM ({_UPSERTED}) GROUP BY 1",
+    f"SELECT status, count(*) AS n FROM ({UPSERTED_SQL}) GROUP BY 1",
     "baseline_status",
     "stored_findings",
 )
