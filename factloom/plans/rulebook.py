@@ -65,15 +65,16 @@ def _place(rule: Rule) -> Column:
     return F.array(*[F.col(c).cast("string") for c in rule.on])
 
 
-def _picked(facts: DataFrame, hits: list[tuple[str, Column]], name: str) -> DataFrame:
-    """facts with `name`, a row for each hit (fact type, value or null) of a fact. A fact is compared with the conditions of its own type
-    alone. explode would add a filter on its array and so compute all conditions twice; explode_outer does not."""
+def _picked(facts: DataFrame, hits: list[tuple[str, Column]], name: str, none: int | None = None) -> DataFrame:
+    """facts with `name`, a row for each hit (fact type, value or `none`) of a fact. A fact is compared with the conditions of its own type
+    alone. explode would add a filter on its array and so compute all conditions twice; explode_outer does not. Numbers should have a
+    `none` of their own: array_remove is compiled with all conditions in it, array_compact is not."""
     by_type: dict[str, list[Column]] = {}
     for kind, hit in hits:
         by_type.setdefault(kind, []).append(hit)
     found = None
     for kind, own in by_type.items():
-        met = F.array_compact(F.array(*own))
+        met = F.array_compact(F.array(*own)) if none is None else F.array_remove(F.array(*own), none)
         found = F.when(F.col("fact_type") == kind, met) if found is None else found.when(F.col("fact_type") == kind, met)
     rows = facts.where(F.col("fact_type").isin(*by_type))
     return rows.select("*", F.explode_outer(found).alias(name)).where(F.col(name).isNotNull())
@@ -81,9 +82,9 @@ def _picked(facts: DataFrame, hits: list[tuple[str, Column]], name: str) -> Data
 
 def matched(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     """facts with `rule`, the number of a rule that they meet."""
-    alone = [(r.kind, F.when(_meets(r.condition), F.lit(k))) for k, r in enumerate(rules) if not r.others]
+    alone = [(r.kind, F.when(_meets(r.condition), F.lit(k)).otherwise(-1)) for k, r in enumerate(rules) if not r.others]
     joined = [(k, r) for k, r in enumerate(rules) if r.others]
-    parts = [_picked(facts, alone, "rule")] if alone else []
+    parts = [_picked(facts, alone, "rule", -1)] if alone else []
     if joined:
         hit = [(r.kind, F.when(_meets(r.condition), F.struct(F.lit(k).alias("rule"), _place(r).alias("place")))) for k, r in joined]
         firsts = _picked(facts, hit, "hit").select(*facts.columns, "hit.*")
