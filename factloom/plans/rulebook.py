@@ -68,7 +68,7 @@ def _place(rule: Rule) -> Column:
 def _picked(facts: DataFrame, hits: list[tuple[str, Column]], name: str, none: int | None = None) -> DataFrame:
     """facts with `name`, a row for each hit (fact type, value or `none`) of a fact. A fact is compared with the conditions of its own type
     alone. explode would add a filter on its array and so compute all conditions twice; explode_outer does not. Numbers should have a
-    `none` of their own: array_remove can be compiled with the conditions in it (some hundreds; beyond that Spark interprets them)."""
+    `none` of their own: array_remove can be compiled with the conditions in it (a hundred are; a thousand are too much code, and Spark interprets them)."""
     by_type: dict[str, list[Column]] = {}
     for kind, hit in hits:
         by_type.setdefault(kind, []).append(hit)
