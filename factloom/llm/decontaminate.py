@@ -78,9 +78,18 @@ def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     for n in lengths:
         items = _with_fingerprints(items, n, f"f{n}")
         found = F.when(F.col("length") == n, F.col(f"f{n}")).otherwise(found)
-    exploded = items.select("item_id", "item", F.explode_outer(found).alias("f"))
-    placed = exploded.select("item_id", "item", F.col("f.length").alias("length"), F.col("f.pos").alias("q"), F.col("f.hash").alias("hash"))
-    return placed.select("item_id", _near("item", "q").alias("item"), "length", "hash").distinct(), lengths
+    exploded = items.select("item_id", "item", F.xxhash64("item").alias("whole"), F.explode_outer(found).alias("f"))
+    placed = exploded.select("item_id", "item", "whole", F.col("f.length").alias("length"), F.col("f.pos").alias("q"), F.col("f.hash").alias("hash"))
+    places = placed.groupBy("item_id", "whole", "length", "hash").agg(F.collect_set(_near("item", "q")).alias("places"))
+    return places.select("item_id", F.explode_outer(_widest()).alias("item"), "length", "hash").distinct(), lengths
+
+
+def _widest() -> Column:
+    """Of an item's places with one fingerprint, those that no other covers. Only places at an edge of the item have fewer words than others;
+    where all its words stand alike in another place, that one makes every hit of it, with a span that holds its span."""
+    most = 2 * F.col("length") - F.least(F.col("length"), F.lit(GRAM))
+    covers = lambda t, s: (F.size(t["words"]) > F.size(s["words"])) & (t["left"] >= s["left"]) & (F.slice(t["words"], t["left"] - s["left"] + 1, F.size(s["words"])) == s["words"])
+    return F.filter("places", lambda s: (F.size(s["words"]) >= most) | ~F.exists("places", lambda t: covers(t, s)))
 
 
 def _span() -> Column:

@@ -93,12 +93,21 @@ def test_long_texts_with_many_hits(spark, monkeypatch, shuffled):
         monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
     item = " ".join(f"w{k}" for k in range(60))
     bench = spark.createDataFrame([(1, item), (2, "same " * 200)], "item_id long, text string")
-    df = documents(spark, [f"{item} " * 700, "same " * 40_000, "other same same"])
+    df = documents(spark, [f"{item} " * 700, "same " * 200_000, "other same same"])
     rows = collected(d.scan(df, bench))
-    assert [(rows[k].n_words, rows[k].n_hit, rows[k].n_items) for k in range(3)] == [(42_000, 42_000, 1), (40_000, 40_000, 1), (3, 0, 0)]
+    assert [(rows[k].n_words, rows[k].n_hit, rows[k].n_items) for k in range(3)] == [(42_000, 42_000, 1), (200_000, 200_000, 1), (3, 0, 0)]
     assert [r.doc_id for r in d.decontaminate(df, bench).collect()] == [2]
 
 
+def test_places_of_an_item_that_another_covers_are_left_out(spark):
+    from factloom.llm.decontaminate import item_fingerprints
+
+    bench = spark.createDataFrame([(1, "same " * 200), (2, "same " * 10), (3, "a b " * 50 + "end")], "item_id long, text string")
+    found = item_fingerprints(bench)[0].groupBy("item_id").count().collect()
+    counts = {r["item_id"]: r["count"] for r in found}
+    assert counts[1] == 1 and counts[3] < 12
+
+
 def test_decontamination_of_null_and_repeated_ids(spark):
     from factloom.llm.decontaminate import decontaminate, scan
 
