@@ -60,13 +60,13 @@ def query(name: str, run: Callable[[Views], DataFrame], sql: str | None = None,
 
 
 def queries() -> dict[str, Query]:
-    from factloom import deep_queries, more_queries, source_queries, whole_queries  # noqa: F401  (they register themselves)
+    from factloom import deep_queries, more_queries, source_queries, stored_queries, whole_queries  # noqa: F401  (they register themselves)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from factloom import deep_queries, more_queries, source_queries, whole_queries  # noqa: F401
+    from factloom import deep_queries, more_queries, source_queries, stored_queries, whole_queries  # noqa: F401
 
     return dict(_SQL)
 
