@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import indexed, phrases
+from factloom.operators import folders, indexed, phrases
 from factloom.queries import Views, query
 from factloom.streaming import trend
 
@@ -94,3 +94,25 @@ def _kept(v: Views) -> DataFrame:
 
 
 query("str_02_kept_trend", _kept, "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+
+
+# Two versions of the documents as files in folders: some changed, some new, some gone.
+def _file_versions(v: Views) -> DataFrame:
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), (F.col("doc_id") % 50).cast("string"), F.col("doc_id").cast("string"))
+    docs = v.table("documents").select(path.alias("path"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    old = docs.where("doc_id % 101 <> 2").select("path", F.sha2("text", 256).alias("hash"))
+    new = docs.where("doc_id % 89 <> 1").select("path", F.sha2(F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))
+    one = v.stored("old-tree", lambda path: folders.write(old, path))
+    other = v.stored("new-tree", lambda path: folders.write(new, path))
+    return folders.compare(v.spark, one, other).changes
+
+
+_IN_FOLDERS = """SELECT * FROM (SELECT coalesce(source, 'none') || '/' || (doc_id % 50) || '/' || doc_id AS path,
+  CASE WHEN doc_id % 101 = 2 AND doc_id % 89 <> 1 THEN 'Added' WHEN doc_id % 89 = 1 AND doc_id % 101 <> 2 THEN 'Deleted' WHEN doc_id % 101 <> 2 AND doc_id % 89 <> 1 AND doc_id % 97 = 0 THEN 'Modified' END AS change
+  FROM documents) WHERE change IS NOT NULL"""
+query("set_06_changes_by_folders", _file_versions, _IN_FOLDERS)
+query(
+    "src_37_changed_folders",
+    lambda v: _file_versions(v).groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "change").agg(F.count("*").alias("n")),
+    f"SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, change, count(*) AS n FROM ({_IN_FOLDERS}) GROUP BY ALL",
+)
