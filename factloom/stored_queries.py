@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import folders, indexed, phrases
+from factloom.operators import folders, indexed, intervals, phrases
 from factloom.queries import Views, query
 from factloom.streaming import trend
 
@@ -116,3 +116,20 @@ query(
     lambda v: _file_versions(v).groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "change").agg(F.count("*").alias("n")),
     f"SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, change, count(*) AS n FROM ({_IN_FOLDERS}) GROUP BY ALL",
 )
+
+
+# Ranges of one line to a million.
+def _long_overlaps(v: Views) -> DataFrame:
+    reach = v.facts.withColumn("end_line", F.expr("start_line + cast(power(10, start_line % 7) as bigint)"))
+    side = lambda kind: reach.where(F.col("fact_type") == kind).select("file", "start_line", "end_line", "fact_id")
+    met = intervals.overlaps(side("Vulnerability"), side("UncoveredLine"))
+    return met.select(F.col("left.file").alias("file"), F.col("left.fact_id").alias("left_fact_id"), F.col("right.fact_id").alias("right_fact_id"))
+
+
+query(
+    "join_04_long_overlaps",
+    _long_overlaps,
+    "SELECT a.file, a.fact_id AS left_fact_id, b.fact_id AS right_fact_id FROM facts a JOIN facts b ON a.file = b.file AND a.start_line <= b.start_line + power(10, b.start_line % 7)::BIGINT AND "
+    "b.start_line <= a.start_line + power(10, a.start_line % 7)::BIGINT WHERE a.fact_type = 'Vulnerability' AND b.fact_type = 'UncoveredLine'",
+    "facts",
+)
