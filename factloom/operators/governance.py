@@ -81,20 +81,38 @@ def severity_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     return out.select("fingerprint", "file", "line", "old", "severity", F.when(F.col("steps") > 0, "increased").otherwise("decreased").alias("change"), "steps")
 
 
+def compared(base: DataFrame, head: DataFrame) -> DataFrame:
+    """change, fingerprint, file, line, severity, steps: findings of head that base lacks (new), of base that head lacks (resolved), and those
+    of head whose rank differs from the base's last finding of that fingerprint. A null fingerprint equals none. Both sides are read
+    twice: to learn what is known of each fingerprint, which combines before its shuffle, and for the one join with that. A fingerprint
+    with many findings is a row of the known side, so the join can be split where it is hot."""
+    names = ("fingerprint", "file", "line", "severity")
+    known = (
+        base.select("fingerprint", "severity", "seq", F.lit(False).alias("is_head"))
+        .union(head.select("fingerprint", F.lit(None), F.lit(None), F.lit(True)))
+        .where(F.col("fingerprint").isNotNull())
+        .groupBy("fingerprint")
+        .agg(F.max_by("severity", "seq").alias("old"), F.bool_or(~F.col("is_head")).alias("in_base"), F.bool_or("is_head").alias("in_head"))
+    )
+    rows = base.select(F.lit(False).alias("is_head"), *names).union(head.select(F.lit(True), *names)).join(known, "fingerprint", "left")
+    there = F.coalesce(F.when(F.col("is_head"), F.col("in_base")).otherwise(F.col("in_head")), F.lit(False))
+    steps = F.when(F.col("is_head") & there, mapped("severity", SERVER_RANK, 0) - mapped("old", SERVER_RANK, 0))
+    change = F.when(~there, F.when(F.col("is_head"), "new").otherwise("resolved")).when(F.col("steps") > 0, "increased").when(F.col("steps") < 0, "decreased")
+    return rows.withColumn("steps", steps).select(change.alias("change"), *names, "steps").where("change IS NOT NULL")
+
+
 def diff(base: DataFrame, head: DataFrame) -> DataFrame:
     """change, fingerprint, file, line, severity: new, resolved and changed findings in one table."""
-    pick = lambda df, change: df.select(F.lit(change).alias("change"), "fingerprint", "file", "line", "severity")
-    changed = severity_changes(base, head).select("change", "fingerprint", "file", "line", "severity")
-    return pick(new_findings(base, head), "new").union(pick(resolved_findings(base, head), "resolved")).union(changed)
+    return compared(base, head).drop("steps")
 
 
 def diff_summary(base: DataFrame, head: DataFrame) -> DataFrame:
     """Counts, net change, severity score and trend."""
-    changes = severity_changes(base, head)
-    rows = diff(base, head).select("change", F.lit(0).alias("level")).union(changes.select(F.lit("score"), F.when(F.col("steps") > 0, mapped("severity", SERVER_RANK, 0)).otherwise(-mapped("severity", SERVER_RANK, 0))))
+    level = mapped("severity", SERVER_RANK, 0)
+    score = F.when(F.col("steps") > 0, level).when(F.col("steps") < 0, -level)
     n = lambda c: F.count_if(F.col("change") == c)
     net = n("new") - n("resolved")
-    return rows.agg(n("new").alias("new"), n("resolved").alias("resolved"), n("increased").alias("increased"), n("decreased").alias("decreased"), net.alias("net_change"), F.coalesce(F.sum("level"), F.lit(0)).alias("severity_score"), trend(n("new"), n("resolved")).alias("trend"))
+    return compared(base, head).agg(n("new").alias("new"), n("resolved").alias("resolved"), n("increased").alias("increased"), n("decreased").alias("decreased"), net.alias("net_change"), F.coalesce(F.sum(score), F.lit(0)).alias("severity_score"), trend(n("new"), n("resolved")).alias("trend"))
 
 
 def trend(new: Column, resolved: Column) -> Column:

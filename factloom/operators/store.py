@@ -10,6 +10,9 @@ from factloom.checkpoints import cut
 #: Average bytes that the statistics assume for a fact. Fixed value.
 FACT_BYTES = 64
 
+#: Facts that a task of the store's writer takes: with their ids and messages about 1 GB before compression.
+FILE_ROWS = 4_000_000
+
 
 def by_type(facts: DataFrame, *kinds: str) -> DataFrame:
     return facts.where(F.col("fact_type").isin(*kinds))
@@ -74,9 +77,13 @@ def interned(facts: DataFrame, column: str) -> DataFrame:
     return placed.join(counts.select("range", before.alias("before")), "range").select("value", (F.col("before") + F.col("nth")).alias("id"))
 
 
-def written_by_type(facts: DataFrame, path: str, buckets: int = 32) -> None:
-    """The store's layout: a directory a type, in it files of a bucket of paths each, sorted by place so that row groups can be skipped."""
-    facts.repartition("fact_type", F.pmod(F.xxhash64("file"), F.lit(buckets))).sortWithinPartitions("fact_type", "file", "start_line").write.partitionBy("fact_type").parquet(path)
+def written_by_type(facts: DataFrame, path: str, rows: int = FILE_ROWS) -> None:
+    """The store's layout: a directory a type, in it files that each hold a stretch of places in order, so that files and row groups are
+    skipped. Their number follows the table (about `rows` facts a task): the ranges are cut from a sample of all keys, so a type or a
+    file with a third of all facts is dealt to as many tasks as it needs. Counting reads footers alone where facts are a projection."""
+    least = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = [c for c in ("fact_type", "file", "start_line", "fact_id") if c in facts.columns]
+    facts.repartitionByRange(max(least, -(-facts.count() // rows)), *place).sortWithinPartitions(*place).write.partitionBy("fact_type").parquet(path)
 
 
 def opened(spark: SparkSession, path: str, schema) -> DataFrame:

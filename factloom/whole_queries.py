@@ -71,7 +71,7 @@ query(
 )
 query(
     "set_03_set_difference",
-    lambda v: gov.new_findings(*_snapshots(v)).select("fingerprint", F.lit("head").alias("side")).union(gov.resolved_findings(*_snapshots(v)).select("fingerprint", F.lit("base"))),
+    lambda v: gov.diff(*_snapshots(v)).where("change IN ('new', 'resolved')").select("fingerprint", F.when(F.col("change") == "new", "head").otherwise("base").alias("side")),
     f"WITH {_SNAPSHOTS} SELECT fingerprint, CASE change WHEN 'new' THEN 'head' ELSE 'base' END AS side FROM changes WHERE change IN ('new', 'resolved')",
     "stored_findings",
 )

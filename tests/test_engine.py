@@ -65,6 +65,19 @@ def test_diff(spark):
     assert (row.net_change, row.severity_score, row.trend) == (0, 4, "Stable")
 
 
+def test_diff_of_null_repeated_and_no_findings(spark):
+    schema = "fingerprint string, file string, line int, severity string, seq long"
+    base = spark.createDataFrame([(None, "f", 1, "Minor", 1), ("a", "f", 1, "Minor", 2), ("a", "f", 2, "Info", None), ("r", "f", 3, "Info", 4), ("r", "f", 3, "Info", 4)], schema)
+    head = spark.createDataFrame([(None, "g", 1, "Minor", 1), ("a", "g", 5, "Info", 1), ("a", "g", 5, "Info", 1), ("a", "g", 6, "Minor", 2)], schema)
+    told = lambda *sides: sorted((r.change, r.fingerprint or "", r.file, r.line) for r in gov.diff(*sides).collect())
+    parts = [("decreased", "a", "g", 5)] * 2 + [("new", "", "g", 1), ("resolved", "", "f", 1)] + [("resolved", "r", "f", 3)] * 2
+    assert told(base, head) == parts
+    apart = gov.severity_changes(base, head)
+    assert sorted((r.change, r.fingerprint, r.file, r.line) for r in apart.collect()) == parts[:2]
+    assert told(base.limit(0), head.limit(0)) == [] and {r[0] for r in told(base, base.limit(0))} == {"resolved"} and len(told(base.limit(0), head)) == 4
+    assert tuple(gov.diff_summary(base.limit(0), head.limit(0)).first()) == (0, 0, 0, 0, 0, 0, "Stable")
+
+
 def test_large_diff(spark):
     make = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("fingerprint"), F.lit("f").alias("file"), F.lit(1).alias("line"), F.lit("Info").alias("severity"), F.col("id").alias("seq"))
     row = gov.diff_summary(make(0, 10_000), make(5_000, 15_000)).first()
