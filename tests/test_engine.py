@@ -50,6 +50,16 @@ def test_score_ignores_blockers(spark):
     assert quality.percentile(spark.range(0).select(F.col("id").alias("x")), "x", 50).first().value == 0.0
 
 
+def test_summary_does_not_follow_the_order_of_rows(spark):
+    """Means of 0.1 and 0.2 parts that end in a half of the sixth place; NaN and null are left out."""
+    rows = few(spark).limit(1).drop("confidence").withColumn("lines_of_code", F.lit(1)).crossJoin(spark.range(2000))
+    tie = rows.withColumn("confidence", F.when(F.col("id") % 2 == 0, 0.1).otherwise(0.100001))
+    for part in (tie.coalesce(1), tie.repartition(7), tie.orderBy(F.desc("confidence"))):
+        assert quality.summary(part).first().mean_confidence == 0.100001
+    odd = rows.limit(3).withColumn("confidence", F.when(F.col("id") == 0, float("nan")).when(F.col("id") == 1, 0.5))
+    assert quality.summary(odd).first().mean_confidence == 0.5
+
+
 def test_gates(spark):
     measured = quality.metrics(few(spark))
     held = {r.gate: r.violated for r in quality.evaluate(measured, quality.gates(spark, [("eq", "FactCount", "Equal", 5.0, "Block"), ("gt", "FactCount", "GreaterThan", 4.0, "Warn")])).collect()}
