@@ -74,43 +74,84 @@ def count_grams(rows: DataFrame, most: int) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of words and n-grams by language."""
+    """Log frequencies of words and n-grams by language. Rows of numbers: a word's or an n-gram's place is a row of `low`'s width."""
 
     def __init__(self, rows: list[tuple[str, str, str, int, int]]) -> None:
         self.langs = sorted({r[0] for r in rows})
         column = {x: k for k, x in enumerate(self.langs)}
-        self.words: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
         floor = {(r[0], r[1]): np.log(0.5 / r[4]) for r in rows}
-        for kind, into in (("w", self.words), ("g", self.grams)):
-            low = np.array([floor.get((x, kind), -20.0) for x in self.langs])
-            for lang, _, gram, n, total in (r for r in rows if r[1] == kind):
-                if gram not in into:
-                    into[gram] = low.copy()
-                into[gram][column[lang]] = np.log(n / total)
-        self.memo: dict[str, np.ndarray] = {}
-
-    def evidence(self, word: str) -> np.ndarray:
-        """Log frequencies by language, with their mean taken off."""
-        known = self.words.get(word)
-        if known is None:
-            w, parts = f"<{word}>", []
-            for i in range(len(w)):
-                for n in range(min(LONGEST, len(w) - i), 0, -1):
-                    if (g := self.grams.get(w[i : i + n])) is not None:
-                        parts.append(g)
-                        break
-            known = np.mean(parts, axis=0) if parts else np.zeros(len(self.langs))
-        return known - known.mean()
-
-    def look_up(self, words: list[str]) -> dict[str, np.ndarray]:
-        missing = set(words).difference(self.memo)
-        if len(self.memo) + len(missing) > MEMO:
+        tables: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+        for kind in ("w", "g"):
+            own = [r for r in rows if r[1] == kind]
+            at: dict[str, int] = {}
+            place = [at.setdefault(r[2], len(at)) for r in own]
+            values = np.tile(np.array([floor.get((x, kind), -20.0) for x in self.langs]), (len(at), 1))
+            values[place, [column[r[0]] for r in own]] = np.log(np.array([r[3] for r in own], float) / np.array([r[4] for r in own], float))
+            tables[kind] = at, values
+        (self.words, self.word_values), (grams, self.gram_values) = tables["w"], tables["g"]
+        self._grow(grams)
+        self.memo: dict[str, int] = {}
+        self.known = np.zeros((1024, len(self.langs)))
+
+    def _grow(self, grams: dict[str, int]) -> None:
+        """The n-grams as a tree: sorted keys (node << 21 | code point), the child that each leads to, and the n-gram of each node (-1: none)."""
+        nodes: dict[str, int] = {"": 0}
+        keys: list[int] = []
+        for g in grams:
+            for n in range(1, len(g) + 1):
+                if g[:n] not in nodes:
+                    keys.append(nodes[g[: n - 1]] << 21 | ord(g[n - 1]))
+                    nodes[g[:n]] = len(nodes)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.child = np.array(keys, np.int64)[order], order + 1
+        self.gram = np.full(len(nodes), -1)
+        for g, k in grams.items():
+            self.gram[nodes[g]] = k
+
+    def longest(self, codes: np.ndarray) -> np.ndarray:
+        """The longest n-gram that starts at each place of a run of code points, -1 for none; the runs are parted by zeros."""
+        best = np.full(len(codes), -1)
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for n in range(LONGEST):
+            inside = at + n < len(codes)
+            at, node = at[inside], node[inside]
+            key = node << 21 | codes[at + n]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            met = self.keys[k] == key
+            at, node = at[met], self.child[k[met]]
+            found = self.gram[node]
+            best[at[found >= 0]] = found[found >= 0]
+        return best
+
+    def evidence(self, new: list[str]) -> np.ndarray:
+        """Log frequencies by language of each word, with their mean taken off."""
+        out = np.zeros((len(new), len(self.langs)))
+        place = np.fromiter((self.words.get(w, -1) for w in new), np.int64, len(new))
+        out[place >= 0] = self.word_values[place[place >= 0]]
+        unseen = np.flatnonzero(place < 0)
+        if len(unseen) and len(self.keys):
+            codes = np.frombuffer("".join(f"<{new[k]}>\0" for k in unseen).encode("utf-32-le"), np.uint32).astype(np.int64)
+            best = self.longest(codes)
+            of = np.cumsum(codes == 0)[best >= 0]
+            best = best[best >= 0]
+            n = np.bincount(of, minlength=len(unseen))
+            for k in range(len(self.langs)):
+                out[unseen, k] = np.bincount(of, self.gram_values[best, k], len(unseen)) / np.maximum(n, 1)
+        return out - out.mean(axis=1, keepdims=True)
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """Row of `known` of each word."""
+        new = set(words).difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
-            missing = set(words)
-        for w in missing:
-            self.memo[w] = self.evidence(w)
-        return self.memo
+            new = set(words)
+        if new:
+            first, last = len(self.memo), len(self.memo) + len(new)
+            if last > len(self.known):
+                self.known = np.concatenate([self.known[:first], np.zeros((2 * last - first, len(self.langs)))])
+            self.known[first:last] = self.evidence(list(new))
+            self.memo.update(zip(new, range(first, last), strict=True))
+        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
 
 def train(docs: DataFrame) -> list[tuple[str, str, str, int, int]]:
@@ -141,15 +182,12 @@ def predict(docs: DataFrame, rows: list[tuple[str, str, str, int, int]]) -> Data
                 split = [WORD.findall((t or "").lower()) for t in part.column("text").to_pylist()]
                 split = [w if w and (w[0].isalpha() or any(c.isalpha() for x in w for c in x)) else [] for w in split]
                 flat = [w for words in split for w in words]
-                known = model.look_up(flat)
                 preds, scores = [UNKNOWN] * len(split), np.zeros(len(split))
                 if model.langs and flat:
-                    order: dict[str, int] = {}
-                    at = np.fromiter((order.setdefault(w, len(order)) for w in flat), np.int64, len(flat))
-                    rows_ = np.array([known[w] for w in order])
+                    at = model.look_up(flat)
                     of = np.repeat(np.arange(len(split)), [len(w) for w in split])
                     n = np.bincount(of, minlength=len(split))
-                    total = np.stack([np.bincount(of, rows_[at, k], len(split)) for k in range(len(model.langs))], axis=1)
+                    total = np.stack([np.bincount(of, model.known[at, k], len(split)) for k in range(len(model.langs))], axis=1)
                     mean = total / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE)[:, None]
                     soft = np.exp(mean - mean.max(axis=1, keepdims=True))
                     soft /= soft.sum(axis=1, keepdims=True)

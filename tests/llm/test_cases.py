@@ -343,6 +343,43 @@ def test_backoff_equals_a_plain_version(spark):
     assert m.predict(df.limit(0), rows).count() == 0
 
 
+def test_unseen_words_are_judged_many_at_once():
+    """A word that the tables lack costs a few calls of Python, not some for each of its letters; grams without their beginnings count too."""
+    import sys
+
+    from factloom.llm import language as m
+
+    grams = [(x, "g", g, n, 100) for x, g, n in [("a", "<", 9), ("b", "<", 8), ("a", "a", 7), ("b", "ab", 6), ("a", "abc", 5), ("b", "bcd>", 4), ("a", "\U00010428e", 3), ("b", "\u00e9", 2), ("a", "zyx", 1)]]
+    rows = [("a", "w", "known", 5, 10), ("b", "w", "other", 5, 10), *grams]
+    freq, floor, known = {r[:3]: math.log(r[3] / r[4]) for r in rows}, {"g": math.log(0.5 / 100)}, {r[2] for r in grams}
+
+    def plain(w):
+        padded, parts = f"<{w}>", []
+        for i in range(len(padded)):
+            g = next((padded[i : i + n] for n in range(min(m.LONGEST, len(padded) - i), 0, -1) if padded[i : i + n] in known), None)
+            if g:
+                parts.append([freq.get((x, "g", g), floor["g"]) for x in "ab"])
+        e = [sum(c) / len(parts) for c in zip(*parts, strict=True)] if parts else [0.0, 0.0]
+        return [x - sum(e) / 2 for x in e]
+
+    model, words = m.Model(rows), ["abcd", "a", "zyxw", "\U00010428e\u00e9", "\u00e9", "qq", "bcd", "xbcdx"]
+    assert np.allclose(model.known[model.look_up(words + words)], [plain(w) for w in words + words], atol=1e-12)
+    half = (math.log(5 / 10) - math.log(0.5 / 10)) / 2
+    assert np.allclose(model.known[model.look_up(["known", "other"])], [[half, -half], [-half, half]], atol=1e-12)
+    many, calls = [f"w{''.join(chr(97 + int(c)) for c in str(k))}" for k in range(5000)], 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        model.look_up(many)
+    finally:
+        sys.setprofile(None)
+    assert calls < 6 * len(many)
+
+
 def test_rare_languages_are_learned_and_ties_go_to_the_first(spark, monkeypatch):
     from factloom.llm import language as m
 
