@@ -247,6 +247,7 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _searched(members: DataFrame, sets: DataFrame, second: bool) -> DataFrame:
     """Edges from members (center, asking, block, doc, asks), with sets joined to them."""
+    members = written(members, "members")  # counted and joined: made once
     n = members.count()
     tasks = max(1, n // TOGETHER)
     dealt = members.join(sets, "doc").withColumn("deal", F.when(F.col("block") < 0, F.pmod(F.xxhash64("center"), F.lit(tasks))).otherwise(-1 - F.pmod(F.xxhash64("center", "asking", "block"), F.lit(1 << 40))))
@@ -348,9 +349,9 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
         return links
     # Large groups: what is outside the largest component is searched in every block, a block of it at a time.
     at = components(links).withColumnRenamed("node", "doc")
-    placed = hot.join(at, "doc", "left").select("center", "block", "doc", "m", F.coalesce("component", "doc").alias("component"))
+    placed = written(hot.join(at, "doc", "left").select("center", "block", "doc", "m", F.coalesce("component", "doc").alias("component")), "placed")
     largest = placed.groupBy("center", "component").count().groupBy("center").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rest = placed.join(small(largest), "center").where(F.col("component") != F.col("main"))
+    rest = written(placed.join(small(largest), "center").where(F.col("component") != F.col("main")), "rest")
     n_asking = rest.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_asking"))
     rest = rest.join(small(n_asking), "center").withColumn("asking", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("n_asking")).cast("int"))
     asking = rest.select("center", "asking", "doc", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)).alias("block")).withColumn("asks", F.lit(True))

@@ -19,6 +19,7 @@ language or n_chars is a value of its own.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,18 +168,23 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                views = [_content(part, vocabulary[h]).astype(np.uint8) for h in HEADS] + [_figures(part), _metadata(part)]
-                columns = [pa.array([r.tobytes() for r in v], pa.binary()) for v in views]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("mark", *HEADS)), *columns], ["mark", *HEADS, "w_good", "w_toxic", "figures", "meta"])
-
-    bounded = sample.mapInArrow(features, "mark long, good double, toxic double, w_good binary, w_toxic binary, figures binary, meta binary").toPandas().sort_values("mark")
-    stacked = lambda c, t: np.stack([np.frombuffer(x, t) for x in bounded[c]]).astype(np.float32)
-    figures, meta = stacked("figures", np.float32), stacked("meta", np.float32)
-    model: dict = {"vocabulary": vocabulary}
-    for head in HEADS:
-        content = np.concatenate([stacked(f"w_{head}", np.uint8), figures], 1)
-        model[head] = co_trained((content, meta), bounded[head].to_numpy(float))
-    return model
+                views = [pa.array([r.tobytes() for r in v], pa.binary()) for v in (_figures(part), _metadata(part))]
+                for head in HEADS:
+                    seen_words = pa.array([r.tobytes() for r in _content(part, vocabulary[head]).astype(np.uint8)], pa.binary())
+                    columns = [pa.array([head] * part.num_rows), part.column("mark"), part.column(head), seen_words, *views]
+                    yield pa.RecordBatch.from_arrays(columns, ["head", "mark", "y", "words", "figures", "meta"])
+
+    def fit(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by("mark")
+        stacked = lambda c, t: np.stack([np.frombuffer(x, t) for x in rows.column(c).to_pylist()]).astype(np.float32)
+        content = np.concatenate([stacked("words", np.uint8), stacked("figures", np.float32)], 1)
+        made = co_trained((content, stacked("meta", np.float32)), rows.column("y").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([pickle.dumps(made)], pa.binary())], ["head", "model"])
+
+    # The driver gets the fitted models alone: the sample with its features is a task's, for each head.
+    bounded = sample.mapInArrow(features, "head string, mark long, y double, words binary, figures binary, meta binary")
+    models = bounded.groupBy("head").applyInArrow(fit, "head string, model binary").collect()
+    return {"vocabulary": vocabulary, **{r.head: pickle.loads(bytes(r.model)) for r in models}}
 
 
 def co_trained(views: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> dict | None:

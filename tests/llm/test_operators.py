@@ -371,6 +371,24 @@ def test_secrets(docs):
     assert base_spans("TOKEN = 'abcd1234' " + "a" * 32) == [(0, 0, 17), (19, 2, 51)]
 
 
+def test_models_are_fitted_in_tasks(spark):
+    """The driver's Python holds no sample and no features: fitting takes little memory there, and no feature row comes to it."""
+    import tracemalloc
+
+    from factloom.llm.quality import score, train
+
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    tracemalloc.start()
+    try:
+        model = train(read("documents"), read("labels"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3_000_000 and set(model) == {"vocabulary", "good", "toxic"} and all(model[h]["models"] for h in ("good", "toxic"))
+    judged = score(read("documents"), model).join(read("labels"), "doc_id").toPandas()
+    assert ((judged.p_good >= 0.5) == (judged.quality > 0.5)).mean() > 0.9
+
+
 def test_language(spark, docs):
     from factloom.llm.language import predict, train
 
