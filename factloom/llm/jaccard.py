@@ -10,8 +10,8 @@
    packed hashes. With prefixes longer by n / 20, two similar sets share at least min(n) / 20 + 1 of those shingles, so a document
    that shares fewer with all others together, as one with a common passage does, is in no group.
 4. In a group a T-occurrence search (DivideSkip) finds the partners: the long inverted lists are set aside, the short ones are
-   merged (by a stable sort, which merges the sorted runs that it finds), what occurs often enough there is binary-probed in the long
-   ones, and the exact overlap decides.
+   merged by counting, what occurs often enough there and is not in the same component yet is binary-probed in the long ones, all
+   of them at once, and the exact overlap decides.
 5. A group of more than BLOCK documents is split into blocks, each with the same few pivots. What is not in the group's largest
    component afterwards is searched in every block; two documents of one component need no comparison. What asks is split into
    blocks as well, and a task holds one of these and one block. So no link between components is lost, and no task holds a whole
@@ -48,6 +48,8 @@ SLICE = 1 << 20
 BROADCAST_IDS = 1_000_000
 #: Documents that one task call searches at least: small groups are dealt together.
 TOGETHER = 2000
+#: DivideSkip's weight of merging against probing, the postings merged and the places probed at once.
+MU, MERGED, PROBED = 0.5, 1 << 20, 1 << 18
 
 
 def least_overlap(n: int) -> int:
@@ -63,8 +65,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 _, h = shingle_sets(*text_bytes(part.column("text")))
-                at, n = np.unique((h & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
-                counts[at] += n.astype(np.uint32)
+                np.add.at(counts, (h & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
         if counts.any():
             size = COUNTERS // PARTS
             packed = [zstandard.compress(counts[k * size : (k + 1) * size].tobytes(), 1) for k in range(PARTS)]
@@ -119,7 +120,8 @@ def prefix_blobs(docs: DataFrame) -> DataFrame:
                 text, h = shingle_sets(raw, offsets)
                 n = np.bincount(text, minlength=part.num_rows)
                 first = np.cumsum(n) - n
-                order = np.lexsort((h, opened[0][(h & np.uint64(COUNTERS - 1)).astype(np.int64)], text))
+                often = opened[0][(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                order = np.argsort((text.astype(np.uint64) << np.uint64(32)) | often, kind="stable")  # of one count they stand by hash
                 keep = np.minimum(n, n - (4 * n + 4) // 5 + more_shared(n))
                 inside = np.arange(len(h)) - np.repeat(first, n) < np.repeat(keep, n)
                 ids = part.column("doc_id").cast(pa.int64())
@@ -158,77 +160,56 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "doc long, hashes binary")
 
 
-class Union:
-    def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = x = self.parent[self.parent[x]]
-        return x
-
-    def roots(self) -> np.ndarray:
-        p = self.parent
-        while (q := p[p] != p).any():
-            p[q] = p[p[q]]
-        return p
-
-
 def divide_skip(sets: list[np.ndarray], queries: np.ndarray | None = None) -> np.ndarray:
     """Root of each set's component under links of 100 * shared >= 80 * united; queries: search these alone, against all."""
     m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    place = np.empty(m, np.int64)
-    place[order] = np.arange(m)
-    sorted_sizes = sizes[order]
-    owner = np.repeat(place, sizes)
-    tokens, token = np.unique(np.concatenate(sets) if m else np.zeros(0, np.uint64), return_inverse=True)
-    by_token = np.lexsort((owner, token))
-    postings = owner[by_token]  # inverted lists, one after another, each sorted by place
-    starts = np.searchsorted(token[by_token], np.arange(len(tokens) + 1))
-    first = np.cumsum(sizes) - sizes
-    union = Union(m)
-    wanted = np.ones(m, bool) if queries is None else queries
-    longest = max(2, int(np.diff(starts).max(initial=0)))
-    for at in range(m):
-        q = int(order[at])
-        if not wanted[q]:
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")  # sets are named by their place in it
+    sizes = sizes[order]
+    ends = np.cumsum(sizes)
+    tokens, token = np.unique(np.concatenate([sets[k] for k in order]) if m else np.zeros(0, np.uint64), return_inverse=True)
+    lists = token * m + np.repeat(np.arange(m), sizes)
+    lists.sort()  # inverted lists, one after another, each sorted by place
+    postings = lists % max(1, m)
+    lengths = np.bincount(token, minlength=len(tokens))
+    starts = np.cumsum(lengths) - lengths
+    wanted = np.ones(m, bool) if queries is None else queries[order]
+    label = np.arange(m)  # of the component so far
+    longest = max(2, int(lengths.max(initial=0)))
+    for at in np.flatnonzero(wanted).tolist():
+        n = int(sizes[at])
+        t = least_overlap(n)
+        low = int(np.searchsorted(sizes, t))
+        high = at if queries is None else int(np.searchsorted(sizes, n * 5 // 4, "right"))
+        if not n or (label[low:high] == label[at]).all():
             continue
-        n = int(sizes[q])
-        low = int(np.searchsorted(sorted_sizes, least_overlap(n)))
-        high = at if queries is None else int(np.searchsorted(sorted_sizes, n * 5 // 4, "right"))
-        if high <= low or not n:
+        mine = token[ends[at] - n : ends[at]]
+        length = lengths[mine]
+        if np.count_nonzero(length > 1) < t:  # other sets share too few of its shingles, taken together
             continue
-        mine = token[first[q] : first[q] + n]
-        a, b = starts[mine], starts[mine + 1]
-        by_length = np.argsort(b - a, kind="stable")
-        t = least_overlap(n)
-        n_long = min(t - 1, int(t / (0.01 * math.log2(longest) + 1)))
-        short, long = by_length[: n - n_long], by_length[n - n_long :]
-        merged = np.sort(np.concatenate([postings[a[k] : b[k]] for k in short]), kind="stable")
-        merged = merged[(merged >= low) & (merged < high) & (merged != at)]
-        found, count = np.unique(merged, return_counts=True)
-        enough = count >= t - n_long
-        found, count = found[enough], count[enough]
-        by_count = np.argsort(-count, kind="stable")
-        found, count = found[by_count], count[by_count]
+        n_long = min(t - 1, int(t / (MU * math.log2(longest) + 1)))
+        by_length = np.argsort(length, kind="stable")
+        short, long = mine[by_length[: n - n_long]], np.sort(mine[by_length[n - n_long :]])
+        count = np.zeros(m, np.int64)
+        for some in np.split(short, np.flatnonzero(np.diff(np.cumsum(lengths[short]) // MERGED)) + 1):
+            size = lengths[some]
+            end = np.cumsum(size)
+            count += np.bincount(postings[np.repeat(starts[some] - end + size, size) + np.arange(end[-1])], minlength=m)
+        found = low + np.flatnonzero((count[low:high] >= t - n_long) & (label[low:high] != label[at]))
+        found = found[np.argsort(-count[found], kind="stable")]
         step = 1
         while len(found):
-            here = union.root(q)
-            other = np.array([union.root(int(order[x])) != here for x in found])
-            found, count = found[other], count[other]
-            probe, shared, found, count = found[:step], count[:step].copy(), found[step:], count[step:]
-            step = min(64, step * 2)
-            for k in long:
-                held = postings[a[k] : b[k]]
-                where = np.searchsorted(held, probe)
-                shared += (where < len(held)) & (held[np.minimum(where, len(held) - 1)] == probe)
-            united = n + sorted_sizes[probe] - shared
-            for x in probe[100 * shared >= 80 * united]:
-                ra, rb = union.root(q), union.root(int(order[x]))
-                union.parent[max(ra, rb)] = min(ra, rb)
-    return union.roots()
+            probe, found = found[:step], found[step:]
+            step = max(1, min(step * 2, PROBED // max(1, n_long)))
+            asked = (long[:, None] * m + probe).ravel()
+            held = lists[np.minimum(np.searchsorted(lists, asked), len(lists) - 1)] == asked
+            shared = count[probe] + held.reshape(n_long, len(probe)).sum(axis=0)
+            near = probe[100 * shared >= 80 * (n + sizes[probe] - shared)]
+            if len(near):
+                label[np.isin(label, label[near])] = label[at]
+                found = found[label[found] != label[at]]
+    _, least, component = np.unique(label[np.argsort(order)], return_index=True, return_inverse=True)
+    return least[component]
 
 
 def _search(rows: pd.DataFrame) -> pd.DataFrame:

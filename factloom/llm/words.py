@@ -81,7 +81,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.n
     """Text and hash of each text's distinct shingles, sorted by both."""
     _, _, text, h = words(raw, offsets)
     found, hashes = shingles(text, h, len(offsets) - 1, k)
-    order = np.lexsort((hashes, found))
+    order = np.argsort(hashes)
+    by_text = found[order]
+    order = order[np.argsort(by_text.astype(np.uint16) if len(offsets) <= 1 << 16 else by_text, kind="stable")]  # 16 bits are sorted by radix
     found, hashes = found[order], hashes[order]
     keep = np.ones(len(found), bool)
     keep[1:] = (found[1:] != found[:-1]) | (hashes[1:] != hashes[:-1])

@@ -336,6 +336,25 @@ def test_divide_skip():
     assert same(found) == same(root)
 
 
+def test_divide_skip_probes_all_long_lists_at_once(monkeypatch):
+    from factloom.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 1 << 60, 300, dtype=np.uint64)  # shared by all, too short for a link
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 60, 100, dtype=np.uint64)])) for _ in range(120)]
+    sets += [s[2:] for s in sets[:20]]
+    wanted = [*range(120), *range(20)]
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(jaccard.np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+    assert jaccard.divide_skip(sets).tolist() == wanted
+    assert len(calls) <= 12 * len(sets)  # not one for each of a set's 400 lists
+    asks = np.arange(140) >= 120
+    assert jaccard.divide_skip(sets, asks).tolist() == wanted
+    monkeypatch.setattr(jaccard, "MERGED", 500)
+    monkeypatch.setattr(jaccard, "PROBED", 90)
+    assert jaccard.divide_skip(sets).tolist() == wanted
+
+
 # 7, 8, 9, 10
 
 
