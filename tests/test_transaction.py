@@ -1,6 +1,7 @@
 """Storing in one transaction: whole runs or nothing."""
 
 import sqlite3
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,64 @@ def test_a_restarted_stream_gives_each_row_once(spark, db, tmp_path):
     assert sorted(r.id for r in sent("p2").collect()) == [k for k in range(200) if k % 3 == 2]
     plan = sent("p2")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "p2" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def beside(db):
+    return sorted(f.name for f in Path(db).parent.glob("store.db*"))
+
+
+def test_tasks_do_not_write_to_the_database_of_one_writer(spark, db):
+    store(rows(spark, 5000, 20), db, "one", 1)  # more tasks than files that are attached at once
+    assert asked(db, "SELECT count(*), count(DISTINCT id), sum(score), count(line) FROM findings") == [(5000, 5000, 6248750.0, 2500)] and beside(db) == ["store.db"]
+    before = Path(db).read_bytes()
+    broken = rows(spark, 6000, 12).withColumn("line", F.when(F.col("id") == 5999, F.raise_error(F.lit("no")).cast("int")).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="no"):
+        store(broken, db, "broken", 2)
+    assert Path(db).read_bytes() == before and beside(db) == ["store.db"]
+    with pytest.raises(Exception, match="UNIQUE"):
+        store(rows(spark), db, "same header", 1)
+    assert asked(db, "SELECT count(*) FROM findings") == [(5000,)] and beside(db) == ["store.db"]
+
+
+def test_reading_looks_at_each_row_once(spark, db):
+    store(rows(spark, 5000), db, "one", 1)
+    source = Transaction({"module": "sqlite3", "url": db, "table": "findings", "by": "id", "parts": "5"})
+    for some, n in [(source.reader(rows(spark).schema).partitions(), 5000)]:
+        assert len(some) == 5 and sum(asked(db, f"SELECT count(*) FROM findings WHERE {p.where}")[0][0] for p in some) == n
+        assert all("SEARCH findings USING INTEGER PRIMARY KEY" in asked(db, f"EXPLAIN QUERY PLAN SELECT name FROM findings WHERE {p.where}")[0][3] for p in some)
+
+
+@pytest.mark.parametrize("table", ["plain", "view", "without numbers", "own numbers", "other columns", "empty"])
+def test_tables_of_other_makers_are_read_whole(spark, db, table):
+    with sqlite3.connect(db) as con:
+        con.execute("CREATE TABLE made (id BIGINT, name TEXT, score DOUBLE PRECISION, line INTEGER)" if table != "without numbers" else "CREATE TABLE made (id BIGINT PRIMARY KEY, name TEXT, score DOUBLE PRECISION, line INTEGER) WITHOUT ROWID")
+        if table == "own numbers":
+            con.execute("ALTER TABLE made ADD COLUMN rowid BIGINT")
+        if table == "other columns":
+            con.execute("CREATE TABLE findings (extra TEXT, line INTEGER, name BLOB, score DOUBLE PRECISION, id BIGINT)")
+        found = [(k, f"n{k}", k / 3, None if k % 2 else k) for k in range(-5, 40)] if table != "empty" else []
+        con.executemany("INSERT INTO made (id, name, score, line) VALUES (?, ?, ?, ?)", found + ([(None, "unnumbered", None, 7)] if table in ("plain", "own numbers") else []))
+        con.execute("CREATE VIEW seen AS SELECT * FROM made")
+    if table == "other columns":
+        store(rows(spark, 100).withColumn("name", F.col("id").cast("string")), db, "one", 1)
+    name = {"view": "seen", "other columns": "findings"}.get(table, "made")
+    back = spark.read.format("transaction").schema("id long, name string, score double, line int").options(module="sqlite3", url=db, table=name, by="id", parts="3").load()
+    wanted = asked(db, f"SELECT id, name, score, line FROM {name}")
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, wanted)) and len(wanted) == {"empty": 0, "other columns": 100, "plain": 46, "own numbers": 46}.get(table, 45)
+
+
+def test_other_modules_stage_in_the_database(spark, db):
+    def save(df, run):
+        df.write.format("transaction").options(module="sqlite3.dbapi2", url=db, table="findings", run=run).mode("append").save()
+
+    save(rows(spark, 3000, 1), "one")
+    save(rows(spark, 3000, 1), "one")
+    assert asked(db, "SELECT count(*), sum(score), count(line) FROM findings") == [(3000, 2249250.0, 1500)] and tables(db) == {"analyses", "findings", "findings_runs"}
+    back = spark.read.format("transaction").schema("id long, name string, score double, line int").options(module="sqlite3.dbapi2", url=db, table="findings", by="id").load()
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows(spark, 3000).collect()))
+
+
+def test_times_and_nulls_are_stored_as_before(spark, db):
+    df = spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP_NTZ '2001-02-03 04:05:06', true, 'a'), (2L, NULL, NULL, NULL) t(id, at, ok, name)")
+    df.write.format("transaction").options(module="sqlite3", url=db, table="findings", run="one").mode("append").save()
+    assert asked(db, "SELECT * FROM findings ORDER BY id") == [(1, "2001-02-03 04:05:06", 1, "a"), (2, None, None, None)]
