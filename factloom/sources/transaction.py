@@ -246,7 +246,12 @@ class _Ranges(_Base):
 
     def ends(self) -> tuple[int | None, int | None]:
         ask = f"SELECT min({self.by}), max({self.by}) FROM {self.table}"
-        return self.asked(ask)[0]
+        if not (numbers := self.numbers()):
+            return self.asked(ask)[0]
+        with ThreadPoolExecutor(ATTACHED) as pool:
+            found = list(pool.map(lambda where: self.asked(f"{ask} WHERE {where}")[0], self.by_number(*numbers)))
+        known = [x for x in found if x[0] is not None]
+        return (min(x[0] for x in known), max(x[1] for x in known)) if known else (None, None)
 
     @staticmethod
     def ranges(column: str, low: int, high: int, parts: int) -> list[str]:
@@ -287,6 +292,8 @@ class _Stream(_Ranges, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         low, high = start["done"] + 1, end["done"]
+        if high >= low and (numbers := self.numbers()):
+            return [_Part(f"{x} AND {self.by} >= {low} AND {self.by} <= {high}") for x in self.by_number(*numbers)]
         return [_Part(x) for x in self.ranges(self.by, low, high, self.parts or 8)]
 
     def read(self, partition: _Part) -> Iterator[tuple] | Iterator[pa.RecordBatch]:

@@ -118,10 +118,11 @@ def test_tasks_do_not_write_to_the_database_of_one_writer(spark, db):
     assert asked(db, "SELECT count(*) FROM findings") == [(5000,)] and beside(db) == ["store.db"]
 
 
-def test_reading_looks_at_each_row_once(spark, db):
+def test_reading_and_streaming_look_at_each_row_once(spark, db):
     store(rows(spark, 5000), db, "one", 1)
     source = Transaction({"module": "sqlite3", "url": db, "table": "findings", "by": "id", "parts": "5"})
-    for some, n in [(source.reader(rows(spark).schema).partitions(), 5000)]:
+    parts = [source.reader(rows(spark).schema).partitions(), source.streamReader(rows(spark).schema).partitions({"done": 99}, {"done": 4999})]
+    for some, n in zip(parts, (5000, 4900), strict=True):
         assert len(some) == 5 and sum(asked(db, f"SELECT count(*) FROM findings WHERE {p.where}")[0][0] for p in some) == n
         assert all("SEARCH findings USING INTEGER PRIMARY KEY" in asked(db, f"EXPLAIN QUERY PLAN SELECT name FROM findings WHERE {p.where}")[0][3] for p in some)
 
